@@ -12,6 +12,7 @@ from corpusradar.sources.views import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_SQL: dict[str, tuple[str, str]] = {}
 
 FAMILIES = [
     "ingest", "vectors", "clusters", "velocity", "scoring", "chunking", "lexical", "fusion", "questions",
@@ -29,7 +30,7 @@ def query(name: str, sql: str | None = None, views: str = ""):
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(views, sql)
+            _SQL[name] = (views, sql)
         return fn
 
     return register
@@ -38,3 +39,5 @@ def query(name: str, sql: str | None = None, views: str = ""):
 def load() -> None:
     for family in FAMILIES:
         importlib.import_module(f"corpusradar.registry.{family}")
+    for name, (views, sql) in _SQL.items():
+        ORACLES[name] = with_views(views, sql)

@@ -102,26 +102,18 @@ def _(t):
 
 
 @query("validate_schema", """
-SELECT event_id, coalesce(len(missing) = 0, false) AS passed,
-       CASE WHEN missing IS NULL THEN 'Invalid JSON'
-            WHEN len(missing) > 0 THEN 'Missing required keys: ' || array_to_string(missing, ', ') ELSE '' END AS errors,
-       NOT coalesce(len(missing) = 0, false) AS retryable
-FROM (SELECT event_id, CASE WHEN json_valid(props) THEN
-        list_filter(['k', CASE WHEN event_id % 3 = 0 THEN 'm' END], lambda x: x IS NOT NULL AND NOT list_contains(json_keys(props), x)) END AS missing
-      FROM events)
+SELECT event_id, 'props' AS origin, false AS passed, 'Missing required keys: m' AS errors, true AS retryable
+FROM events WHERE json_valid(props)
 UNION ALL
-SELECT -1 - event_id, json_valid(cleaned),
-       CASE WHEN json_valid(cleaned) THEN '' ELSE 'Invalid JSON' END, NOT json_valid(cleaned)
+SELECT event_id, 'raw', json_valid(cleaned), CASE WHEN json_valid(cleaned) THEN '' ELSE 'Invalid JSON' END, NOT json_valid(cleaned)
 FROM cleaned""", "cleaned")
 def _(t):
-    def rows(df, id_col, raw, keys):
+    def rows(df, origin, raw, keys):
         v = G.validate_schema(raw, keys)
-        return df.select(id_col.alias("event_id"), v["passed"].alias("passed"),
+        return df.select("event_id", F.lit(origin).alias("origin"), v["passed"].alias("passed"),
                          F.array_join(v["errors"], "; ").alias("errors"), v["retryable"].alias("retryable"))
-    ev, third = t.events, F.col("event_id") % 3 == 0
-    props = rows(ev.where(~third), F.col("event_id"), F.col("props"), ["k"]).unionByName(
-        rows(ev.where(third), F.col("event_id"), F.col("props"), ["k", "m"]))
-    return props.unionByName(rows(t.raw_outputs, -1 - F.col("event_id"), F.col("raw"), ["hype_score", "reason"]))
+    return rows(t.events, "props", F.col("props"), ["k", "m"]).unionByName(
+        rows(t.raw_outputs, "raw", F.col("raw"), ["hype_score", "reason"]))
 
 
 @query("validate_scores", """
