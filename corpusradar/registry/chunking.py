@@ -1 +1,192 @@
+"""Chunking queries. Lines of documents are blocks, lines with bars are one-row tables, short lines are headers."""
 
+from pyspark.sql import functions as F
+
+from corpusradar.operators import chunking as K
+from corpusradar.registry import query
+from corpusradar.registry.sqlviews import view
+from corpusradar.sources.ingest import html_blocks, table_chunk_text
+from corpusradar.sources.store import replace_partition
+
+HEADER = r"^\p{Lu}[\p{L} ]{2,16}[.]?$"
+OPTIONS = dict(pattern=HEADER, min_chars=3, skip_prefix="e")
+MATH = r"""(\$.*?\$|\\[a-zA-Z]+\{|\\frac|\\sum|\\int|[∑∫≈→←⊕‖]|[0-9]+\.[0-9]+e[-+][0-9]+|Equation\s+[0-9]+)"""
+LIST = r"(?m)^\s*[1-9][.)]\s+|^\s*[-•]\s+"
+CAPTION = r"(?i)^(Fig\.?|Figure|Table)\s*[0-9]+"
+NOISE = r"^[0-9\s\.]+$|^[A-Z\s]{2,6}$|^\s*[0-9]+\s*$|^https?://\S+$"
+STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+def noise_sql(col: str, n: int) -> str:
+    return (rf"(length({col}) < {n} OR regexp_matches({col}, '{NOISE}') OR (length(regexp_replace({col}, '[^\p{{L}}]', '', 'g'))"
+            rf" / greatest(length({col}), 1) < 0.25 AND NOT regexp_matches({col}, '{MATH}')))")
+
+
+view("table_blocks", rf"""
+SELECT paper_id, page, block_no, contains(text, '|') AS is_table,
+       CASE WHEN contains(text, '|') THEN header || chr(10) || repeat('-', greatest(30, length(header))) ELSE {STRIP.format('text')} END AS raw
+FROM (SELECT *, array_to_string(list_transform(string_split(text, '|'), lambda c: {STRIP.format('c')}), ' | ') AS header FROM blocks)""", "blocks")
+view("spans", rf"""
+SELECT *, coalesce(last_value(CASE WHEN is_header THEN raw END IGNORE NULLS) OVER w, 'Abstract') AS section,
+       CAST(sum(CAST(is_header AS INTEGER)) OVER w AS INTEGER) AS section_order
+FROM (SELECT *, NOT is_table AND length(raw) BETWEEN 3 AND 90 AND regexp_matches(raw, '{HEADER}') AS is_header
+      FROM (SELECT *, CASE WHEN is_table THEN row_number() OVER (PARTITION BY paper_id, page, is_table ORDER BY block_no) - 1 END AS table_no FROM table_blocks)
+      WHERE CASE WHEN is_table THEN length(raw) >= 30 ELSE NOT {noise_sql('raw', 3)} END)
+WINDOW w AS (PARTITION BY paper_id ORDER BY page, is_table DESC, block_no)""", "table_blocks")
+view("overlapped", rf"""
+SELECT *, CASE WHEN is_table OR is_caption OR before IS NULL THEN raw
+   ELSE array_to_string(bw[greatest(len(bw) - 49, 1):], ' ') || ' [...] ' || raw END AS raw_text
+FROM (SELECT *, list_filter(regexp_split_to_array(before, '\s+'), lambda w: w <> '') AS bw FROM (
+  SELECT *, lag(raw) OVER (PARTITION BY paper_id, section_order, is_table ORDER BY page, block_no) AS before,
+         NOT is_table AND regexp_matches(raw, '{CAPTION}') AS is_caption, NOT is_table AND regexp_matches(raw, '{MATH}') AS has_math,
+         NOT is_table AND regexp_matches(raw, '{LIST}') AS has_list
+  FROM spans WHERE NOT is_header AND (is_table OR NOT starts_with(lower(section), 'e'))))""", "spans")
+view("chunks", """
+SELECT paper_id || '_p' || page || CASE WHEN is_table THEN '_t' || table_no ELSE '_b' || position END AS chunk_id,
+       '[' || section || ' | ' || concat_ws(' | ', 'Page ' || page, CASE WHEN is_table THEN 'TABLE' END, CASE WHEN has_math THEN 'MATH' END,
+         CASE WHEN has_list THEN 'LIST' END, CASE WHEN is_caption THEN 'FIGURE' END) || ']' || chr(10) || raw AS text,
+       raw_text, raw AS clean_text, page, section, section_order,
+       CASE WHEN is_table THEN 'table' WHEN is_caption THEN 'caption' WHEN has_math THEN 'math' ELSE 'text' END AS type,
+       has_math, has_list, is_caption, paper_id, position
+FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY page, is_table DESC, block_no) - 1 AS position FROM overlapped)""", "overlapped")
+view("summaries", r"""
+SELECT paper_id || '_sum_' || left(regexp_replace(lower(section), '[^a-z0-9]', '_', 'g'), 40) AS chunk_id,
+       '[SECTION OVERVIEW: ' || section || ']' || chr(10) || clean AS text, clean AS raw_text, clean AS clean_text, 0 AS page, section,
+       section_order, 'summary' AS type, has_math, false AS has_list, false AS is_caption, paper_id
+FROM (SELECT paper_id, section, arg_max(section_order, position) AS section_order, bool_or(has_math) AS has_math,
+        array_to_string(list_filter(regexp_split_to_array(string_agg(clean_text, ' ' ORDER BY position), '\s+'), lambda w: w <> '')[:500], ' ') AS clean
+      FROM chunks WHERE type IN ('text', 'math') GROUP BY paper_id, section)""", "chunks")
+view("stored_chunks", """
+SELECT chunk_id, paper_id, text, page, section, section_order, type, has_math, has_list, is_caption, left(clean_text, 1000) AS raw_text,
+       left(raw_text, 1200) AS raw_text_ctx
+FROM (SELECT chunk_id, text, raw_text, clean_text, page, section, section_order, type, has_math, has_list, is_caption, paper_id FROM chunks
+      UNION ALL SELECT * FROM summaries)""", "chunks summaries")
+view("heading_spans", rf"""
+SELECT doc_id AS paper_id, page, block_no, is_header, raw, coalesce(last_value(CASE WHEN is_header THEN raw END IGNORE NULLS) OVER w, 'Abstract') AS section,
+       CAST(sum(CAST(is_header AS INTEGER)) OVER w AS INTEGER) AS section_order
+FROM (SELECT *, kind = 'heading' AS is_header, text AS raw FROM page_blocks WHERE NOT {noise_sql('text', 3)})
+WINDOW w AS (PARTITION BY doc_id ORDER BY page, block_no)""", "page_blocks")
+
+
+def table_blocks(t):
+    table = F.contains("text", F.lit("|"))
+    return t.blocks.select("paper_id", "page", "block_no", F.when(table, "table").otherwise("text").alias("kind"),
+                           F.when(table, table_chunk_text(F.array(F.split("text", r"\|")))).otherwise(F.col("text")).alias("text"))
+
+
+def chunks(t):
+    return K.chunk_records(table_blocks(t), **OPTIONS)
+
+
+def stored_chunks(t):
+    return K.build_index(table_blocks(t), **OPTIONS)
+
+
+def heading_spans(t):
+    # Python's strip and the block cutter agree here: block text has no outer white space.
+    blocks = html_blocks(t.pages).withColumnRenamed("doc_id", "paper_id")
+    heads = blocks.withColumn("text", F.when(F.col("kind") == "heading", F.concat(F.lit("\u0003"), "text")).otherwise(F.col("text")))
+    spans = K.section_spans(heads.drop("kind"), min_chars=3, header=F.col("raw").startswith("\u0003"))
+    clean = lambda c: F.replace(F.col(c), F.lit("\u0003"), F.lit("")).alias(c)
+    return spans.select("paper_id", "page", "block_no", "is_header", "is_table", clean("raw"), clean("section"), "section_order")
+
+
+@query("block_is_noise", f"SELECT paper_id, block_no, {noise_sql(STRIP.format('text'), 20)} AS noise FROM blocks", "blocks")
+def _(t):
+    return t.blocks.select("paper_id", "block_no", K.block_is_noise(F.col("text")).alias("noise"))
+
+
+@query("block_flags", f"""
+SELECT paper_id, block_no, regexp_matches(text, '{MATH}') AS has_math, regexp_matches(text, '{LIST}') AS has_list,
+       regexp_matches({STRIP.format('text')}, '{CAPTION}') AS is_caption FROM blocks""", "blocks")
+def _(t):
+    c = F.col("text")
+    return t.blocks.select("paper_id", "block_no", K.has_math(c).alias("has_math"), K.has_list(c).alias("has_list"),
+                           K.is_caption(c).alias("is_caption"))
+
+
+@query("section_spans", "SELECT paper_id, page, block_no, is_header, section, section_order FROM spans", "spans")
+def _(t):
+    return K.section_spans(table_blocks(t), HEADER, 3).select("paper_id", "page", "block_no", "is_header", "section", "section_order")
+
+
+@query("drop_references", """
+SELECT paper_id, block_no, section, section_order FROM heading_spans WHERE NOT starts_with(lower(section), 'th')""", "heading_spans")
+def _(t):
+    return K.drop_references(heading_spans(t), "th").select("paper_id", "block_no", "section", "section_order")
+
+
+@query("overlap_prefix", "SELECT paper_id, block_no, raw_text FROM overlapped", "overlapped")
+def _(t):
+    spans = K.section_spans(table_blocks(t), HEADER, 3).where(~F.col("is_header"))
+    return K.overlap_prefix(K.drop_references(spans, "e")).select("paper_id", "block_no", "raw_text")
+
+
+@query("chunk_records", """
+SELECT chunk_id, text, raw_text, clean_text, page, section, section_order, type, has_math, has_list, is_caption FROM chunks""", "chunks")
+def _(t):
+    return chunks(t).drop("paper_id", "position")
+
+
+@query("chunk_ids", "SELECT paper_id, position, chunk_id, type FROM chunks", "chunks")
+def _(t):
+    return chunks(t).select("paper_id", F.col("position").cast("bigint").alias("position"), "chunk_id", "type")
+
+
+@query("section_summaries", "SELECT chunk_id, text, section, section_order, has_math, page FROM summaries", "summaries")
+def _(t):
+    return K.section_summaries(chunks(t)).select("chunk_id", "text", "section", "section_order", "has_math", "page")
+
+
+@query("index_stats", """
+SELECT paper_id, coalesce(sections, 0) AS sections, pages, coalesce(n, 0) + coalesce(summaries, 0) AS chunks, coalesce(math, 0) AS math,
+       coalesce(tables, 0) AS tables, coalesce(captions, 0) AS captions, coalesce(summaries, 0) AS summaries
+FROM (SELECT paper_id, max(page) AS pages FROM blocks GROUP BY paper_id)
+LEFT JOIN (SELECT paper_id, count(DISTINCT section) AS sections, count(*) AS n, count(*) FILTER (has_math) AS math,
+           count(*) FILTER (type = 'table') AS tables, count(*) FILTER (is_caption) AS captions FROM chunks GROUP BY paper_id) USING (paper_id)
+LEFT JOIN (SELECT paper_id, count(*) AS summaries FROM summaries GROUP BY paper_id) USING (paper_id)""", "blocks chunks summaries")
+def _(t):
+    c = chunks(t)
+    return K.index_stats(c, K.section_summaries(c), t.blocks)
+
+
+@query("build_index", "SELECT * FROM stored_chunks", "stored_chunks")
+def _(t):
+    return stored_chunks(t)
+
+
+@query("replace_partition", """
+SELECT chunk_id, paper_id, raw_text, 'old' AS batch FROM stored_chunks WHERE paper_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT chunk_id, paper_id, reverse(raw_text), 'new' FROM stored_chunks WHERE paper_id IN (SELECT doc_id FROM labels)
+""", "stored_chunks")
+def _(t):
+    old = stored_chunks(t).select("chunk_id", "paper_id", "raw_text", F.lit("old").alias("batch"))
+    redone = old.join(t.labels.select(F.col("doc_id").alias("paper_id")), "paper_id", "left_semi").select(
+        "chunk_id", "paper_id", F.reverse("raw_text").alias("raw_text"), F.lit("new").alias("batch"))
+    return replace_partition(old, redone)
+
+
+def nodes(t):
+    blocks = html_blocks(t.pages)
+    return blocks.select("doc_id", F.col("block_no").alias("node_id"), F.lit(0).alias("parent_id"), F.col("kind").alias("title"),
+                         F.col("page").alias("page_index"), F.when(F.col("kind") == "heading", F.col("page") + 1).alias("end_index"), "text")
+
+
+@query("node_tree_stats", """
+SELECT doc_id, count(*) AS nodes, max(CASE WHEN kind = 'heading' THEN page + 1 ELSE page END) AS pages FROM page_blocks GROUP BY doc_id""",
+       "page_blocks")
+def _(t):
+    return K.node_tree_stats(nodes(t))
+
+
+@query("node_citations", """
+SELECT doc_id, 'context' AS type, string_agg('[Section: ' || kind || ' | Page ' || page || ']' || chr(10) || text,
+         chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY block_no) AS value, 0 AS position FROM page_blocks GROUP BY doc_id
+UNION ALL SELECT doc_id, type, value, row_number() OVER (PARTITION BY doc_id ORDER BY seen, k) FROM (
+  SELECT doc_id, type, value, min(block_no) AS seen, min(k) AS k FROM (
+    SELECT doc_id, block_no, 0 AS k, 'page' AS type, CAST(page AS VARCHAR) AS value FROM page_blocks
+    UNION ALL SELECT doc_id, block_no, 1, 'section', kind FROM page_blocks) GROUP BY doc_id, type, value)""", "page_blocks")
+def _(t):
+    context = K.node_context(nodes(t)).select("doc_id", F.lit("context").alias("type"), F.col("context").alias("value"),
+                                              F.lit(0).alias("position"))
+    return context.unionByName(K.node_citations(nodes(t)))

@@ -112,3 +112,8 @@ view("blocks", """
 SELECT doc_id AS paper_id, CAST((i - 1) // 8 + 1 AS INTEGER) AS page, CAST(i - 1 AS INTEGER) AS block_no, lines[i] AS text
 FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i
       FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))""")
+view("decorated_queries", """
+SELECT item_id AS query_id, concat(CASE item_id % 4 WHEN 0 THEN 'what are the main results ' WHEN 1 THEN 'figure of '
+  WHEN 2 THEN 'BERT and FlashMix ' ELSE 'latest ' END, text) AS query FROM benchmark""")
+view("paper_questions", """
+SELECT conv_id * 1000 + turn AS query_id, conv_id AS paper_id, text AS query FROM decorated_turns WHERE role = 'user'""", "decorated_turns")

@@ -159,6 +159,21 @@ class Tables:
     def search_queries(self) -> DataFrame:
         return self.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
+    @cached_property
+    def decorated_queries(self) -> DataFrame:
+        """Search queries with a phrase that triggers one of the boosts."""
+        n = F.col("item_id") % 4
+        prefix = (F.when(n == 0, "what are the main results ").when(n == 1, "figure of ").when(n == 2, "BERT and FlashMix ")
+                  .otherwise("latest "))
+        return self.benchmark.select(F.col("item_id").alias("query_id"), F.concat(prefix, "text").alias("query"))
+
+    @cached_property
+    def paper_questions(self) -> DataFrame:
+        """What users ask about one paper: the user turns of conversation n are about paper n."""
+        return self.decorated_turns.where("role = 'user'").select(
+            (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("conv_id").alias("paper_id"),
+            F.col("text").alias("query"))
+
     @cached_property
     def turns(self) -> DataFrame:
         return self.conversations.select(
