@@ -15,8 +15,9 @@ from corpusradar.session import broadcast_if_small
 
 def postings(corpus: DataFrame, id_col: str, scope: str) -> DataFrame:
     """``(scope, id_col, dl, term, tf)``; one exchange on ``id_col`` serves counting here and scoring later."""
-    tokens = search_tokens(F.col("text"))
-    rows = corpus.select(scope, id_col, "text").repartition(id_col).select(scope, id_col, F.size(tokens).alias("dl"), F.explode(tokens).alias("term"))
+    cut = corpus.select(scope, id_col, search_tokens(F.col("text")).alias("_tokens")).repartition(id_col)
+    # The length is a column before the explode; beside it, it would be worked out again for every token.
+    rows = cut.select(scope, id_col, F.size("_tokens").alias("dl"), "_tokens").select(scope, id_col, "dl", F.explode("_tokens").alias("term"))
     return rows.groupBy(id_col, scope, "dl", "term").agg(F.count("*").alias("tf"))
 
 
