@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusradar.session import broadcast_if_small
+from corpusradar.session import broadcast_if_small, cut_lineage
 
 
 def _block_counts(df: DataFrame, group: str, rows: int, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def _block_counts(df: DataFrame, group: str, rows: int, name: str) -> DataFrame:
 
 def _cut(df: DataFrame, counts: DataFrame, group: str, key: Column, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
     """Give each row its own block and one copy per block of the other side."""
-    sized = df.join(broadcast_if_small(counts), group)
+    sized = df.join(counts, group)
     return sized.select(  # fresh aliases: both sides may come from one frame
         *[F.col(c).alias(c) for c in df.columns], F.pmod(F.xxhash64(key), F.col(own_n)).cast("int").alias(own),
         F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)).alias(other))
@@ -33,8 +33,12 @@ def block_join(
     left: DataFrame, right: DataFrame, group: str, left_key: str, right_key: str,
     kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, left_rows: int = 1024, right_rows: int = 8192,
 ) -> DataFrame:
-    """Run ``kernel`` once per pair of blocks of the same ``group`` and unite what it returns."""
-    counts = _block_counts(left, group, left_rows, "_ln").join(_block_counts(right, group, right_rows, "_rn"), group)
+    """Run ``kernel`` once per pair of blocks of the same ``group`` and unite what it returns.
+
+    The sizes of the groups are counted first, so both sides should be stored tables or checkpointed.
+    """
+    counts = broadcast_if_small(cut_lineage(
+        _block_counts(left, group, left_rows, "_ln").join(_block_counts(right, group, right_rows, "_rn"), group)))
     a = _cut(left, counts, group, F.col(left_key), "_lb", "_ln", "_rb", "_rn")
     b = _cut(right, counts, group, F.col(right_key), "_rb", "_rn", "_lb", "_ln")
     keys = [group, "_lb", "_rb"]

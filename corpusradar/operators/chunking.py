@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from corpusradar import constants as C
 from corpusradar.functions.text import strip, words
+from corpusradar.session import union_all
 from corpusradar.sources.store import replace_partition
 
 CHUNK_COLUMNS = ["chunk_id", "text", "raw_text", "clean_text", "page", "section", "section_order", "type", "has_math", "has_list",
-                 "is_caption", "paper_id"]
+                 "is_caption", "paper_id", "position"]
 
 
 def has_math(text: Column) -> Column:
@@ -120,7 +121,8 @@ def section_summaries(chunks: DataFrame, limit: int = 500) -> DataFrame:
         F.concat(F.col("paper_id").cast("string"), F.lit("_sum_"), slug).alias("chunk_id"),
         F.concat(F.lit("[SECTION OVERVIEW: "), "section", F.lit("]\n"), "clean_text").alias("text"),
         F.col("clean_text").alias("raw_text"), "clean_text", F.lit(0).alias("page"), "section", "section_order",
-        F.lit("summary").alias("type"), "has_math", F.lit(False).alias("has_list"), F.lit(False).alias("is_caption"), "paper_id")
+        F.lit("summary").alias("type"), "has_math", F.lit(False).alias("has_list"), F.lit(False).alias("is_caption"), "paper_id",
+        F.lit(None).cast("int").alias("position"))
 
 
 def index_stats(chunks: DataFrame, summaries: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -139,14 +141,14 @@ def index_stats(chunks: DataFrame, summaries: DataFrame, blocks: DataFrame) -> D
 def stored_form(chunks: DataFrame) -> DataFrame:
     """What the index keeps for readers: clean text and text with overlap, cut to the stored lengths."""
     return chunks.select(
-        "chunk_id", "paper_id", "text", "page", "section", "section_order", "type", "has_math", "has_list", "is_caption",
+        "chunk_id", "paper_id", "position", "text", "page", "section", "section_order", "type", "has_math", "has_list", "is_caption",
         F.substring("clean_text", 1, 1000).alias("raw_text"), F.substring("raw_text", 1, 1200).alias("raw_text_ctx"))
 
 
 def build_index(blocks: DataFrame, stored: DataFrame | None = None, **options) -> DataFrame:
     """Chunks and section summaries of all papers in ``blocks``, replacing what ``stored`` holds of these papers."""
     chunks = chunk_records(blocks, **options)
-    fresh = stored_form(chunks.select(CHUNK_COLUMNS).unionByName(section_summaries(chunks)))
+    fresh = stored_form(union_all(chunks.select(CHUNK_COLUMNS), section_summaries(chunks)))
     return fresh if stored is None else replace_partition(stored, fresh)
 
 

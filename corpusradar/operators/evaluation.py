@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusradar import constants as C
 from corpusradar.functions.scoring import generic_reason
 from corpusradar.operators.ordered import median_by_count
+from corpusradar.session import union_all
 
 
 def range_misses(predictions: DataFrame, expected: DataFrame) -> DataFrame:
@@ -125,7 +126,4 @@ def evaluation_report(accuracy: DataFrame, discrimination: DataFrame, precision:
                                    ("papers with code %", "code_pct", "", None)]),
         metric_rows(gems.agg(F.count("*").alias("n")), [("hidden gems", "n", "", None)]),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return union_all(*parts)

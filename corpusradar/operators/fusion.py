@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusradar import constants as C
 from corpusradar.functions.text import contains_any, search_tokens
 from corpusradar.operators.lexical import named_entities
+from corpusradar.session import union_all
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -35,8 +36,8 @@ def section_boost(ranked: DataFrame, boosts: Mapping[str, Sequence[str]] = C.SEC
 def rrf_fuse(dense: DataFrame, lexical: DataFrame, id_col: str, k: int = 60, lexical_bonus: Column | None = None) -> DataFrame:
     """``sum 1 / (k + rank)`` over both lists of ``(query_id, id_col, rank)``; ``lexical_bonus`` adds weight to the lexical side."""
     weight = F.lit(1.0) if lexical_bonus is None else F.lit(1.0) + lexical_bonus
-    votes = dense.select("query_id", id_col, (F.lit(1.0) / (k + F.col("rank"))).alias("_v")).unionByName(
-        lexical.select("query_id", id_col, (weight / (k + F.col("rank"))).alias("_v")))
+    votes = union_all(dense.select("query_id", id_col, (F.lit(1.0) / (k + F.col("rank"))).alias("_v")),
+                      lexical.select("query_id", id_col, (weight / (k + F.col("rank"))).alias("_v")))
     return votes.groupBy("query_id", id_col).agg(F.round(F.sum("_v"), 9).alias("score"))
 
 
@@ -97,17 +98,18 @@ def pair_rerank(candidates: DataFrame, id_col: str, top_n: Column, scorer: Score
     return reranked.where(F.col("new_rank") <= top_n).drop("_n", "_text", "rank").withColumnRenamed("new_rank", "rank")
 
 
-def neighbor_expand(selected: DataFrame, pool: DataFrame, id_col: str, max_extra: int = 4) -> DataFrame:
+def neighbor_expand(selected: DataFrame, pool: DataFrame, id_col: str, max_extra: int = 4, key: str = "query_id") -> DataFrame:
     """Previous and next chunk of the same section for each selected chunk: ``(query_id, id_col, rank)`` of the additions.
 
-    ``selected(query_id, id_col, rank)``, ``pool(query_id, id_col, position, section)``. ``position`` is the place in the
-    document, or in the retrieved list for neighbours in retrieval order. Selected chunks are visited by rank; once the
-    additions reach ``max_extra`` no further chunk is visited, so the last one may still bring both of its neighbours.
+    ``selected(query_id, id_col, rank)``, ``pool(key, id_col, position, section)``: with ``key='paper_id'`` (then also a
+    column of ``selected``) positions count in the document, with ``key='query_id'`` in the retrieved list. Selected chunks
+    are visited by rank; once the additions reach ``max_extra`` no further chunk is visited, so the last one may still bring
+    both of its neighbours.
     """
-    s = selected.join(pool, ["query_id", id_col]).select(
-        "query_id", F.col("rank").alias("_rank"), F.col("section").alias("_section"), F.col("position").alias("_at"))
-    sides = s.select("*", F.explode(F.array(F.lit(-1), F.lit(1))).alias("_side")).withColumn("position", F.col("_at") + F.col("_side"))
-    near = sides.join(pool, ["query_id", "position"]).where(F.col("section") == F.col("_section"))
+    s = selected.join(pool, [key, id_col]).select(
+        *dict.fromkeys(["query_id", key]), F.col("rank").alias("_rank"), F.col("section").alias("_section"), F.col("position").alias("_at"))
+    sides = s.withColumn("_side", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("position", F.col("_at") + F.col("_side"))
+    near = sides.join(pool, [key, "position"]).where(F.col("section") == F.col("_section"))
     fresh = near.join(selected.select("query_id", id_col), ["query_id", id_col], "left_anti")
     first = fresh.groupBy("query_id", id_col).agg(F.min(F.struct("_rank", "_side")).alias("_from"))
     earlier = F.count("*").over(W.partitionBy("query_id").orderBy("_from._rank").rangeBetween(W.unboundedPreceding, -1))
@@ -151,11 +153,11 @@ def merge_sources(*sources: DataFrame) -> DataFrame:
     The first list's row stays, with the smallest distance and all sources; a summary and what belongs to it are filled in
     from the first list that has one.
     """
-    union = None
-    for i, df in enumerate(sources):
-        part = df.select("query_id", "paper_id", "title", "abstract", "summary", "stack_fit", "score_reasoning", "overall_score",
+    parts = [
+        df.select("query_id", "paper_id", "title", "abstract", "summary", "stack_fit", "score_reasoning", "overall_score",
                          "action", "paper_url", "velocity_score", "distance", "rank", "source", F.lit(i).alias("priority"))
-        union = part if union is None else union.unionByName(part)
+        for i, df in enumerate(sources)]
+    union = union_all(*parts)
     late = ["summary", "stack_fit", "action", "overall_score"]
     keep = ["title", "abstract", "score_reasoning", "paper_url", "velocity_score", "source", "rank", *late]
     grouped = union.groupBy("query_id", "paper_id").agg(
@@ -187,7 +189,7 @@ def intent_rerank(papers: DataFrame, n: int = 6) -> DataFrame:
         .when(i == "recommend", sim * 0.35 + prod * 0.3 + vel * 0.15 + multi * 0.2)
         .otherwise(sim * 0.5 + prod * 0.3 + multi * 0.2 + fresh)
     )
-    scored = papers.withColumn("rerank_score", F.round(score, 6))
+    scored = papers.withColumn("rerank_score", F.round(score, 9))
     order = by_query(F.col("rerank_score").desc(), "priority", "rank", "paper_id")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 

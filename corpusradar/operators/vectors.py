@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusradar import constants as C
 from corpusradar.functions.text import search_tokens
 from corpusradar.operators.blocks import block_join, matrix, topk_kernel, unit_rows
+from corpusradar.session import union_all
 
 Encoder = Callable[[DataFrame, str, str], DataFrame]
 
@@ -182,4 +183,4 @@ def similarity_pairs(vectors: DataFrame, max_dist: float, id_col: str = "vec_id"
                        left_rows=2048, right_rows=2048)
     stars = members.where("member <> rep").select(F.col("rep").alias("id_a"), F.col("member").alias("id_b"),
                                                   F.lit(0.0).alias("distance"))
-    return pairs.unionByName(stars)
+    return union_all(pairs, stars)

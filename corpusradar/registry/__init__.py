@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusradar.registry.sqlviews import with_views
+from corpusradar.session import UNION_PARTITIONING
 from corpusradar.sources.views import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,7 @@ def query(name: str, sql: str | None = None, views: str = ""):
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            spark.conf.set(UNION_PARTITIONING, "false")
             return fn(Tables(spark, folder))
 
         QUERIES[name] = run

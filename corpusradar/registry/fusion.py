@@ -1 +1,366 @@
+"""Fusion, reranking, context and composed retrieval queries."""
 
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from corpusradar import constants as C
+from corpusradar.functions import dialog as D
+from corpusradar.operators import fusion as X
+from corpusradar.operators.lexical import bm25_topk, keyword_overlap_topk
+from corpusradar.operators.vectors import hashing_encoder, nearest, with_metadata
+from corpusradar.plans.retrieve import global_retrieve, multi_query_merge, retrieve_context
+from corpusradar.registry import query
+from corpusradar.registry.chunking import chunks, stored_chunks
+from corpusradar.registry.lexical import ENTITIES, TOK, bm25_views, corpus, expand_sql
+from corpusradar.registry.questions import any_sql, budget_sql, global_sql, has_sql
+from corpusradar.registry.sqlviews import view
+from corpusradar.registry.vectors import doc_vectors, hashed_sql
+from corpusradar.session import cut_lineage
+
+view("dq_vectors", hashed_sql("decorated_queries", "query_id", "query"), "decorated_queries")
+view("dense_all", """
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, paper_id) AS rank FROM (
+  SELECT query_id, paper_id, round(1 - list_dot_product(q.embedding, d.embedding), 6) AS distance FROM dq_vectors q, doc_vectors d)""",
+     "dq_vectors doc_vectors")
+view("flags", "SELECT doc_id AS paper_id, n_chars % 3 = 0 AS has_list, n_chars % 4 = 0 AS is_caption, text FROM documents")
+
+
+def rrf_sql(dense: str, lexical: str, bonus: str = "0") -> str:
+    return f"""SELECT query_id, paper_id, round(sum(v), 9) AS score FROM (
+  SELECT query_id, paper_id, 1.0::DOUBLE / (60 + rank) AS v FROM {dense} WHERE rank <= 15
+  UNION ALL SELECT l.query_id, paper_id, (1 + {bonus})::DOUBLE / (60 + rank) FROM {lexical} l JOIN decorated_queries q USING (query_id))
+GROUP BY query_id, paper_id"""
+
+
+BONUS = f"CASE WHEN len({ENTITIES.format('query')}) > 0 THEN 0.4 ELSE 0 END"
+CAPTION_Q = r"regexp_matches(query, '(?i)\b(figure|fig|diagram|table|illustration|plot|chart)\b')"
+view("rrf", rrf_sql("dense_all", "lex_hits"), "dense_all lex_hits decorated_queries")
+view("rrf_entity", rrf_sql("dense_all", "lex_hits", BONUS), "dense_all lex_hits decorated_queries")
+view("boosted", f"""
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS rank FROM (
+  SELECT query_id, paper_id, query, text, round(score * CASE WHEN {has_sql('query', C.LIST_TRIGGERS)} AND has_list THEN 1.5 ELSE 1 END
+     * CASE WHEN {CAPTION_Q} AND is_caption THEN 1.6 ELSE 1 END, 9) AS score
+  FROM rrf_entity JOIN decorated_queries USING (query_id) JOIN flags USING (paper_id))""", "rrf_entity decorated_queries flags")
+
+
+def dense_hits(t, n=15):
+    return nearest(hashing_encoder(t.decorated_queries, "query_id", "query"), doc_vectors(t), n, "cosine", "paper_id")
+
+
+def lex_hits(t):
+    return bm25_topk(t.decorated_queries, corpus(t), 15)
+
+
+def flags(t):
+    return t.documents.select(F.col("doc_id").alias("paper_id"), (F.col("n_chars") % 3 == 0).alias("has_list"),
+                              (F.col("n_chars") % 4 == 0).alias("is_caption"), "text")
+
+
+def boosted(t):
+    return X.fuse_with_boosts(t.decorated_queries, dense_hits(t), lex_hits(t), flags(t), "paper_id")
+
+
+BOOSTS = {"implement": ["th", "er"], "math": ["ei", "un"]}
+view("lang_ranked", """
+SELECT paper_id AS query_id, chunk_id, section, position AS rank, CASE lang WHEN 'en' THEN 'implement' WHEN 'de' THEN 'math' ELSE 'results' END AS intent
+FROM chunks JOIN papers USING (paper_id)""", "chunks papers")
+
+
+def lang_ranked(t):
+    lang = t.papers.select("paper_id", F.when(F.col("lang") == "en", "implement").when(F.col("lang") == "de", "math")
+                           .otherwise("results").alias("intent"))
+    return chunks(t).join(lang, "paper_id").select(F.col("paper_id").alias("query_id"), "chunk_id", "section", F.col("position").alias("rank"), "intent")
+
+
+@query("section_boost", f"""
+SELECT query_id, chunk_id, boosted, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, rank) AS rank FROM (
+  SELECT *, (intent = 'implement' AND {has_sql('section', ['th', 'er'])}) OR (intent = 'math' AND {has_sql('section', ['ei', 'un'])}) AS boosted
+  FROM lang_ranked)""", "lang_ranked")
+def _(t):
+    return X.section_boost(lang_ranked(t), BOOSTS).select("query_id", "chunk_id", "boosted", "rank")
+
+
+@query("rrf_fuse", "SELECT * FROM rrf", "rrf")
+def _(t):
+    return X.rrf_fuse(dense_hits(t), lex_hits(t), "paper_id")
+
+
+@query("entity_boost", "SELECT * FROM rrf_entity", "rrf_entity")
+def _(t):
+    q = t.decorated_queries.select("query_id", X.entity_boost(F.col("query")).alias("bonus"))
+    return X.rrf_fuse(dense_hits(t), lex_hits(t).join(q, "query_id"), "paper_id", 60, F.col("bonus"))
+
+
+@query("list_boost", f"""
+SELECT query_id, paper_id, round(score * CASE WHEN {has_sql('query', C.LIST_TRIGGERS)} AND has_list THEN 1.5 ELSE 1 END, 9) AS score
+FROM rrf JOIN decorated_queries USING (query_id) JOIN flags USING (paper_id)""", "rrf decorated_queries flags")
+def _(t):
+    fused = X.rrf_fuse(dense_hits(t), lex_hits(t), "paper_id").join(t.decorated_queries, "query_id").join(flags(t), "paper_id")
+    return fused.select("query_id", "paper_id", F.round(F.col("score") * X.list_boost(F.col("query"), F.col("has_list")), 9).alias("score"))
+
+
+@query("caption_boost", "SELECT query_id, paper_id, score, rank FROM boosted", "boosted")
+def _(t):
+    return boosted(t)
+
+
+view("pairs", f"""
+SELECT query_id, paper_id, rank, count(*) OVER (PARTITION BY query_id) AS n,
+       list_intersect(list_distinct({TOK.format('query')}), list_distinct({TOK.format('left(text, 400)')})) AS shared FROM boosted WHERE rank <= 10""", "boosted")
+
+
+@query("pair_rerank", """
+SELECT query_id, paper_id, pair_score, new_rank AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pair_score DESC, rank) AS new_rank FROM (
+    SELECT query_id, paper_id, any_value(p.rank) AS rank, coalesce(round(sum(w), 6), 0) AS pair_score FROM pairs p LEFT JOIN (
+      SELECT query_id, paper_id, ln(1 + n::DOUBLE / count(*) OVER (PARTITION BY query_id, term)) AS w FROM (
+        SELECT query_id, paper_id, n, unnest(shared) AS term FROM pairs)) USING (query_id, paper_id) GROUP BY query_id, paper_id)) WHERE new_rank <= 5""", "pairs")
+def _(t):
+    candidates = boosted(t).join(t.decorated_queries, "query_id").join(corpus(t), "paper_id").select(
+        "query_id", "paper_id", "query", "text", "rank")
+    return X.pair_rerank(candidates, "paper_id", F.lit(5)).select("query_id", "paper_id", "pair_score", "rank")
+
+
+view("picked", """
+SELECT * FROM (SELECT paper_id AS query_id, chunk_id, section, section_order, page, position, raw_text, (position * 37 % 25) / 10.0::DOUBLE AS distance,
+  row_number() OVER (PARTITION BY paper_id ORDER BY length(clean_text) DESC, chunk_id) AS rank FROM chunks) WHERE rank <= 5""", "chunks")
+view("reading", "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY section_order, page, rank) AS place FROM picked", "picked")
+
+
+def picked(t):
+    order = W.partitionBy("paper_id").orderBy(F.length("clean_text").desc(), "chunk_id")
+    c = chunks(t).withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    return c.select(F.col("paper_id").alias("query_id"), "chunk_id", "section", "section_order", "page", F.col("raw_text").alias("context_text"),
+                    (F.col("position") * 37 % 25 / 10).alias("distance"), "rank")
+
+
+@query("neighbor_expand", """
+SELECT query_id, chunk_id FROM (SELECT *, count(*) OVER (PARTITION BY query_id ORDER BY rank RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
+FROM (SELECT p.query_id, c.chunk_id, min(p.rank) AS rank FROM picked p JOIN chunks c ON c.paper_id = p.query_id AND abs(c.position - p.position) = 1
+       AND c.section = p.section WHERE c.chunk_id NOT IN (SELECT chunk_id FROM picked) GROUP BY 1, 2)) WHERE earlier < 4""", "picked chunks")
+def _(t):
+    places = chunks(t).select(F.col("paper_id").alias("query_id"), "chunk_id", "position", "section")
+    return X.neighbor_expand(picked(t).select("query_id", "chunk_id", "rank"), places, "chunk_id").select("query_id", "chunk_id")
+
+
+@query("reading_order", "SELECT query_id, chunk_id, place AS position FROM reading", "reading")
+def _(t):
+    return X.reading_order(picked(t)).select("query_id", "chunk_id", "position")
+
+
+def context_sql(hits: str, text: str) -> str:
+    return f"""
+SELECT query_id, string_agg(CASE WHEN first AND section <> '' THEN '── ' || section || ' ──' || chr(10) || {text} ELSE {text} END, chr(10) || chr(10) ORDER BY place) AS context
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, section ORDER BY place) = 1 AS first FROM {hits} WHERE distance <= 1.8) GROUP BY query_id"""
+
+
+def citation_sql(hits: str) -> str:
+    return f"""
+SELECT query_id, type, value, row_number() OVER (PARTITION BY query_id ORDER BY seen, k) AS citation_no FROM (
+  SELECT query_id, type, value, min(place) AS seen, min(k) AS k FROM (
+    SELECT query_id, place, 0 AS k, 'page' AS type, CAST(page AS VARCHAR) AS value FROM {hits} WHERE distance <= 1.8 AND page <> 0
+    UNION ALL SELECT query_id, place, 1, 'section', section FROM {hits} WHERE distance <= 1.8 AND section <> '') GROUP BY query_id, type, value)"""
+
+
+@query("assemble_context", context_sql("reading", "raw_text"), "reading")
+def _(t):
+    return X.assemble_context(X.reading_order(picked(t)))
+
+
+@query("context_citations", citation_sql("reading"), "reading")
+def _(t):
+    return X.context_citations(X.reading_order(picked(t)))
+
+
+# --- corpus questions --------------------------------------------------------------------
+view("q_intent", f"SELECT query_id, query, {global_sql('query')} AS intent FROM decorated_queries", "decorated_queries")
+META = """coalesce(c.title, 'Unknown') AS title, coalesce(c.abstract, '') AS abstract, coalesce(c.summary, '') AS summary, coalesce(c.stack_fit, '') AS stack_fit,
+  '' AS score_reasoning, coalesce(c.overall_score, 0) AS overall_score, coalesce(c.action, '') AS action, 'https://arxiv.org/abs/' || h.paper_id AS paper_url, 0.0 AS velocity_score"""
+view("g_dense", f"SELECT query_id, paper_id, distance, rank, {META}, 'dense' AS source, 0 AS priority FROM dense_all h LEFT JOIN catalog c USING (paper_id) WHERE rank <= 8 AND distance <= 0.5", "dense_all catalog")
+view("g_lex", f"SELECT query_id, paper_id, distance, rank, {META}, 'bm25' AS source, 1 AS priority FROM overlap_hits h LEFT JOIN catalog c USING (paper_id) WHERE rank <= 5", "overlap_hits catalog")
+view("g_live", f"""SELECT query_id, paper_id, 0.5::DOUBLE AS distance, rank, coalesce(c.title, 'Unknown') AS title, coalesce(c.abstract, '') AS abstract, '' AS summary, '' AS stack_fit,
+  '' AS score_reasoning, NULL AS overall_score, 'unanalyzed' AS action, 'https://arxiv.org/abs/' || h.paper_id AS paper_url, 0.0 AS velocity_score, 'live' AS source, 2 AS priority
+  FROM lex_hits h LEFT JOIN catalog c USING (paper_id) WHERE rank <= 5""", "lex_hits catalog")
+view("g_mode", """
+SELECT query_id, intent, coalesce(near, 0) AS local_confidence, intent = 'latest' OR coalesce(near, 0) < 2 AS wants_live, coalesce(nd, 0) AS nd, coalesce(nl, 0) AS nl
+FROM q_intent LEFT JOIN (SELECT query_id, count(*) AS nd, count(*) FILTER (distance < 0.5) AS near FROM g_dense GROUP BY 1) USING (query_id)
+LEFT JOIN (SELECT query_id, count(*) AS nl FROM g_live GROUP BY 1) USING (query_id)""", "q_intent g_dense g_live")
+MODE = "CASE WHEN wants_live AND nl > 0 AND nd = 0 THEN 'arxiv_live' WHEN NOT wants_live OR nl = 0 THEN 'local_db' ELSE 'hybrid' END"
+view("g_merged", """
+SELECT *, list_contains(sources, 'x') AS dummy FROM (
+SELECT query_id, paper_id, arg_min(title, priority) AS title, arg_min(abstract, priority) AS abstract, arg_min(paper_url, priority) AS paper_url,
+  arg_min(source, priority) AS source, arg_min(rank, priority) AS rank, min(priority) AS priority, min(distance) AS distance,
+  coalesce(arg_min(summary, priority) FILTER (summary <> ''), '') AS summary,
+  CASE WHEN count(*) FILTER (summary <> '') > 0 THEN arg_min(stack_fit, priority) FILTER (summary <> '') ELSE arg_min(stack_fit, priority) END AS stack_fit,
+  CASE WHEN count(*) FILTER (summary <> '') > 0 THEN arg_min(action, priority) FILTER (summary <> '') ELSE arg_min(action, priority) END AS action,
+  CASE WHEN count(*) FILTER (summary <> '') > 0 THEN arg_min(overall_score, priority) FILTER (summary <> '') ELSE list(overall_score ORDER BY priority)[1] END AS overall_score,
+  list(source ORDER BY priority) AS sources
+FROM (SELECT * FROM g_dense UNION ALL SELECT * FROM g_lex UNION ALL SELECT * FROM g_live WHERE query_id IN (SELECT query_id FROM g_mode WHERE wants_live))
+GROUP BY query_id, paper_id)""", "g_dense g_lex g_live g_mode")
+view("g_ranked", """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, priority, rank, paper_id) AS place FROM (
+  SELECT *, round(CASE intent WHEN 'practical' THEN sim * 0.3 + prod * 0.4 + adopt * 0.2 + ms * 0.1 WHEN 'latest' THEN sim * 0.4 + live + ms * 0.1
+      WHEN 'learning' THEN sim * 0.4 + prod * 0.25 + hs * 0.2 + adopt * 0.15 WHEN 'compare' THEN sim * 0.5 + prod * 0.2 + ms * 0.2
+      WHEN 'recommend' THEN sim * 0.35 + prod * 0.3 + ms * 0.2 ELSE sim * 0.5 + prod * 0.3 + ms * 0.2 + una END, 9) AS rerank_score
+  FROM (SELECT *, 1 - distance AS sim, coalesce(overall_score, 0) / 10 AS prod, CASE WHEN len(sources) > 1 THEN 0.2::DOUBLE ELSE 0 END AS ms,
+      CASE WHEN summary <> '' THEN 0.1::DOUBLE ELSE 0 END AS hs, CASE WHEN contains(lower(action), 'adopt') THEN 0.15::DOUBLE ELSE 0 END AS adopt,
+      CASE WHEN action = 'unanalyzed' THEN -0.1::DOUBLE ELSE 0 END AS una, CASE WHEN source = 'live' THEN 0.3::DOUBLE ELSE 0 END AS live
+    FROM g_merged JOIN q_intent USING (query_id)))) WHERE place <= 6""", "g_merged q_intent")
+view("g_context", """
+SELECT query_id, '[Retrieved ' || count(*) || ' papers | Intent: ' || upper(any_value(intent)) || CASE WHEN bool_or(source = 'live') THEN ' | Includes live ArXiv results' ELSE '' END
+  || ']' || chr(10) || chr(10) || string_agg('[Paper ' || place || '] ' || title || chr(10) || 'ArXiv: ' || paper_url || chr(10) || 'Score: ' ||
+  CASE WHEN coalesce(overall_score, 0) <> 0 THEN printf('%.1f/10', overall_score) ELSE 'not yet analyzed' END || ' | Action: ' || action || ' | Source: ' ||
+  array_to_string(sources, ', ') || chr(10) || 'Abstract: ' || left(abstract, 300) || chr(10) ||
+  CASE WHEN summary <> '' THEN 'Summary: ' || left(summary, 200) || chr(10) ELSE '' END ||
+  CASE WHEN stack_fit <> '' AND intent = 'practical' THEN 'Stack Fit: ' || stack_fit || chr(10) ELSE '' END, chr(10) || '---' || chr(10) ORDER BY place) AS context
+FROM g_ranked GROUP BY query_id""", "g_ranked")
+
+
+def live_rows(t):
+    hits = lex_hits(t).where("rank <= 5").select("query_id", "paper_id", F.lit(0.5).alias("distance"), "rank")
+    return with_metadata(hits, t.catalog.select("paper_id", "title", "abstract")).withColumn(
+        "overall_score", F.lit(None).cast("double")).withColumn("action", F.lit("unanalyzed")).withColumn("source", F.lit("live"))
+
+
+def global_parts(t):
+    q = t.decorated_queries.select("query_id", "query", D.global_intent(F.col("query")).alias("intent"))
+    dense = with_metadata(dense_hits(t, 8).where("distance <= 0.5"), t.catalog).withColumn("source", F.lit("dense"))
+    words = keyword_overlap_topk(q, t.papers, 5).select("query_id", "paper_id", "distance", "rank")
+    return q, dense, with_metadata(words, t.catalog).withColumn("source", F.lit("bm25")), live_rows(t)
+
+
+def merged_sources(t):
+    q, dense, lex, live = global_parts(t)
+    wants = X.retrieval_mode(q, dense, live).where("wants_live").select("query_id")
+    return X.merge_sources(dense, lex, live.join(wants, "query_id", "left_semi")).join(q.select("query_id", "intent"), "query_id")
+
+
+@query("merge_sources", """
+SELECT query_id, paper_id, title, summary, stack_fit, action, overall_score, distance, array_to_string(sources, ',') AS sources, source FROM g_merged""", "g_merged")
+def _(t):
+    return merged_sources(t).select("query_id", "paper_id", "title", "summary", "stack_fit", "action", "overall_score", "distance",
+                                    F.array_join("sources", ",").alias("sources"), "source")
+
+
+@query("intent_rerank", "SELECT query_id, paper_id, intent, rerank_score, place FROM g_ranked", "g_ranked")
+def _(t):
+    return X.intent_rerank(merged_sources(t), 6).select("query_id", "paper_id", "intent", "rerank_score", "place")
+
+
+@query("paper_context", "SELECT * FROM g_context", "g_context")
+def _(t):
+    return X.paper_context(X.intent_rerank(merged_sources(t), 6))
+
+
+@query("paper_citations", """
+SELECT query_id, paper_id, title, overall_score AS score, action, paper_url AS url, source, round(distance, 3) AS distance FROM g_ranked""", "g_ranked")
+def _(t):
+    return X.paper_citations(X.intent_rerank(merged_sources(t), 6)).drop("place")
+
+
+@query("retrieval_mode", f"SELECT query_id, local_confidence, wants_live, {MODE} AS mode FROM g_mode", "g_mode")
+def _(t):
+    q, dense, _, live = global_parts(t)
+    return X.retrieval_mode(q, dense, live)
+
+
+@query("global_retrieve", f"""
+SELECT query_id, q.intent, CASE WHEN blocked THEN 'blocked' ELSE {MODE} END AS mode, CASE WHEN NOT blocked THEN context END AS context
+FROM (SELECT query_id, intent, {any_sql('query', C.OFF_TOPIC_PATTERNS)} AS blocked FROM q_intent) q LEFT JOIN g_mode USING (query_id) LEFT JOIN g_context USING (query_id)""",
+       "q_intent g_mode g_context")
+def _(t):
+    ranked, summary = global_retrieve(t.decorated_queries, t.catalog, doc_vectors(t), live_rows(t), 5, max_dist=0.5)
+    return summary.join(X.paper_context(ranked), "query_id", "left")
+
+
+# --- questions about one paper -------------------------------------------------------------
+def retrieval_views(p: str, questions: str, needs: str) -> None:
+    """Views that repeat the composed retrieval for ``questions(query_id, paper_id, query, intent, n)``."""
+    view(f"{p}_asked", f"SELECT *, least(n * 3, 30) AS fetch_n, {expand_sql('query')} AS expanded FROM {questions}", needs)
+    view(f"{p}_wanted", f"SELECT * FROM stored_chunks WHERE paper_id IN (SELECT paper_id FROM {p}_asked)", f"stored_chunks {p}_asked")
+    view(f"{p}_cv", hashed_sql(f"{p}_wanted", "chunk_id", "text"), f"{p}_wanted")
+    view(f"{p}_qv", hashed_sql(f"{p}_asked", "query_id", "expanded"), f"{p}_asked")
+    view(f"{p}_pool", f"""
+SELECT * FROM (SELECT a.query_id, a.query_id AS pool, a.query, a.intent, a.n, a.fetch_n, w.*, distance, row_number() OVER (PARTITION BY a.query_id ORDER BY distance, w.chunk_id) AS rank
+  FROM (SELECT a.query_id, c.chunk_id, round(list_sum(list_transform(range(1, 129), lambda i: (q.embedding[i] - c.embedding[i]) ** 2)), 6) AS distance
+        FROM {p}_asked a JOIN {p}_qv q USING (query_id) JOIN {p}_wanted w USING (paper_id) JOIN {p}_cv c ON w.chunk_id = c.chunk_id)
+  JOIN {p}_asked a USING (query_id) JOIN {p}_wanted w USING (chunk_id)) WHERE rank <= fetch_n""", f"{p}_asked {p}_qv {p}_cv {p}_wanted")
+    view(f"{p}_corpus", f"SELECT pool, chunk_id, raw_text AS text FROM {p}_pool", f"{p}_pool")
+    view(f"{p}_own", f"SELECT DISTINCT query_id, pool, query FROM {p}_pool", f"{p}_pool")
+    bm25_views(f"{p}_b", f"{p}_corpus", "chunk_id", f"{p}_own", "pool", f"{p}_corpus", f"{p}_own")
+    boost = " OR ".join(f"(intent = '{i}' AND {has_sql('section', [n.lower() for n in names])})" for i, names in C.SECTION_BOOSTS.items())
+    view(f"{p}_fused", f"""
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS fused_rank FROM (
+  SELECT p.*, round(score * CASE WHEN {has_sql('query', C.LIST_TRIGGERS)} AND has_list THEN 1.5 ELSE 1 END * CASE WHEN {CAPTION_Q} AND is_caption THEN 1.6 ELSE 1 END, 9) AS fused
+  FROM {p}_pool p JOIN (SELECT query_id, chunk_id, round(sum(v), 9) AS score FROM (
+    SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY ({boost}) DESC, rank)) AS v FROM {p}_pool
+    UNION ALL SELECT query_id, chunk_id, (1 + {BONUS})::DOUBLE / (60 + r) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM {p}_b_scores)
+      JOIN {p}_own USING (query_id)) GROUP BY query_id, chunk_id) USING (query_id, chunk_id))""", f"{p}_pool {p}_b_scores {p}_own")
+    view(f"{p}_pairs", f"""
+SELECT *, count(*) OVER (PARTITION BY query_id) AS size, list_intersect(list_distinct({TOK.format('query')}), list_distinct({TOK.format('left(raw_text, 400)')})) AS shared
+FROM {p}_fused WHERE fused_rank <= 2 * n""", f"{p}_fused")
+    view(f"{p}_selected", f"""
+SELECT * FROM (SELECT p.query_id, p.paper_id, p.chunk_id, p.intent, p.section, p.position, p.n,
+    row_number() OVER (PARTITION BY p.query_id ORDER BY CASE WHEN size <= n THEN 0 ELSE -coalesce(ps, 0) END, fused_rank) AS rank
+  FROM {p}_pairs p LEFT JOIN (SELECT query_id, chunk_id, round(sum(w), 6) AS ps FROM (
+    SELECT query_id, chunk_id, ln(1 + size::DOUBLE / count(*) OVER (PARTITION BY query_id, term)) AS w FROM (
+      SELECT query_id, chunk_id, size, unnest(shared) AS term FROM {p}_pairs)) GROUP BY query_id, chunk_id) USING (query_id, chunk_id)) WHERE rank <= n""", f"{p}_pairs")
+    view(f"{p}_extra", f"""
+SELECT query_id, chunk_id, rank, side FROM (SELECT *, count(*) OVER (PARTITION BY query_id ORDER BY rank RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
+  FROM (SELECT query_id, chunk_id, v.r AS rank, v.s AS side FROM (SELECT s.query_id, c.chunk_id, min({{'r': s.rank, 's': c.position - s.position}}) AS v
+    FROM {p}_selected s JOIN {p}_wanted c ON c.paper_id = s.paper_id AND abs(c.position - s.position) = 1 AND c.section = s.section
+    WHERE s.intent IN ('implement', 'math', 'formula') AND NOT EXISTS (SELECT 1 FROM {p}_selected o WHERE o.query_id = s.query_id AND o.chunk_id = c.chunk_id)
+    GROUP BY 1, 2))) WHERE earlier < 4""", f"{p}_selected {p}_wanted")
+    view(f"{p}_hits", f"""
+SELECT h.query_id, w.section, w.page, w.raw_text_ctx, coalesce(pool.distance, 0) AS distance,
+       row_number() OVER (PARTITION BY h.query_id ORDER BY w.section_order, w.page, h.k, h.rank, h.side) AS place
+FROM (SELECT query_id, chunk_id, 0 AS k, rank, 0 AS side FROM {p}_selected UNION ALL SELECT query_id, chunk_id, 1, rank, side FROM {p}_extra) h
+JOIN {p}_wanted w USING (chunk_id) LEFT JOIN {p}_pool pool ON pool.query_id = h.query_id AND pool.chunk_id = h.chunk_id""", f"{p}_selected {p}_extra {p}_wanted {p}_pool")
+    view(f"{p}_context", context_sql(f"{p}_hits", "raw_text_ctx"), f"{p}_hits")
+    view(f"{p}_cited", citation_sql(f"{p}_hits"), f"{p}_hits")
+
+
+from corpusradar.registry.questions import decompose_sql, deep_sql  # noqa: E402
+
+view("one_paper", f"SELECT *, {budget_sql('intent')} AS n FROM (SELECT *, {deep_sql('query')} AS intent FROM paper_questions)", "paper_questions")
+view("sub_questions", f"""
+SELECT query_id || '#' || lpad(CAST(sub_no AS VARCHAR), 2, '0') AS query_id, query_id AS parent, sub_no, paper_id, intent, query,
+       CASE WHEN size = 1 THEN n ELSE greatest(n // size + 2, 5) END AS n
+FROM (SELECT query_id, paper_id, intent, n, len(subs) AS size, unnest(subs) AS query, unnest(range(len(subs))) AS sub_no
+      FROM (SELECT *, {decompose_sql('query', 'intent')} AS subs FROM one_paper))""", "one_paper")
+retrieval_views("rc", "one_paper", "one_paper")
+retrieval_views("mq", "sub_questions", "sub_questions")
+
+
+def questions(t):
+    q = t.paper_questions.withColumn("intent", D.deep_intent(F.col("query")))
+    return q.withColumn("n", D.chunk_budget(F.col("intent")))
+
+
+def index_table(t):
+    return cut_lineage(stored_chunks(t))
+
+
+def cites(column="citations"):
+    return F.array_join(F.transform(column, lambda c: F.concat(c["type"], F.lit(":"), c["value"])), ",").alias("citations")
+
+
+@query("retrieve_context", """
+SELECT query_id, context, citations FROM rc_context LEFT JOIN (
+  SELECT query_id, string_agg(type || ':' || value, ',' ORDER BY citation_no) AS citations FROM rc_cited GROUP BY query_id) USING (query_id)""",
+       "rc_context rc_cited")
+def _(t):
+    return retrieve_context(questions(t), index_table(t)).select("query_id", "context", cites())
+
+
+@query("multi_query_merge", """
+SELECT q.query_id, coalesce(m.context, '[Paper Abstract]' || chr(10) || left(c.abstract, 1000) || chr(10) || chr(10) || '[Analysis]' || chr(10) || 'Score Reasoning: '
+         || chr(10) || 'Stack Fit: ' || coalesce(c.stack_fit, '')) AS context, citations, CASE WHEN m.context IS NULL THEN 'abstract' ELSE 'deep' END AS mode
+FROM paper_questions q JOIN catalog c USING (paper_id)
+LEFT JOIN (SELECT parent AS query_id, string_agg(context, chr(10) || chr(10) ORDER BY sub_no) AS context FROM (
+    SELECT parent, context, min(sub_no) AS sub_no FROM mq_context JOIN sub_questions USING (query_id) GROUP BY parent, context) GROUP BY parent) m USING (query_id)
+LEFT JOIN (SELECT parent AS query_id, string_agg(type || ':' || value, ',' ORDER BY v) AS citations FROM (
+    SELECT parent, type, value, min((sub_no, citation_no)) AS v FROM mq_cited JOIN sub_questions USING (query_id) GROUP BY parent, type, value) GROUP BY parent) USING (query_id)""",
+       "paper_questions catalog mq_context mq_cited sub_questions")
+def _(t):
+    return multi_query_merge(t.paper_questions, index_table(t), t.catalog).select("query_id", "context", cites(), "mode")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corpusradar.operators import vectors as V
 from corpusradar.registry import query
 from corpusradar.registry.sqlviews import view
+from corpusradar.session import cut_lineage
 
 
 def label_queries(t):
@@ -46,7 +47,8 @@ view("query_vectors", hashed_sql("search_queries", "query_id", "query"), "search
 
 
 def doc_vectors(t):
-    return V.embed_pending(t.papers.withColumn("is_embedded", F.lit(False)))
+    """Vectors of all documents, written once as the vector table they would be."""
+    return cut_lineage(V.embed_pending(t.papers.withColumn("is_embedded", F.lit(False))))
 
 
 def query_vectors(t):

@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Spark 4.1 may treat a union of co-partitioned inputs as co-partitioned although its inputs no longer are once the plan
+# adapts at run time; a grouping above it then sees a key twice. Off, the grouping exchanges its rows as usual.
+UNION_PARTITIONING = "spark.sql.unionOutputPartitioning"
+
 _LOCAL_SHARED: dict[str, str] = {}
 
 
@@ -23,6 +27,7 @@ def build_session(app: str = "corpusradar", master: str | None = None, **conf: s
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        UNION_PARTITIONING: "false",
         **conf,
     }
     for key, value in settings.items():
@@ -65,3 +70,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def union_all(first: DataFrame, *rest: DataFrame) -> DataFrame:
+    """Union by name whose result may safely be grouped (see ``UNION_PARTITIONING``)."""
+    first.sparkSession.conf.set(UNION_PARTITIONING, "false")
+    for df in rest:
+        first = first.unionByName(df, allowMissingColumns=True)
+    return first

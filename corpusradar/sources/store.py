@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusradar.session import union_all
+
 ANALYSIS_COLUMNS = [
     "domain", "novelty", "contributions", "has_code", "overall_score", "reproducibility", "compute_cost", "latency_score",
     "adoption", "score_reasoning", "summary", "stack_fit", "action", "action_reason", "hype_score", "hype_reason",
@@ -52,4 +54,4 @@ def replace_partition(chunks: DataFrame, new_chunks: DataFrame) -> DataFrame:
     To write in place, use dynamic partition overwrite on a table partitioned by a bucket of ``paper_id``.
     """
     redone = new_chunks.select("paper_id").distinct()
-    return chunks.join(redone, "paper_id", "left_anti").unionByName(new_chunks, allowMissingColumns=True)
+    return union_all(chunks.join(redone, "paper_id", "left_anti"), new_chunks)

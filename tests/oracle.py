@@ -12,6 +12,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "conversations").split()
 
 
+TIMES = [0.0, 0.0]
+
+
 def plain(value):
     if isinstance(value, float):
         if math.isnan(value):
@@ -33,10 +36,14 @@ def duck(folder):
 
 def compare(df, con, sql):
     cols = sorted(df.columns)
+    t = time.time()
     ours = Counter(tuple(plain(r[c]) for c in cols) for r in df.collect())
+    TIMES[0] = time.time() - t
+    t = time.time()
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     rows = cur.fetchall()
+    TIMES[1] = time.time() - t
     if sorted(names) != cols:
         return f"columns {cols} != {sorted(names)}", sum(ours.values())
     pos = [names.index(c) for c in cols]
@@ -80,5 +87,5 @@ if __name__ == "__main__":
         bad += problem is not None
         flag = "FAIL" if problem else ("ok  " if name in oracles else "rows")
         if problem or rows == 0 or names or time.time() - t > 5:
-            print(f"{flag} {name} rows={rows} {time.time() - t:.1f}s {problem or ''}", flush=True)
+            print(f"{flag} {name} rows={rows} {time.time() - t:.1f}s (collect {TIMES[0]:.1f} sql {TIMES[1]:.1f}) {problem or ''}", flush=True)
     print(f"{len(queries)} queries, {len(oracles)} with SQL, {bad} failing")
