@@ -25,22 +25,20 @@ def global_intent(text: Column) -> Column:
 
 def deep_intent(text: Column) -> Column:
     """Every matching pattern adds its class weight; the highest total wins, ties by table order; none gives discuss."""
-    totals = {}
-    for name, (weight, patterns) in C.DEEP_INTENT_PATTERNS.items():
+    votes = [F.struct(F.lit(0).alias("total"), F.lit(1).alias("order"), F.lit("discuss").alias("name"))]
+    for place, (name, (weight, patterns)) in enumerate(C.DEEP_INTENT_PATTERNS.items()):
         hits = [matches_any(text, [p]).cast("int") for p in patterns]
-        totals[name] = sum(hits[1:], hits[0]) * weight
-    best = F.greatest(*totals.values())
-    intent = F.lit("discuss")
-    for name in reversed(list(totals)):
-        intent = F.when((totals[name] == best) & (best > 0), name).otherwise(intent)
-    return intent
+        votes.append(F.struct((sum(hits[1:], hits[0]) * weight).alias("total"), F.lit(-place).alias("order"), F.lit(name).alias("name")))
+    return F.array_max(F.array(*votes))["name"]
+
+
+def lookup(table: dict, key: Column) -> Column:
+    """Value of a literal table; the key is worked out once however many entries there are."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for item in table.items() for x in item]), key)
 
 
 def chunk_budget(intent: Column, default: int = 10) -> Column:
-    budget = F.lit(default)
-    for name, n in C.CHUNK_BUDGETS.items():
-        budget = F.when(intent == name, n).otherwise(budget)
-    return budget
+    return F.coalesce(lookup(C.CHUNK_BUDGETS, intent), F.lit(default))
 
 
 def sub_query_budget(chunks: Column, sub_queries: Column) -> Column:
@@ -71,10 +69,7 @@ def route_model(intent: Column, preference: Column) -> Column:
 
 
 def length_limit(intent: Column) -> Column:
-    limit = F.lit("")
-    for name, text in C.LENGTH_LIMITS.items():
-        limit = F.when(intent == name, text).otherwise(limit)
-    return limit
+    return F.coalesce(lookup(C.LENGTH_LIMITS, intent), F.lit(""))
 
 
 def answer_words(text: Column, stop_words: Sequence[str] = C.ANSWER_STOP_WORDS) -> Column:

@@ -91,15 +91,18 @@ def _smooth(state: np.ndarray, x: float, alpha: float) -> np.ndarray:
     return np.floor(mixed * 10 + 0.5)
 
 
-def ewma_latency(calls: DataFrame, alpha: float = 0.3, segment_seconds: int = 3600) -> DataFrame:
+def ewma_latency(calls: DataFrame, alpha: float = 0.3, segment_seconds: int = 3600, initial: DataFrame | None = None) -> DataFrame:
     """Running average of successful latencies per agent, rounded to one decimal at every step.
 
     The fold depends on order, yet a stretch of it is a function from the state before to the state after, and states are
     tenths. Each (agent, segment) works out that function on its own; because the old state fades, it collapses to a few
-    steps after some values. Only these step tables meet per agent.
+    steps after some values. Only these step tables meet per agent. ``initial(agent, ewma_latency_s)`` goes on from an
+    earlier result.
     """
     good = calls.where("success").withColumn("_seg", F.floor(F.unix_timestamp("ts") / segment_seconds))
     top = good.agg(F.max("latency_s")).first()[0]
+    if initial is not None:
+        top = max(top or 0, initial.agg(F.max("ewma_latency_s")).first()[0] or 0)
     size = int((top or 0) * 10) + 2
 
     def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,7 +133,11 @@ def ewma_latency(calls: DataFrame, alpha: float = 0.3, segment_seconds: int = 36
     def apply(state: Column, segment: Column) -> Column:
         return F.element_at(segment["states"], F.size(F.filter(segment["starts"], lambda s: s <= state)))
 
-    return ordered.select("agent", "calls", (F.aggregate("segments", F.lit(0.0), apply) / 10).alias("ewma_latency_s"))
+    start = F.lit(0.0)
+    if initial is not None:
+        ordered = ordered.join(initial.select("agent", F.round(F.col("ewma_latency_s") * 10).alias("_start")), "agent", "left")
+        start = F.coalesce("_start", F.lit(0.0))
+    return ordered.select("agent", "calls", (F.aggregate("segments", start, apply) / 10).alias("ewma_latency_s"))
 
 
 def warm_status(calls: DataFrame, as_of: Column, seconds: int = 1500) -> DataFrame:

@@ -85,7 +85,7 @@ def multi_query_merge(queries: DataFrame, chunks: DataFrame, papers: DataFrame,
     n = D.sub_query_budget(D.chunk_budget(F.col("intent")), F.size("subs"))
     parts = planned.select("query_id", "paper_id", "intent", n.alias("n"), F.posexplode("subs").alias("sub_no", "query"))
     part_id = F.concat(F.col("_query").cast("string"), F.lit("#"), F.lpad(F.col("sub_no").cast("string"), 2, "0"))
-    keyed = parts.withColumnRenamed("query_id", "_query").withColumn("query_id", part_id)
+    keyed = cut_lineage(parts.withColumnRenamed("query_id", "_query").withColumn("query_id", part_id))
     hits = cut_lineage(retrieve_hits(keyed, chunks, **options))
     names = keyed.select("query_id", "_query", "sub_no")
 

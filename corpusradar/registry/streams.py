@@ -1 +1,79 @@
+"""Streaming queries: run over what is available, then read what they wrote."""
 
+from pyspark.sql import functions as F
+
+from corpusradar.registry import query
+from corpusradar.registry.ingest import stored
+from corpusradar.registry.velocity import VELOCITY
+from corpusradar.streaming import jobs as J
+from corpusradar.streaming.sources import StreamTables
+
+
+def streams(t):
+    return StreamTables(t.spark, t.folder)
+
+
+@query("stream_ingest", """
+SELECT DISTINCT paper_id FROM batch WHERE paper_id NOT IN (SELECT paper_id FROM stored)""", "batch stored")
+def _(t):
+    feed = streams(t).papers.select(F.md5("abstract").alias("paper_id"), F.col("paper_id").alias("doc_id"),
+                                    F.col("published_at").cast("timestamp").alias("published_at"))
+    new, _ = J.stream_ingest(feed, stored(t), "doc_id")
+    return new.select("paper_id")
+
+
+@query("stream_agent_metrics", """
+SELECT agent, CAST(floor(epoch(w)) AS BIGINT) AS window_start, calls, successes, avg_latency_s FROM (
+  SELECT agent, date_trunc('hour', ts) AS w, count(*) AS calls, count(*) FILTER (success) AS successes, round(avg(latency_s), 6) AS avg_latency_s
+  FROM agent_calls GROUP BY 1, 2) WHERE w + INTERVAL '1' HOUR <= (SELECT max(ts) - INTERVAL '10' MINUTE FROM events)""", "agent_calls")
+def _(t):
+    out = J.run_append(J.stream_agent_metrics(streams(t).agent_calls))
+    return out.select("agent", F.unix_timestamp("window_start").alias("window_start"), "calls", "successes",
+                      F.round("avg_latency_s", 6).alias("avg_latency_s"))
+
+
+@query("stream_activity_sessions", """
+SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS session_start, count(*) AS activities FROM (
+  SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, activity_id) AS s FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, activity_id) < INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS new FROM activity))
+GROUP BY user_id, s HAVING max(ts) + INTERVAL '30' MINUTE <= (SELECT max(ts) - INTERVAL '10' MINUTE FROM events)""", "activity")
+def _(t):
+    out = J.run_append(J.stream_activity_sessions(streams(t).activity))
+    return out.select("user_id", F.unix_micros("session_start").alias("session_start"), "activities")
+
+
+@query("stream_sliding_activity", """
+SELECT action_type, CAST(floor(epoch(w)) AS BIGINT) AS window_start, count(*) AS activities FROM (
+  SELECT action_type, time_bucket(INTERVAL '15' MINUTE, ts) - k * INTERVAL '15' MINUTE AS w FROM activity, (SELECT unnest(range(4)) AS k))
+WHERE w + INTERVAL '1' HOUR <= (SELECT max(ts) - INTERVAL '10' MINUTE FROM events) GROUP BY 1, 2""", "activity")
+def _(t):
+    out = J.run_append(J.stream_sliding_activity(streams(t).activity))
+    return out.select("action_type", F.unix_timestamp("window_start").alias("window_start"), "activities")
+
+
+@query("stream_velocity", f"""
+SELECT paper_id, event_id, {VELOCITY.format(s='stars', ps='prev_stars', c='citations', pc='prev_citations', d='7.0::DOUBLE')} AS velocity FROM known""", "known")
+def _(t):
+    return J.run_with_state(streams(t).snapshots, J.velocity_step)[0]
+
+
+@query("stream_job_transitions", "SELECT job_id, event_id, previous, status FROM transitions", "transitions")
+def _(t):
+    return J.run_with_state(streams(t).job_events, J.transitions_step)[0]
+
+
+@query("stream_ewma", """
+SELECT agent, len(l) AS calls, list_reduce(l, lambda a, x: CASE WHEN a = 0 THEN round(x, 1) ELSE round(0.3::DOUBLE * x + 0.7::DOUBLE * a, 1) END, 0.0::DOUBLE) AS ewma_latency_s,
+       last_success, (SELECT CAST(floor(epoch(max(ts))) AS BIGINT) FROM events) - last_success <= 1500 AS is_warm
+FROM (SELECT agent, list(latency_s ORDER BY ts, event_id) AS l, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_success FROM agent_calls WHERE success GROUP BY agent)""",
+       "agent_calls")
+def _(t):
+    return J.run_with_state(streams(t).agent_calls, J.ewma_step)[1]
+
+
+@query("stream_static_enrich", """
+SELECT event_id, user_id, event_type, c_name, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey""")
+def _(t):
+    static = t.customer.select(F.col("c_custkey").alias("user_id"), "c_name", "c_mktsegment")
+    out = J.run_append(J.stream_static_enrich(streams(t).events, static, "user_id"))
+    return out.select("event_id", "user_id", "event_type", "c_name", "c_mktsegment")

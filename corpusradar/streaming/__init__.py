@@ -1 +1 @@
-
+"""Structured Streaming versions of ingest and monitoring."""
