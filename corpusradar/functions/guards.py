@@ -47,7 +47,8 @@ def validate_scores(cleaned: Column, ranges: Mapping[str, tuple[float, float]])
     values, warnings = [], []
     for name, (lo, hi) in ranges.items():
         text, number = json_field(parsed, name), json_field(parsed, name, "double")
-        values.append(F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), number)).alias(name))
+        clamped = F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), number))
+        values.append(F.when(number.isNotNull(), clamped).alias(name))
         warnings.append(
             F.when(text.isNull(), F.lit(f"Missing score field: {name}"))
             .when(number.isNull(), F.lit(f"{name} is not a number"))
@@ -64,7 +65,7 @@ def grounding_overlap(claim: Column, source: Column, min_len: int = 5) -> Column
 
 def validate_grounding(claim: Column, source: Column, min_overlap: float = 0.1) -> Column:
     """Passes when the claim shares words with its source, or when either has no text to compare."""
-    nothing = (F.coalesce(claim, F.lit("")) == "") | (F.size(word_set(F.coalesce(source, F.lit("")), 5)) == 0)
+    nothing = (F.coalesce(claim, F.lit("")) == "") | ~F.coalesce(source, F.lit("")).rlike(r"[\p{L}\p{N}_]{5}")
     return nothing | (grounding_overlap(claim, source) >= min_overlap)
 
 

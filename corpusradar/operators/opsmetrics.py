@@ -106,23 +106,24 @@ def ewma_latency(calls: DataFrame, alpha: float = 0.3, segment_seconds: int = 36
     size = int((top or 0) * 10) + 2
 
     def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, n, starts, state = None, 0, None, None
-
-        def table() -> pd.DataFrame:
-            return pd.DataFrame({"agent": [key[0]], "_seg": [key[1]], "n": [n], "starts": [starts], "states": [state]})
+        key, n, starts, state, done = None, 0, None, None, []
+        names = ["agent", "_seg", "n", "starts", "states"]
 
         for pdf in batches:
             for agent, seg, x in zip(pdf["agent"], pdf["_seg"], pdf["latency_s"]):
                 if (agent, seg) != key:
                     if key:
-                        yield table()
+                        done.append((*key, n, starts, state))
+                    if len(done) == 1000:
+                        yield pd.DataFrame(done, columns=names)
+                        done = []
                     key, n, starts, state = (agent, seg), 0, np.arange(size), np.arange(size, dtype=float)
                 n, state = n + 1, _smooth(state, x, alpha)
                 if len(state) > 1:
                     keep = np.concatenate([[True], state[1:] != state[:-1]])
                     starts, state = starts[keep], state[keep]
         if key:
-            yield table()
+            yield pd.DataFrame([*done, (*key, n, starts, state)], columns=names)
 
     ready = good.select("agent", "_seg", "ts", "event_id", "latency_s").repartition("agent", "_seg").sortWithinPartitions(
         "agent", "_seg", "ts", "event_id")

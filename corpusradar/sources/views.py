@@ -12,6 +12,12 @@ def ntz(text: str):
     return F.to_timestamp_ntz(F.lit(text))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out when a table of long texts arrives in fewer splits than there are cores (one small file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
+
+
 def with_lines(documents: DataFrame, lines_per_page: int = 8) -> DataFrame:
     """One row per text line of a document: ``paper_id, page, block_no, text``."""
     return (
@@ -27,7 +33,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table) if name in ("documents", "pages") else table
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
