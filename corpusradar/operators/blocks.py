@@ -21,27 +21,32 @@ def _block_counts(df: DataFrame, group: str, rows: int, name: str) -> DataFrame:
     return df.groupBy(group).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
 
 
-def _cut(df: DataFrame, counts: DataFrame, group: str, key: Column, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+def _cut(df: DataFrame, key: Column, own: str, own_n: Column, other: str, other_n: Column, columns: list[str]) -> DataFrame:
     """Give each row its own block and one copy per block of the other side."""
-    sized = df.join(counts, group)
-    return sized.select(  # fresh aliases: both sides may come from one frame
-        *[F.col(c).alias(c) for c in df.columns], F.pmod(F.xxhash64(key), F.col(own_n)).cast("int").alias(own),
-        F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)).alias(other))
+    return df.select(  # fresh aliases: both sides may come from one frame
+        *[F.col(c).alias(c) for c in columns], F.pmod(F.xxhash64(key), own_n).cast("int").alias(own),
+        F.explode(F.sequence(F.lit(0), other_n - 1)).alias(other))
 
 
 def block_join(
-    left: DataFrame, right: DataFrame, group: str, left_key: str, right_key: str,
+    left: DataFrame, right: DataFrame, group: str | None, left_key: str, right_key: str,
     kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, left_rows: int = 1024, right_rows: int = 8192,
 ) -> DataFrame:
-    """Run ``kernel`` once per pair of blocks of the same ``group`` and unite what it returns.
+    """Run ``kernel`` once per pair of blocks (of the same ``group``, if given) and unite what it returns.
 
-    The sizes of the groups are counted first, so both sides should be stored tables or checkpointed.
+    The sizes are counted first, so both sides should be stored tables or checkpointed.
     """
-    counts = broadcast_if_small(cut_lineage(
-        _block_counts(left, group, left_rows, "_ln").join(_block_counts(right, group, right_rows, "_rn"), group)))
-    a = _cut(left, counts, group, F.col(left_key), "_lb", "_ln", "_rb", "_rn")
-    b = _cut(right, counts, group, F.col(right_key), "_rb", "_rn", "_lb", "_ln")
-    keys = [group, "_lb", "_rb"]
+    l_cols, r_cols = left.columns, right.columns
+    if group is None:
+        ln, rn = (F.lit(max(1, -(-df.count() // n))) for df, n in ((left, left_rows), (right, right_rows)))
+        keys = ["_lb", "_rb"]
+    else:
+        counts = broadcast_if_small(cut_lineage(
+            _block_counts(left, group, left_rows, "_ln").join(_block_counts(right, group, right_rows, "_rn"), group)))
+        left, right, ln, rn = left.join(counts, group), right.join(counts, group), F.col("_ln"), F.col("_rn")
+        keys = [group, "_lb", "_rb"]
+    a = _cut(left, F.col(left_key), "_lb", ln, "_rb", rn, l_cols)
+    b = _cut(right, F.col(right_key), "_rb", rn, "_lb", ln, r_cols)
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(
         lambda x, y: kernel(x, y) if len(x) and len(y) else pd.DataFrame(columns=_names(schema)), schema)
 

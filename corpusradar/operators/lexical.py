@@ -13,24 +13,23 @@ from corpusradar.functions.text import search_tokens, word_set, words
 from corpusradar.session import broadcast_if_small
 
 
-def postings(corpus: DataFrame, id_col: str, scope: str) -> DataFrame:
+def postings(corpus: DataFrame, id_col: str, *scope: str) -> DataFrame:
     """``(scope, id_col, dl, term, tf)``; one exchange on ``id_col`` serves counting here and scoring later."""
-    cut = corpus.select(scope, id_col, search_tokens(F.col("text")).alias("_tokens")).repartition(id_col)
+    cut = corpus.select(*scope, id_col, search_tokens(F.col("text")).alias("_tokens")).repartition(id_col)
     # The length is a column before the explode; beside it, it would be worked out again for every token.
-    rows = cut.select(scope, id_col, F.size("_tokens").alias("dl"), "_tokens").select(scope, id_col, "dl", F.explode("_tokens").alias("term"))
-    return rows.groupBy(id_col, scope, "dl", "term").agg(F.count("*").alias("tf"))
+    rows = cut.select(*scope, id_col, F.size("_tokens").alias("dl"), "_tokens").select(*scope, id_col, "dl", F.explode("_tokens").alias("term"))
+    return rows.groupBy(id_col, *scope, "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25_index(corpus: DataFrame, id_col: str = "paper_id", scope: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings, document frequencies and ``(n, avgdl)`` per scope.
+    """Postings, document frequencies and ``(n, avgdl)``, per ``scope`` if given.
 
     The average length counts white-space words while a document's own length counts tokens.
     """
-    if scope is None:
-        scope, corpus = "_scope", corpus.withColumn("_scope", F.lit(0))
-    post = postings(corpus, id_col, scope)
-    df = post.groupBy(scope, "term").agg(F.count("*").alias("df"))
-    stats = corpus.groupBy(scope).agg(F.count("*").alias("n"), F.avg(F.size(words(F.col("text")))).alias("avgdl"))
+    keys = [scope] if scope else []
+    post = postings(corpus, id_col, *keys)
+    df = post.groupBy(*keys, "term").agg(F.count("*").alias("df"))
+    stats = corpus.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.size(words(F.col("text")))).alias("avgdl"))
     return post, df, stats
 
 
@@ -41,21 +40,22 @@ def bm25_score(queries: DataFrame, corpus: DataFrame, id_col: str = "paper_id",
     With ``scope`` (a column of both sides) each scope is a corpus of its own. The weighted query tokens are at most as many
     as the query tokens, so these decide whether the join may broadcast; sums per text then need no further exchange.
     """
-    if scope is None:
-        scope = "_scope"
-        queries, corpus = queries.withColumn(scope, F.lit(0)), corpus.withColumn(scope, F.lit(0))
+    keys = [scope] if scope else []
     post, df, stats = bm25_index(corpus, id_col, scope)
-    asked = queries.select("query_id", scope, F.explode(search_tokens(F.col("query"))).alias("term")).groupBy(
-        "query_id", scope, "term").agg(F.count("*").alias("qtf"))
+    asked = queries.select("query_id", *keys, F.explode(search_tokens(F.col("query"))).alias("term")).groupBy(
+        "query_id", *keys, "term").agg(F.count("*").alias("qtf"))
     small = asked.limit(100_001).count() <= 100_000
-    asked = F.broadcast(asked) if small else asked
+    matched = df.join(F.broadcast(asked) if small else asked, [*keys, "term"])
+    if keys:
+        matched = matched.join(broadcast_if_small(stats), keys)
+    else:
+        matched = matched.select("*", stats.select("n").scalar().alias("n"), stats.select("avgdl").scalar().alias("avgdl"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = df.join(asked, [scope, "term"]).join(broadcast_if_small(stats), scope).select(
-        "query_id", scope, "term", (F.col("qtf") * idf).alias("weight"), "avgdl")
+    weights = matched.select("query_id", *keys, "term", (F.col("qtf") * idf).alias("weight"), "avgdl")
     weights = F.broadcast(weights) if small else weights
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (
         F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return post.join(weights, [scope, "term"]).groupBy(id_col, "query_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return post.join(weights, [*keys, "term"]).groupBy(id_col, "query_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "paper_id", scope: str | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpusradar import constants as C
 from corpusradar.functions.text import search_tokens
 from corpusradar.operators.blocks import block_join, matrix, topk_kernel, unit_rows
-from corpusradar.session import union_all
+from corpusradar.session import cut_lineage, union_all
 
 Encoder = Callable[[DataFrame, str, str], DataFrame]
 
@@ -52,11 +52,9 @@ def embed_pending(papers: DataFrame, encoder: Encoder = hashing_encoder) -> Data
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str, id_col: str, query_col: str = "query_id",
             group: str | None = None) -> DataFrame:
     """Exact ``(query_col, id_col, distance, rank)`` of the k nearest; with ``group`` only inside the query's own group."""
-    if group is None:
-        group = "_all"
-        queries, vectors = queries.withColumn(group, F.lit(0)), vectors.withColumn(group, F.lit(0))
-    q = queries.select(group, query_col, "embedding")
-    v = vectors.select(group, id_col, "embedding")
+    keys = [] if group is None else [group]
+    q = queries.select(*keys, query_col, "embedding")
+    v = vectors.select(*keys, id_col, "embedding")
     types = {**dict(q.dtypes), **dict(v.dtypes)}
     found = block_join(q, v, group, query_col, id_col, topk_kernel(query_col, id_col, k, metric),
                        f"{query_col} {types[query_col]}, {id_col} {types[id_col]}, distance double")
@@ -126,13 +124,15 @@ def collapse_copies(vectors: DataFrame, id_col: str) -> tuple[DataFrame, DataFra
     return reps, members
 
 
-def with_cells(reps: DataFrame, max_dist: float, pivots: int = 64) -> tuple[DataFrame, DataFrame]:
+def with_cells(reps: DataFrame, max_dist: float, pivots: int | None = None, rows_per_cell: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """Cells around pivot vectors such that every pair within ``max_dist`` (cosine) shares a comparison.
 
     A vector lives in the cell of its nearest pivot. By the triangle inequality a partner from another cell can be at most
     ``2 * eps`` nearer to its own pivot, so a vector is copied only to lower cells inside that margin. Returns residents
-    and candidates, both ``(cell, home, rep, copies, embedding)``.
+    and candidates, both ``(cell, home, rep, copies, embedding)``. There are few pivots (at most 256, by default one per
+    ``rows_per_cell``): they only prune, blocks inside the cells bound the size of a task.
     """
+    pivots = min(256, pivots or max(1, -(-reps.count() // rows_per_cell)))
     eps = float(np.sqrt(2 * max_dist)) + 1e-6
     anchors = [r["embedding"] for r in reps.orderBy(F.xxhash64("rep")).limit(pivots).collect()]
     centers = unit_rows(np.array(anchors, dtype="float64")) if anchors else np.zeros((1, 1))
@@ -165,13 +165,13 @@ def _close(a: pd.DataFrame, b: pd.DataFrame, max_dist: float) -> tuple[np.ndarra
     return dist, (dist <= max_dist) & ((ia < ib) | foreign) & (ia != ib)
 
 
-def similarity_pairs(vectors: DataFrame, max_dist: float, id_col: str = "vec_id", pivots: int = 64) -> DataFrame:
+def similarity_pairs(vectors: DataFrame, max_dist: float, id_col: str = "vec_id", pivots: int | None = None) -> DataFrame:
     """``(id_a, id_b, distance)`` with ``id_a < id_b`` for all distinct vectors within ``max_dist``.
 
     Exact copies are tied to their lowest id only, never to each other, so a big group of copies stays linear.
     """
     reps, members = collapse_copies(vectors, id_col)
-    residents, candidates = with_cells(reps, max_dist, pivots)
+    residents, candidates = with_cells(cut_lineage(reps), max_dist, pivots)
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         dist, close = _close(a, b, max_dist)

@@ -44,7 +44,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id
 
 
 def dense_hits(t, n=15):
-    return nearest(hashing_encoder(t.decorated_queries, "query_id", "query"), doc_vectors(t), n, "cosine", "paper_id")
+    return nearest(cut_lineage(hashing_encoder(t.decorated_queries, "query_id", "query")), doc_vectors(t), n, "cosine", "paper_id")
 
 
 def lex_hits(t):

@@ -66,7 +66,8 @@ USING (scope, term) JOIN docs_stats USING (scope)""", "docs_tf docs_df docs_stat
 def _(t):
     post, df, stats = L.bm25_index(corpus(t))
     total = post.groupBy("term").agg(F.sum("tf").alias("tf"))
-    return df.join(total, "term").join(stats, "_scope").select("term", "df", "tf", "n", F.round("avgdl", 6).alias("avgdl"))
+    return df.join(total, "term").select("term", "df", "tf", stats.select("n").scalar().alias("n"),
+                                         F.round(stats.select("avgdl").scalar(), 6).alias("avgdl"))
 
 
 @query("bm25_score", "SELECT query_id, paper_id, score FROM docs_scores", "docs_scores")

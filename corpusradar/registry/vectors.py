@@ -12,8 +12,8 @@ def label_queries(t):
     """One query vector per label: the mean of its members."""
     parts = t.embeddings.select("label", F.posexplode("embedding").alias("d", "x"))
     means = parts.groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("p")).select(
-        F.col("label").alias("query_id"), F.transform("p", lambda s: s["x"]).alias("embedding"))
+    return cut_lineage(means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("p")).select(
+        F.col("label").alias("query_id"), F.transform("p", lambda s: s["x"]).alias("embedding")))
 
 
 def pending(t):
@@ -126,4 +126,5 @@ SELECT paper_id, list_transform(embedding, lambda x: round(x, 9)) AS embedding F
 
 
 def rounded_doc_vectors(t):
+    """Vectors to 9 places, so that copies of a text compare equal whatever the order of summation."""
     return doc_vectors(t).select("paper_id", F.transform("embedding", lambda x: F.round(x, 9)).alias("embedding"))

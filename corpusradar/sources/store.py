@@ -54,4 +54,4 @@ def replace_partition(chunks: DataFrame, new_chunks: DataFrame) -> DataFrame:
     To write in place, use dynamic partition overwrite on a table partitioned by a bucket of ``paper_id``.
     """
     redone = new_chunks.select("paper_id").distinct()
-    return union_all(chunks.join(redone, "paper_id", "left_anti"), new_chunks)
+    return union_all(chunks.join(redone, "paper_id", "left_anti").select(chunks.columns), new_chunks)

@@ -86,6 +86,6 @@ if __name__ == "__main__":
             problem, rows = f"{type(e).__name__}: {str(e)[:1500]}", -1
         bad += problem is not None
         flag = "FAIL" if problem else ("ok  " if name in oracles else "rows")
-        if problem or rows == 0 or names or time.time() - t > 5:
+        if problem or rows == 0 or names or time.time() - t > 12:
             print(f"{flag} {name} rows={rows} {time.time() - t:.1f}s (collect {TIMES[0]:.1f} sql {TIMES[1]:.1f}) {problem or ''}", flush=True)
     print(f"{len(queries)} queries, {len(oracles)} with SQL, {bad} failing")
