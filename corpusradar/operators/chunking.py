@@ -54,7 +54,7 @@ def section_spans(blocks: DataFrame, pattern: str = C.SECTION_PATTERN, min_chars
         blocks = blocks.withColumn("kind", F.lit("text"))
     table = F.col("kind") == "table"
     raw = F.when(table, F.col("text")).otherwise(strip(F.col("text")))
-    marked = blocks.select("paper_id", "page", "block_no", "kind", table.alias("is_table"), raw.alias("raw"))
+    marked = blocks.select("paper_id", "page", "block_no", "kind", table.alias("is_table"), raw.alias("raw")).repartition("paper_id")
     marked = marked.withColumn("table_no", F.when(table, F.row_number().over(
         W.partitionBy("paper_id", "page", "is_table").orderBy("block_no")) - 1))
     kept = marked.where(F.when(F.col("is_table"), F.length("raw") >= 30).otherwise(~block_is_noise(F.col("raw"), min_chars)))

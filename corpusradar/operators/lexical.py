@@ -16,8 +16,10 @@ from corpusradar.session import broadcast_if_small
 def postings(corpus: DataFrame, id_col: str, *scope: str) -> DataFrame:
     """``(scope, id_col, dl, term, tf)``; one exchange on ``id_col`` serves counting here and scoring later."""
     cut = corpus.select(*scope, id_col, search_tokens(F.col("text")).alias("_tokens")).repartition(id_col)
-    # The length is a column before the explode; beside it, it would be worked out again for every token.
-    rows = cut.select(*scope, id_col, F.size("_tokens").alias("dl"), "_tokens").select(*scope, id_col, "dl", F.explode("_tokens").alias("term"))
+    # The length is a column before the explode; beside it, it would be worked out again for every token. The outer form
+    # keeps Spark from deriving a "has tokens" filter, which would cut every text once more below the exchange.
+    rows = cut.select(*scope, id_col, F.size("_tokens").alias("dl"), "_tokens").select(
+        *scope, id_col, "dl", F.explode_outer("_tokens").alias("term")).where("term IS NOT NULL")
     return rows.groupBy(id_col, *scope, "dl", "term").agg(F.count("*").alias("tf"))
 
 
@@ -72,7 +74,8 @@ def keyword_overlap_topk(queries: DataFrame, papers: DataFrame, n: int = 8, stop
     pairs = lambda col, weight: F.transform(keep(col), lambda w: F.struct(w.alias("term"), F.lit(weight).alias("w")))
     doc = F.concat("title", F.lit(". "), "abstract")
     terms = papers.select("paper_id", "title", "abstract").repartition("paper_id").select(
-        "paper_id", F.explode(F.concat(pairs(F.col("title"), 3), pairs(doc, 1))).alias("t")).select("paper_id", "t.term", "t.w")
+        "paper_id", F.explode_outer(F.concat(pairs(F.col("title"), 3), pairs(doc, 1))).alias("t")).select(
+        "paper_id", "t.term", "t.w").where("term IS NOT NULL")
     hits = terms.join(broadcast_if_small(asked), "term").groupBy("paper_id", "query_id").agg(
         (F.sum("w") / F.first("_size")).alias("_raw"))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "paper_id")

@@ -105,7 +105,8 @@ def html_blocks(pages: DataFrame, blocks_per_page: int = 8) -> DataFrame:
         strip(F.regexp_replace(F.split_part(p, F.lit("\u0002"), F.lit(2)), r"\s+", " ")).alias("text")))
     kept = F.filter(pieces, lambda p: p["tag"].rlike("^(h[1-6]|p|li|tr)$") & (p["text"] != ""))
     kind = F.when(F.col("b.tag").startswith("h"), "heading").when(F.col("b.tag") == "tr", "table").otherwise("text")
-    return pages.select(F.col("page_id").alias("doc_id"), F.posexplode(kept).alias("block_no", "b")).select(
+    cut = pages.select(F.col("page_id").alias("doc_id"), F.posexplode_outer(kept).alias("block_no", "b")).where("b IS NOT NULL")
+    return cut.select(
         "doc_id", (F.floor(F.col("block_no") / blocks_per_page) + 1).cast("int").alias("page"), "block_no",
         kind.alias("kind"), F.col("b.text").alias("text"))
 

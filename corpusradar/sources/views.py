@@ -21,7 +21,8 @@ def spread(df: DataFrame) -> DataFrame:
 def with_lines(documents: DataFrame, lines_per_page: int = 8) -> DataFrame:
     """One row per text line of a document: ``paper_id, page, block_no, text``."""
     return (
-        documents.select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
+        documents.select(F.col("doc_id").alias("paper_id"), F.posexplode_outer(F.split("text", "\n")).alias("block_no", "text"))
+        .where("text IS NOT NULL")
         .select("paper_id", (F.floor(F.col("block_no") / lines_per_page) + 1).cast("int").alias("page"), "block_no", "text")
     )
 
