@@ -37,42 +37,46 @@ def _meets(left: str, right: str, a: str, b: str) -> Column:
     return F.col(f"{left}.tree").eqNullSafe(F.col(f"{right}.tree")) & (F.col(f"{left}.{a}") == F.col(f"{right}.{b}"))
 
 
-def climbed(messages: DataFrame) -> list[DataFrame]:
-    """Rounds of doubling over ``tree, id, parent, score``: per round ``tree, id, up, depth, total``; in the last, ``up`` is
-    null but for messages that never reach a root."""
+def climbed(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Rounds of doubling over ``tree, id, parent, score``.
+
+    Per round the messages that still climb, ``tree, id, up, depth, total``, and then all that have reached a root (``up`` is
+    null). Only messages that still climb take part in a round, so short trees cost nothing in the later ones.
+    """
     own = messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("total"))
-    first = own.alias("a").join(own.alias("b"), _meets("a", "b", "parent", "id"), "left").select(
-        "a.tree", "a.id", F.col("b.id").alias("up"), F.lit(1).cast("long").alias("depth"), "a.total")
-    rounds = [stored(first, "climb")]
-    n = None
-    while rounds[-1].where("up IS NOT NULL").limit(1).count():
+    state = stored(own.alias("a").join(own.alias("b"), _meets("a", "b", "parent", "id"), "left").select(
+        "a.tree", "a.id", F.col("b.id").alias("up"), F.lit(1).cast("long").alias("depth"), "a.total"), "climb")
+    rounds, arrived, most = [state.where("up IS NOT NULL")], state.where("up IS NULL"), None
+    while rounds[-1].limit(1).count():
         if len(rounds) > 8:
-            n = rounds[0].count() if n is None else n
-            if 1 << (len(rounds) - 1) > n:  # longer than any path: only cycles are left
+            most = state.count() if most is None else most
+            if 1 << (len(rounds) - 1) > most:  # longer than any path: only cycles are left
                 break
-        last = rounds[-1]
-        step = last.alias("a").join(last.where("true").alias("b"), _meets("a", "b", "up", "id"), "left").select(
-            "a.tree", "a.id", F.col("b.up").alias("up"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"),
-            (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"))
-        rounds.append(stored(step, "climb"))
-    return rounds
+        here = rounds[-1].union(arrived)
+        step = stored(rounds[-1].alias("a").join(here.alias("b"), _meets("a", "b", "up", "id")).select(
+            "a.tree", "a.id", F.col("b.up").alias("up"), (F.col("a.depth") + F.col("b.depth")).alias("depth"),
+            (F.col("a.total") + F.col("b.total")).alias("total")), "climb")
+        rounds.append(step.where("up IS NOT NULL"))
+        arrived = arrived.union(step.where("up IS NULL"))
+    return rounds, arrived
 
 
 def chosen_paths(messages: DataFrame, top_k: int | None = 1) -> DataFrame:
     """``tree, leaf, branch, score, id, position``: the messages of the ``top_k`` best paths of every tree (None: all paths)."""
-    rounds = climbed(messages)
-    parents = rounds[0].where("up IS NOT NULL").select("tree", F.col("up").alias("id")).distinct()
-    leaves = rounds[-1].where("up IS NULL").alias("a").join(parents.alias("b"), _meets("a", "b", "id", "id"), "left_anti")
+    rounds, arrived = climbed(messages)
+    parents = rounds[0].select("tree", F.col("up").alias("id")).distinct()
+    leaves = arrived.alias("a").join(parents.alias("b"), _meets("a", "b", "id", "id"), "left_anti")
     leaves = leaves.select("tree", F.col("id").alias("leaf"), (F.col("total") / F.col("depth")).alias("score"), "depth")
     order = Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("leaf"))
     leaves = leaves.withColumn("branch", F.row_number().over(order))
     if top_k is not None:
         leaves = leaves.where(F.col("branch") <= top_k)
-    paths = stored(leaves.select("tree", "leaf", "branch", "score", F.col("leaf").alias("id"), F.col("depth").alias("position")), "paths")
-    for k in range(len(rounds) - 2, -1, -1):
-        step = paths.alias("a").join(rounds[k].where("up IS NOT NULL").alias("b"), _meets("a", "b", "id", "id")).select(
-            "a.tree", "a.leaf", "a.branch", "a.score", F.col("b.up").alias("id"), (F.col("a.position") - (1 << k)).alias("position"))
-        paths = stored(paths.union(step), "paths")
+    leaves = leaves.select("tree", "leaf", "branch", "score", F.col("leaf").alias("id"), F.col("depth").alias("position"))
+    paths = stored(leaves, "paths")
+    for k in range(len(rounds) - 1, -1, -1):  # what lies 2**k above everything listed so far
+        more = stored(paths.alias("a").join(rounds[k].alias("b"), _meets("a", "b", "id", "id")).select(
+            "a.tree", "a.leaf", "a.branch", "a.score", F.col("b.up").alias("id"), (F.col("a.position") - (1 << k)).alias("position")), "paths")
+        paths = paths.union(more)
     return paths
 
 
