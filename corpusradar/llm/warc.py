@@ -112,15 +112,12 @@ class Archive:
     def next_start(self, at: int) -> int:
         """The next place from ``at`` that looks like a version line or a gzip member; the archive's size if none."""
         while at < self.size:
-            window = self.read(at - 1 if at else 0, _WINDOW)
-            base = at - 1 if at else 0
-            for found in re.finditer(rb"(?:(?<=\n)|\A)WARC/1\.|\x1f\x8b\x08", window):
-                place = base + found.start()
-                if place >= at and (window[found.start()] == 0x1F or place == 0 or found.start() > 0):
-                    return place
-            if base + len(window) >= self.size:
+            window = self.read(at, _WINDOW)
+            if found := re.search(rb"WARC/1\.|\x1f\x8b\x08", window):
+                return at + found.start()
+            if at + len(window) >= self.size:
                 return self.size
-            at = base + len(window) - 8
+            at += len(window) - 6
         return self.size
 
     def walk(self) -> Iterator[tuple[str, int, int, dict | str]]:
