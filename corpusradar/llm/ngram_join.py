@@ -6,10 +6,11 @@
 3. Nodes that share a prefix shingle are candidates if they pass the length filter (sizes differ too much) and the positional
    filter (too little is left after the shared shingle). A suffix filter bounds the overlap of the rest from a few splits
    before sets are compared, and every pair is compared once.
-4. Within a group of near copies nearly all pairs are candidates, and none but a spanning few matter. So each node is first
-   compared with the most promising of the centres of its lists; links give components; then every remaining candidate pair
-   of nodes from different components is compared. In a list all of one component nothing remains, otherwise members outside
-   the list's largest component meet the others. No link between components can be missed, and no cap is set anywhere.
+4. Within a group of near copies nearly all pairs are candidates, and none but a spanning few matter. So nodes are first
+   compared with the most promising centres of their lists (in ``STAR_ROUNDS`` rounds, of which later ones only look at members
+   outside their list's largest component); links give components. Then every remaining candidate pair of nodes from different
+   components is compared. In a list all of one component nothing remains, otherwise members outside the list's largest
+   component meet the others. No link between components can be missed, and no cap is set anywhere.
 
 Nulls count as empty texts; empty texts have no shingles and link with nothing. Rows that repeat an id and a text share the
 answer; the same id with another text counts as another document of that id. An empty table gives an empty table. Extra columns
@@ -32,6 +33,7 @@ from corpusradar.llm.components import components
 from corpusradar.llm.shingles import shingle_sets
 
 BROADCAST_ROWS = 1 << 20  # one long each: 8 MB
+STAR_ROUNDS = 1
 
 
 class Alike:
@@ -150,31 +152,41 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def promising_pairs(postings: DataFrame, rule: Alike) -> DataFrame:
-    """``a, b``: for every node the centre it shares most lists with. A list has two centres, drawn by hash."""
-    drawn = F.struct(F.xxhash64("h", "node").alias("x"), "node", "n", "at")
-    centres = postings.groupBy("h").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high"))
-    centres = centres.select("h", F.explode(F.array("low", "high")).alias("c")).select(
-        "h", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"), F.col("c.at").alias("cat"))
-    met = postings.join(centres, "h").where((F.col("node") != F.col("centre")) & rule.fits(F.col("n"), F.col("at"), F.col("cn"), F.col("cat")))
-    best = met.groupBy("node", "centre").agg(F.count("*").alias("lists")).groupBy("node").agg(
+def with_components(postings: DataFrame, found: DataFrame) -> DataFrame:
+    """Postings of lists with several components, with ``component`` and the list's ``largest``."""
+    lists = postings.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = lists.groupBy("h", "component").agg(F.count("*").alias("members"))
+    mixed = sizes.groupBy("h").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count("*").alias("kinds"))
+    return lists.join(mixed.where("kinds > 1").drop("kinds"), "h")
+
+
+def promising_pairs(lists: DataFrame, round_no: int, rule: Alike) -> DataFrame:
+    """``a, b``: for every node outside its lists' largest components the centres of these it shares most lists with.
+
+    Two centres stand for a component: the member with the most shared prefix shingles (an original has more of them than its
+    edited copies), and one drawn by hash.
+    """
+    inner = lists if round_no == 0 else lists.where("component = largest")
+    rank = F.struct("shared", F.xxhash64("node").alias("x"), "node", "n", "at")
+    drawn = F.struct(F.lit(0).cast("long").alias("shared"), F.xxhash64("h", "node", F.lit(round_no)).alias("x"), "node", "n", "at")
+    centres = inner.groupBy("h").agg(F.max(rank).alias("most"), F.max(drawn).alias("any"))
+    centres = centres.select("h", F.posexplode(F.array("most", "any")).alias("kind", "c")).select(
+        "h", "kind", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"), F.col("c.at").alias("cat"))
+    outer = lists if round_no == 0 else lists.where("component <> largest")
+    met = outer.join(centres, "h").where((F.col("node") != F.col("centre")) & rule.fits(F.col("n"), F.col("at"), F.col("cn"), F.col("cat")))
+    best = met.groupBy("node", "kind", "centre").agg(F.count("*").alias("lists")).groupBy("node", "kind").agg(
         F.max_by("centre", F.struct("lists", "centre")).alias("centre"))
     return best.select(*_ordered("node", "centre")).distinct()
 
 
-def remaining_pairs(postings: DataFrame, found: DataFrame, tried: DataFrame, rule: Alike) -> DataFrame:
-    """``a, b``: candidates from different components that were not compared yet."""
-    lists = postings.join(found, "node", "left").select(
-        "h", "node", "n", "at", F.coalesce("component", "node").alias("component"))
-    sizes = lists.groupBy("h", "component").agg(F.count("*").alias("members"))
-    mixed = sizes.groupBy("h").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count("*").alias("kinds"))
-    lists = lists.join(mixed.where("kinds > 1").drop("kinds"), "h")
+def remaining_pairs(lists: DataFrame, rule: Alike) -> DataFrame:
+    """``a, b``: candidates from different components, as often as they share lists."""
     side = lists.withColumn("band", rule.band(F.col("n")))
     small = side.where("component <> largest").withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
     x, y = small.alias("x"), side.alias("y")
     met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component"))
                  & rule.fits(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
-    return met.select(*_ordered("x.node", "y.node")).distinct().join(tried, ["a", "b"], "left_anti")
+    return met.select(*_ordered("x.node", "y.node")).distinct()
 
 
 def _may_overlap(a: np.ndarray, b: np.ndarray, least: int, depth: int = 3) -> bool:
@@ -195,36 +207,69 @@ def _may_overlap(a: np.ndarray, b: np.ndarray, least: int, depth: int = 3) -> bo
     return True
 
 
-def compared(df: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, rule: Alike) -> DataFrame:
-    """The pairs that link, by their whole sets."""
-    needed = stored(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "print", "rep"), "needed")
-    wanted = needed.select(F.col("rep").alias("id")).distinct()
-    if wanted.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long") and wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    rows = _rows(df, id_col, text_col)
-    texts = rows.alias("t").join(wanted.alias("w"), F.col("t.id").eqNullSafe(F.col("w.id")), "left_semi").select("text")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, octets, bounds in text_blocks(batch.column(0)):
-                sets = shingle_sets(octets, bounds, rule.size)
-                yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                                 names=["print", "set"])
-
-    sets = texts.mapInArrow(sets_of, "print binary, set binary").join(needed, "print").dropDuplicates(["node"]).select("node", "set")
-    sets = stored(sets, "shingle-sets", compression="none")
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "set": "set_b"}), "b")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                least = rule.overlap(len(a), len(b))
-                keep.append(_may_overlap(a, b, least) and len(np.intersect1d(a, b, assume_unique=True)) >= least)
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
-
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(link, "a long, b long")
+class Sets:
+    """Whole shingle sets of the nodes that were needed so far, each read from its text once."""
+
+    def __init__(self, df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, rule: Alike):
+        self.rows, self.nodes, self.rule, self.tables = _rows(df, id_col, text_col), nodes, rule, []
+
+    def need(self, pairs: DataFrame) -> None:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        for table in self.tables:
+            wanted = wanted.join(table.select("node"), "node", "left_anti")
+        needed = stored(self.nodes.join(wanted, "node").select("node", "print", "rep"), "needed")
+        n = needed.count()
+        if not n:
+            return
+        ids = needed.select(F.col("rep").alias("id")).distinct()
+        if ids.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long") and n <= BROADCAST_ROWS:
+            ids = F.broadcast(ids)
+        texts = self.rows.alias("t").join(ids.alias("w"), F.col("t.id").eqNullSafe(F.col("w.id")), "left_semi").select("text")
+        size = self.rule.size
+
+        def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, _, octets, bounds in text_blocks(batch.column(0)):
+                    sets = shingle_sets(octets, bounds, size)
+                    yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                                     names=["print", "set"])
+
+        sets = texts.mapInArrow(sets_of, "print binary, set binary").join(needed, "print").dropDuplicates(["node"]).select("node", "set")
+        self.tables.append(stored(sets, "shingle-sets", compression="none"))
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that link, by their whole sets."""
+        self.need(pairs)
+        if not self.tables:
+            return pairs
+        rule, sets = self.rule, self.tables[0]
+        for table in self.tables[1:]:
+            sets = sets.union(table)
+        both = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "set": "set_b"}), "b")
+
+        def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                    a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    least = rule.overlap(len(a), len(b))
+                    keep.append(_may_overlap(a, b, least) and len(np.intersect1d(a, b, assume_unique=True)) >= least)
+                yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+        return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(link, "a long, b long"), "near")
+
+
+def joined_components(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of the nodes that have any, after more links."""
+    if found is None:
+        return stored(components(links), "components")
+    if not links.limit(1).count():
+        return found
+    ends = links.alias("l").join(found.toDF("a", "ca").alias("x"), "a", "left").join(found.toDF("b", "cb").alias("y"), "b", "left")
+    merged = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).toDF("old", "new")
+    alone = merged.join(found.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    moved = found.join(merged, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    return stored(moved.union(alone), "components")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Alike | None = None) -> DataFrame:
@@ -233,19 +278,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints, counts = surveyed(df, id_col, text_col, rule)
     classes = stored(prints.where("n > 0").groupBy("print").agg(F.min("id").alias("rep")), "shingle-classes")
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
-    postings = stored(shared_postings(nodes, prefixes(df, id_col, text_col, rule, counts)), "shingle-postings")
-    tried = stored(promising_pairs(postings, rule), "pairs")
-    links = stored(compared(df, nodes, tried, id_col, text_col, rule), "near")
-    found = stored(components(links), "components")
-    rest = stored(remaining_pairs(postings, found, tried, rule), "pairs")
-    more = stored(compared(df, nodes, rest, id_col, text_col, rule), "near")
-    if more.limit(1).count():
-        label = lambda side: F.coalesce(f"{side}.component", f"l.{side}")
-        between = more.alias("l").join(found.withColumnRenamed("node", "a").alias("a"), "a", "left").join(
-            found.withColumnRenamed("node", "b").alias("b"), "b", "left").select(label("a").alias("a"), label("b").alias("b"))
-        joined = components(between).withColumnsRenamed({"node": "old", "component": "new"})
-        members = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        found = members.join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    postings = shared_postings(nodes, prefixes(df, id_col, text_col, rule, counts))
+    postings = stored(postings, "shingle-postings")
+    shared = postings.groupBy("node").agg(F.count("*").alias("shared"))
+    postings = stored(postings.join(shared, "node"), "shingle-postings")
+    sets, found, tried = Sets(df, nodes, id_col, text_col, rule), None, None
+    for round_no in range(STAR_ROUNDS + 1):
+        lists = postings if found is None else stored(with_components(postings, found), "lists")
+        pairs = promising_pairs(lists, round_no, rule) if round_no < STAR_ROUNDS else remaining_pairs(lists, rule)
+        pairs = stored(pairs, "pairs")
+        fresh = pairs if tried is None else stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.union(fresh)
+        found = joined_components(found, sets.linked(fresh))
     labelled = nodes.join(found, "node", "left").select("print", "rep", F.coalesce("component", "node").alias("component"))
     smallest = stored(labelled.groupBy("component").agg(F.min("rep").alias("component_id")), "component-ids")
     by_print = labelled.join(smallest, "component").select("print", "component_id")
