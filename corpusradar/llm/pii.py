@@ -186,13 +186,15 @@ def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sett
     lists = merged.groupBy(F.col("id").alias("__id"), F.col("print").alias("__print")).agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "kind", "from"))).alias("__spans"))
     text = whole_text(text_col)
-    marked = df.withColumn("__own", F.xxhash64(text))
+    may = text.rlike("[0-9@]")  # other texts have no spans and need not meet any
+    marked = df.where(may).withColumn("__own", F.xxhash64(text))
     joined = marked.join(lists, marked[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__print")), "left")
     part = lambda a, n: text.substr((a + 1).cast("int"), n.cast("int"))
     pieces = F.transform("__spans", lambda s: F.concat(part(s["from"], s["start"] - s["from"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
     last = F.element_at("__spans", -1)["end"]
     clean = F.concat(F.array_join(pieces, ""), part(last, F.length(text) - last))
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col(text_col))).select(*df.columns)
+    done = joined.withColumn(text_col, F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col(text_col))).select(*df.columns)
+    return df.where(~may).union(done)
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
