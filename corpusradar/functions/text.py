@@ -26,9 +26,17 @@ def matches_any(col: Column, patterns: Sequence[str]) -> Column:
     return F.coalesce(col.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False))
 
 
+# A word boundary where letters and numbers of any alphabet and the underscore are word characters.
+_WORD = r"[\p{L}\p{N}_]"
+_EDGE = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
+
 def search_tokens(col: Column) -> Column:
-    """Search tokens: runs of two or more of a-z, 0-9, underscore, hyphen on lower-cased text."""
-    return F.regexp_extract_all(F.lower(col), F.lit("[a-z0-9_-]{2,}"), F.lit(0))
+    """Search tokens: two or more of a-z, 0-9, underscore, hyphen between word boundaries, on lower-cased text.
+
+    A word with an accented letter gives no fragments of itself; only hyphenated parts that are whole words count.
+    """
+    return F.regexp_extract_all(F.lower(col), F.lit(rf"{_EDGE}[a-z0-9_\-]{{2,}}{_EDGE}"), F.lit(0))
 
 
 def words(col: Column) -> Column:

@@ -6,9 +6,8 @@ from corpusradar import constants as C
 from corpusradar.functions.text import search_tokens
 from corpusradar.operators import lexical as L
 from corpusradar.registry import query
-from corpusradar.registry.sqlviews import view
+from corpusradar.registry.sqlviews import TOKENS, view
 
-TOK = "regexp_extract_all(lower({0}), '[a-z0-9_-]{{2,}}')"
 WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
 
 
@@ -16,13 +15,13 @@ def bm25_views(name: str, corpus: str, id_col: str, queries: str, scope: str, co
     """Views ``{name}_tf``, ``_df``, ``_stats`` and ``_scores`` of BM25 over ``corpus(id_col, scope, text)``."""
     view(f"{name}_tf", f"""
 SELECT {id_col}, {scope} AS scope, dl, term, count(*) AS tf FROM (SELECT {id_col}, {scope}, len(t) AS dl, unnest(t) AS term
-  FROM (SELECT {id_col}, {scope}, {TOK.format('text')} AS t FROM {corpus})) GROUP BY ALL""", corpus_needs)
+  FROM (SELECT {id_col}, {scope}, {TOKENS.format('text')} AS t FROM {corpus})) GROUP BY ALL""", corpus_needs)
     view(f"{name}_df", f"SELECT scope, term, count(*) AS df FROM {name}_tf GROUP BY ALL", f"{name}_tf")
     view(f"{name}_stats", f"SELECT {scope} AS scope, count(*) AS n, avg(len({WORDS.format('text')})) AS avgdl FROM {corpus} GROUP BY ALL", corpus_needs)
     view(f"{name}_scores", f"""
 SELECT query_id, {id_col}, round(sum(qtf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE
    / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
-FROM (SELECT query_id, {scope} AS scope, term, count(*) AS qtf FROM (SELECT query_id, {scope}, unnest({TOK.format('query')}) AS term FROM {queries}) GROUP BY ALL) q
+FROM (SELECT query_id, {scope} AS scope, term, count(*) AS qtf FROM (SELECT query_id, {scope}, unnest({TOKENS.format('query')}) AS term FROM {queries}) GROUP BY ALL) q
 JOIN {name}_tf USING (scope, term) JOIN {name}_df USING (scope, term) JOIN {name}_stats USING (scope)
 GROUP BY query_id, {id_col}""", f"{name}_tf {name}_df {name}_stats {query_needs}")
 
@@ -53,7 +52,7 @@ def corpus(t):
 
 
 @query("tokenize", "SELECT doc_id, len(t) AS tokens, len(list_distinct(t)) AS distinct_tokens, list_max(t) AS top FROM (SELECT doc_id, "
-       + TOK.format("text") + " AS t FROM documents)")
+       + TOKENS.format("text") + " AS t FROM documents)")
 def _(t):
     tokens = search_tokens(F.col("text"))
     return t.documents.select("doc_id", F.size(tokens).alias("tokens"), F.size(F.array_distinct(tokens)).alias("distinct_tokens"),

@@ -1,5 +1,10 @@
 """The derived views once more as DuckDB text, for the side-by-side check."""
 
+# Search tokens. RE2 only knows ASCII word boundaries, so letters and numbers of other alphabets become "A" (no token has one)
+# and all other non-ASCII characters a blank.
+TOKENS = (r"regexp_extract_all(regexp_replace(regexp_replace(lower({0}), '[^\x00-\x7F\p{{L}}\p{{N}}]', ' ', 'g'), "
+          r"'[^\x00-\x7F]', 'A', 'g'), '\b[a-z0-9_\-]{{2,}}\b')")
+
 VIEWS: dict[str, tuple[list[str], str]] = {}
 
 

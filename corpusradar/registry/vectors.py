@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusradar.operators import vectors as V
 from corpusradar.registry import query
-from corpusradar.registry.sqlviews import view
+from corpusradar.registry.sqlviews import TOKENS, view
 from corpusradar.session import cut_lineage
 
 
@@ -27,7 +27,7 @@ SELECT {id_col}, list(coalesce(n, 0) / CASE WHEN norm > 0 THEN norm ELSE 1 END O
 FROM (SELECT g.{id_col}, g.d, c.n, sqrt(sum(coalesce(c.n, 0) * coalesce(c.n, 0)) OVER (PARTITION BY g.{id_col})) AS norm
       FROM (SELECT {id_col}, unnest(range({dims})) AS d FROM (SELECT DISTINCT {id_col} FROM {source})) g
       LEFT JOIN (SELECT {id_col}, CAST(('0x' || left(md5(tok), 4)) AS INTEGER) % {dims} AS d, count(*) AS n
-                 FROM (SELECT {id_col}, unnest(regexp_extract_all(lower({text}), '[a-z0-9_-]{{2,}}')) AS tok FROM {source})
+                 FROM (SELECT {id_col}, unnest({TOKENS.format(text)}) AS tok FROM {source})
                  GROUP BY 1, 2) c ON g.{id_col} = c.{id_col} AND g.d = c.d)
 GROUP BY {id_col}"""
 

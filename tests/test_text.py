@@ -117,3 +117,13 @@ def test_bulk_infer_marks_failures(spark):
     assert got == {1: ("ok", 1, None), 2: ("long", 2, None), 3: (None, 2, "invalid output")}
     bad = I.bulk_infer(df.withColumn("t", F.lit("boom")), "id", "t", make, lambda s: s != "bad").collect()
     assert all(r["output"] is None and r["error"] == "down" and r["attempts"] == 2 for r in bad)
+
+
+def test_search_tokens_are_those_of_unicode_word_boundaries(spark):
+    import re
+
+    from corpusradar.functions.text import search_tokens
+
+    texts = ["café naïve-bayes -foo-- über straße x_1 -- a-b", "état-major 日本go go日本 x² a², b—c-d_e-", "_a_ -a- __ é_a ab́cd ٣4 a٣", "", "Ab-é cd-", "--ab--cd--"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(search_tokens(F.col("t"))).collect()
+    assert [r[0] for r in got] == [re.findall(r"\b[a-zA-Z0-9_\-]{2,}\b", t.lower()) for t in texts]
