@@ -33,7 +33,7 @@ from corpusradar.llm.components import components
 from corpusradar.llm.shingles import shingle_sets
 
 BROADCAST_ROWS = 1 << 20  # one long each: 8 MB
-STAR_ROUNDS = 1
+STAR_ROUNDS = 3
 
 
 class Alike:
