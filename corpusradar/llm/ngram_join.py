@@ -207,56 +207,38 @@ def _may_overlap(a: np.ndarray, b: np.ndarray, least: int, depth: int = 3) -> bo
     return True
 
 
-class Sets:
-    """Whole shingle sets of the nodes that were needed so far, each read from its text once."""
-
-    def __init__(self, df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, rule: Alike):
-        self.rows, self.nodes, self.rule, self.tables = _rows(df, id_col, text_col), nodes, rule, []
-
-    def need(self, pairs: DataFrame) -> None:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        for table in self.tables:
-            wanted = wanted.join(table.select("node"), "node", "left_anti")
-        needed = stored(self.nodes.join(wanted, "node").select("node", "print", "rep"), "needed")
-        n = needed.count()
-        if not n:
-            return
-        ids = needed.select(F.col("rep").alias("id")).distinct()
-        if ids.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long") and n <= BROADCAST_ROWS:
-            ids = F.broadcast(ids)
-        texts = self.rows.alias("t").join(ids.alias("w"), F.col("t.id").eqNullSafe(F.col("w.id")), "left_semi").select("text")
-        size = self.rule.size
-
-        def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for _, _, octets, bounds in text_blocks(batch.column(0)):
-                    sets = shingle_sets(octets, bounds, size)
-                    yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                                     names=["print", "set"])
-
-        sets = texts.mapInArrow(sets_of, "print binary, set binary").join(needed, "print").dropDuplicates(["node"]).select("node", "set")
-        self.tables.append(stored(sets, "shingle-sets", compression="none"))
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that link, by their whole sets."""
-        self.need(pairs)
-        if not self.tables:
-            return pairs
-        rule, sets = self.rule, self.tables[0]
-        for table in self.tables[1:]:
-            sets = sets.union(table)
-        both = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "set": "set_b"}), "b")
-
-        def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    least = rule.overlap(len(a), len(b))
-                    keep.append(_may_overlap(a, b, least) and len(np.intersect1d(a, b, assume_unique=True)) >= least)
-                yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
-
-        return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(link, "a long, b long"), "near")
+def linked(pairs: DataFrame, df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, rule: Alike) -> DataFrame:
+    """The pairs that link, by their whole sets. These are cut anew from the texts of the pairs' nodes and cross the network once
+    by their digest and once more beside their pair; they are never written."""
+    names = [nodes.select(F.col("node").alias(x), F.col("print").alias(f"print_{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab"]
+    named = stored(pairs.join(names[0], "a").join(names[1], "b"), "named-pairs")
+    ids = stored(named.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct(), "needed")
+    if ids.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long") and ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    texts = _rows(df, id_col, text_col).alias("t").join(ids.alias("w"), F.col("t.id").eqNullSafe(F.col("w.id")), "left_semi").select("text")
+    size = rule.size
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, octets, bounds in text_blocks(batch.column(0)):
+                sets = shingle_sets(octets, bounds, size)
+                yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                                 names=["print", "set"])
+
+    sets = texts.mapInArrow(sets_of, "print binary, set binary").groupBy("print").agg(F.first("set").alias("set"))
+    named = named.select("a", "b", "print_a", "print_b")
+    both = named.join(sets.toDF("print_a", "set_a"), "print_a").join(sets.toDF("print_b", "set_b"), "print_b")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                least = rule.overlap(len(a), len(b))
+                keep.append(_may_overlap(a, b, least) and len(np.intersect1d(a, b, assume_unique=True)) >= least)
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(link, "a long, b long"), "near")
 
 
 def joined_components(found: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -282,14 +264,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     postings = stored(postings, "shingle-postings")
     shared = postings.groupBy("node").agg(F.count("*").alias("shared"))
     postings = stored(postings.join(shared, "node"), "shingle-postings")
-    sets, found, tried = Sets(df, nodes, id_col, text_col, rule), None, None
+    found, tried = None, None
     for round_no in range(STAR_ROUNDS + 1):
         lists = postings if found is None else stored(with_components(postings, found), "lists")
         pairs = promising_pairs(lists, round_no, rule) if round_no < STAR_ROUNDS else remaining_pairs(lists, rule)
         pairs = stored(pairs, "pairs")
         fresh = pairs if tried is None else stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(fresh)
-        found = joined_components(found, sets.linked(fresh))
+        found = joined_components(found, linked(fresh, df, nodes, id_col, text_col, rule))
     labelled = nodes.join(found, "node", "left").select("print", "rep", F.coalesce("component", "node").alias("component"))
     smallest = stored(labelled.groupBy("component").agg(F.min("rep").alias("component_id")), "component-ids")
     by_print = labelled.join(smallest, "component").select("print", "component_id")
