@@ -91,8 +91,6 @@ LIST_TRIGGERS = [
     "what are", "approach", "method", "how does", "key", "main",
 ]
 CAPTION_QUERY_PATTERN = r"(?i)\b(figure|fig|diagram|table|illustration|plot|chart)\b"
-CAMEL_PATTERN = r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b"
-ACRONYM_PATTERN = r"\b[A-Z]{2,}\b"
 CHAIN_INTENTS = ["implement", "math", "formula"]
 
 # --- questions -------------------------------------------------------------------------

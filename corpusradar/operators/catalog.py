@@ -46,9 +46,10 @@ def brief(papers: DataFrame) -> DataFrame:
     return papers.select([F.col(c) if c in papers.columns else F.lit(None).cast("string").alias(c) for c in BRIEF_COLUMNS])
 
 
-def hidden_gems(papers: DataFrame, limit: int = 10) -> DataFrame:
-    return (papers.where(F.col("is_analyzed") & (F.col("overall_score") >= 7.0) & (F.col("hype_score") <= 4.0))
-            .orderBy(F.col("overall_score").desc(), "paper_id").limit(limit))
+def hidden_gems(papers: DataFrame, limit: int | None = 10) -> DataFrame:
+    """Well rated papers with little hype, best first; ``limit=None`` gives all of them, in no order."""
+    gems = papers.where(F.col("is_analyzed") & (F.col("overall_score") >= 7.0) & (F.col("hype_score") <= 4.0))
+    return gems if limit is None else gems.orderBy(F.col("overall_score").desc(), "paper_id").limit(limit)
 
 
 def analyzed(papers: DataFrame, action: str | None = None, recent: bool = False, limit: int = 50, hours: int = 2) -> DataFrame:

@@ -137,9 +137,9 @@ UNION ALL SELECT 'run difference', v, CASE WHEN v <= 1 THEN 'pass' ELSE 'warn' E
 UNION ALL SELECT 'papers analysed', CAST(papers AS DOUBLE), 'info' FROM distribution
 UNION ALL SELECT 'score min', min, 'info' FROM distribution UNION ALL SELECT 'score max', max, 'info' FROM distribution
 UNION ALL SELECT 'score mean', mean, 'info' FROM distribution UNION ALL SELECT 'papers with code %', code_pct, 'info' FROM distribution
-UNION ALL SELECT 'hidden gems', CAST(count(*) AS DOUBLE), 'info' FROM (SELECT 1 FROM catalog WHERE is_analyzed AND overall_score >= 7 AND hype_score <= 4 LIMIT 20)
+UNION ALL SELECT 'hidden gems', CAST(count(*) AS DOUBLE), 'info' FROM (SELECT 1 FROM catalog WHERE is_analyzed AND overall_score >= 7 AND hype_score <= 4)
 """, "accuracy discrimination label_ranked consistency distribution catalog")
 def _(t):
     return E.evaluation_report(
         E.range_accuracy(hype(t), expected(t)), E.discrimination_stats(hype(t)), E.precision_at_k(*label_precision(t)),
-        E.run_consistency(runs(t)), E.score_distribution(analysed(t), GENERIC), K.hidden_gems(t.catalog, 20))
+        E.run_consistency(runs(t)), E.score_distribution(analysed(t), GENERIC), K.hidden_gems(t.catalog, None))
