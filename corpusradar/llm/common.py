@@ -120,7 +120,8 @@ def array_parts(values: np.ndarray) -> tuple[pa.Array, pa.Array]:
 
 
 def array_total(parts: DataFrame, size: int) -> np.ndarray:
-    """Sum of the arrays of all tasks from their rows ``slice, part``; two rounds, so no task reads the rows of all tasks."""
+    """Sum of the arrays of all tasks from their rows ``slice, part``; in two rounds, the first over ``SLICES`` neighbouring tasks,
+    so no task reads the rows of all tasks and few tasks send little on."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -132,7 +133,7 @@ def array_total(parts: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([x.tobytes() for x in total.values()])],
                                              names=["slice", "part"])
 
-    level = parts.select("slice", "part").repartition("slice", F.spark_partition_id() % 64).mapInArrow(summed, "slice int, part binary")
+    level = parts.select("slice", "part").repartition("slice", F.floor(F.spark_partition_id() / SLICES)).mapInArrow(summed, "slice int, part binary")
     level = level.repartition("slice").mapInArrow(summed, "slice int, part binary")
     rows = {row["slice"]: np.frombuffer(row["part"], np.int64) for row in level.collect()}  # `size` integers, however many tasks
     return np.concatenate([rows[k] for k in range(SLICES)]) if rows else np.zeros(size, np.int64)

@@ -154,7 +154,7 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 def with_components(postings: DataFrame, found: DataFrame) -> DataFrame:
     """Postings of lists with several components, with ``component`` and the list's ``largest``."""
-    lists = postings.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lists = postings.drop("component", "largest").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = lists.groupBy("h", "component").agg(F.count("*").alias("members"))
     mixed = sizes.groupBy("h").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count("*").alias("kinds"))
     return lists.join(mixed.where("kinds > 1").drop("kinds"), "h")
@@ -264,9 +264,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     postings = stored(postings, "shingle-postings")
     shared = postings.groupBy("node").agg(F.count("*").alias("shared"))
     postings = stored(postings.join(shared, "node"), "shingle-postings")
-    found, tried = None, None
+    lists, found, tried = postings, None, None
     for round_no in range(STAR_ROUNDS + 1):
-        lists = postings if found is None else stored(with_components(postings, found), "lists")
+        if found is not None:  # components only grow: a list all of one component stays so
+            lists = stored(with_components(lists, found), "lists")
         pairs = promising_pairs(lists, round_no, rule) if round_no < STAR_ROUNDS else remaining_pairs(lists, rule)
         pairs = stored(pairs, "pairs")
         fresh = pairs if tried is None else stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
