@@ -25,6 +25,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ from corpusradar.llm.shingles import shingle_sets
 
 BROADCAST_ROWS = 1 << 20  # one long each: 8 MB
 STAR_ROUNDS = 3
+KEY_BYTES, AT_BITS = 6, 16  # together one long
+LAST_AT = (1 << AT_BITS) - 1
 
 
 class Alike:
@@ -97,7 +100,10 @@ def surveyed(df: DataFrame, id_col: str, text_col: str, rule: Alike) -> tuple[Da
 
 
 def prefixes(df: DataFrame, id_col: str, text_col: str, rule: Alike, counts: np.ndarray) -> DataFrame:
-    """``print, n, prefix``: the rarest shingles of every row's set, rare first."""
+    """``print, prefix``: the rarest shingles of every row's set, rare first, ``KEY_BYTES`` of each hash.
+
+    Shingles that agree in these bytes only meet as candidates; pairs are decided by whole hashes.
+    """
     rank = np.unique(counts, return_inverse=True)[1].astype(np.int32)
     shared = df.sparkSession.sparkContext.broadcast(rank)  # 2**bucket_bits integers
     shift = np.uint64(64 - rule.bucket_bits)
@@ -110,42 +116,63 @@ def prefixes(df: DataFrame, id_col: str, text_col: str, rule: Alike, counts: np.
                 firsts = []
                 for s in sets:
                     order = np.argsort(ranks[(s >> shift).astype(np.int64)], kind="stable")[:rule.prefix(len(s))]
-                    firsts.append(s[order].view(np.int64))
+                    firsts.append(s[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes())
                 if sets:
-                    ends = np.append(0, np.cumsum([len(f) for f in firsts])).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(map(_digest, sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))], names=["print", "n", "prefix"])
+                    yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), pa.array(firsts, pa.binary())],
+                                                     names=["print", "prefix"])
+
+    return _rows(df, id_col, text_col).select("text").mapInArrow(run, "print binary, prefix binary")
 
-    return _rows(df, id_col, text_col).select("text").mapInArrow(run, "print binary, n long, prefix array<long>")
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per prefix shingle its node and ``key``: the bytes of the hash, then the position in the lowest ``AT_BITS``.
+
+    Later positions count as the last one that fits, which only weakens the positional filter.
+    """
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False) // KEY_BYTES
+        ends = np.cumsum(sizes)
+        row = 0
+        while row < len(sizes):
+            end = max(row + 1, int(np.searchsorted(ends, ends[row] + (1 << 18), side="right")))
+            raw = np.frombuffer(b"".join(batch.column(1).slice(row, end - row).to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
+            wide = np.zeros((len(raw), 8), np.uint8)
+            wide[:, 8 - KEY_BYTES:] = raw
+            at = np.arange(len(raw)) - np.repeat(ends[row:end] - sizes[row:end] - (ends[row] - sizes[row]), sizes[row:end])
+            key = wide.view("<u8").reshape(-1) | np.minimum(at, LAST_AT).astype(np.uint64)
+            node = np.repeat(batch.column(0).to_numpy()[row:end], sizes[row:end])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], names=["key", "node"])
+            row = end
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by ``h``, those whose ``h`` occurs again."""
-    held = None
+    """``h, node, at`` of those rows, sorted by ``key``, whose ``h`` occurs again."""
+    last_key, last_node, last_again = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+
+    def rows(key: np.ndarray, node: np.ndarray, again: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x[again]) for x in (key >> AT_BITS, node, key & LAST_AT)], names=["h", "node", "at"])
+
     for batch in batches:
-        table = pa.table(batch.columns, names=batch.schema.names)
-        table = (pa.concat_tables([held, table]) if held is not None else table).combine_chunks()
-        h = table.column("h").to_numpy()
-        # the first row may have been decided with the batch before: "again" remembers that
-        again = table.column("again").to_numpy(zero_copy_only=False).copy()
-        same = h[1:] == h[:-1]
+        if not batch.num_rows:
+            continue
+        key = np.append(last_key, batch.column(0).to_numpy())
+        node = np.append(last_node, batch.column(1).to_numpy())
+        again = np.zeros(len(key), bool)
+        again[0] = last_again  # the row kept back may have been decided with the batch before
+        same = key[1:] >> AT_BITS == key[:-1] >> AT_BITS
         again[1:] |= same
         again[:-1] |= same
-        table = table.set_column(table.schema.get_field_index("again"), "again", pa.array(again))
-        held = table.slice(len(h) - 1)
-        yield from table.slice(0, len(h) - 1).filter(pa.array(again[:-1])).to_batches()
-    if held is not None and held.column("again")[0].as_py():
-        yield from held.to_batches()
+        last_key, last_node, last_again = key[-1:], node[-1:], bool(again[-1])
+        yield rows(key[:-1], node[:-1], again[:-1])
+    if last_again:
+        yield rows(last_key, last_node, np.ones(1, bool))
 
 
 def shared_postings(nodes: DataFrame, firsts: DataFrame) -> DataFrame:
-    """``h, node, n, at``: prefix shingles that two nodes at least have."""
-    one = firsts.groupBy("print").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    rows = one.join(nodes.select("print", "node"), "print").select("node", "n", F.posexplode("prefix").alias("at", "h"))
-    rows = rows.select("h", "node", (F.col("n") * F.lit(1 << 31) + F.col("at")).alias("packed"), F.lit(False).alias("again"))
-    rows = rows.repartition("h").sortWithinPartitions("h").mapInArrow(_shared_only, rows.schema)
-    return rows.select("h", "node", F.shiftright("packed", 31).alias("n"), F.expr("packed & 2147483647").alias("at"))
+    """``h, node, at``: prefix shingles that two nodes at least have."""
+    one = firsts.groupBy("print").agg(F.first("prefix").alias("prefix"))
+    rows = one.join(nodes.select("print", "node"), "print").select("node", "prefix").mapInArrow(_keyed, "key long, node long")
+    return rows.repartition(F.shiftright("key", AT_BITS)).sortWithinPartitions("key").mapInArrow(_shared_only, "h long, node long, at long")
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -208,8 +235,8 @@ def _may_overlap(a: np.ndarray, b: np.ndarray, least: int, depth: int = 3) -> bo
 
 
 def linked(pairs: DataFrame, df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, rule: Alike) -> DataFrame:
-    """The pairs that link, by their whole sets. These are cut anew from the texts of the pairs' nodes and cross the network once
-    by their digest and once more beside their pair; they are never written."""
+    """The pairs that link, by their whole sets. These are cut from the texts of the pairs' nodes, which cross the network once by
+    the digest of their set and once more beside their pair (half as large as the hashes); neither is ever written."""
     names = [nodes.select(F.col("node").alias(x), F.col("print").alias(f"print_{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab"]
     named = stored(pairs.join(names[0], "a").join(names[1], "b"), "named-pairs")
     ids = stored(named.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct(), "needed")
@@ -218,27 +245,29 @@ def linked(pairs: DataFrame, df: DataFrame, nodes: DataFrame, id_col: str, text_
     texts = _rows(df, id_col, text_col).alias("t").join(ids.alias("w"), F.col("t.id").eqNullSafe(F.col("w.id")), "left_semi").select("text")
     size = rule.size
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, octets, bounds in text_blocks(batch.column(0)):
-                sets = shingle_sets(octets, bounds, size)
-                yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                                 names=["print", "set"])
+            for row, end, octets, bounds in text_blocks(batch.column(0)):
+                prints = map(_digest, shingle_sets(octets, bounds, size))
+                yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), batch.column(0).slice(row, end - row)], names=["print", "text"])
 
-    sets = texts.mapInArrow(sets_of, "print binary, set binary").groupBy("print").agg(F.first("set").alias("set"))
+    texts = texts.mapInArrow(digests, "print binary, text string").groupBy("print").agg(F.first("text").alias("text"))
     named = named.select("a", "b", "print_a", "print_b")
-    both = named.join(sets.toDF("print_a", "set_a"), "print_a").join(sets.toDF("print_b", "set_b"), "print_b")
+    both = named.join(texts.toDF("print_a", "text_a"), "print_a").join(texts.toDF("print_b", "text_b"), "print_b")
+
+    def sets_of(column: pa.Array) -> Iterator[np.ndarray]:
+        for _, _, octets, bounds in text_blocks(column):
+            yield from shingle_sets(octets, bounds, size)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for a, b in zip(sets_of(batch.column(2)), sets_of(batch.column(3)), strict=True):
                 least = rule.overlap(len(a), len(b))
                 keep.append(_may_overlap(a, b, least) and len(np.intersect1d(a, b, assume_unique=True)) >= least)
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(link, "a long, b long"), "near")
+    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(link, "a long, b long"), "near")
 
 
 def joined_components(found: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -258,12 +287,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row of ``df``: ``id, n_shingles, component_id`` (smallest id that links reach, its own included)."""
     rule = rule or Alike()
     prints, counts = surveyed(df, id_col, text_col, rule)
-    classes = stored(prints.where("n > 0").groupBy("print").agg(F.min("id").alias("rep")), "shingle-classes")
+    classes = stored(prints.where("n > 0").groupBy("print").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "shingle-classes")
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
     postings = shared_postings(nodes, prefixes(df, id_col, text_col, rule, counts))
     postings = stored(postings, "shingle-postings")
     shared = postings.groupBy("node").agg(F.count("*").alias("shared"))
-    postings = stored(postings.join(shared, "node"), "shingle-postings")
+    postings = stored(postings.join(shared.join(nodes.select("node", "n"), "node"), "node"), "shingle-postings")
     lists, found, tried = postings, None, None
     for round_no in range(STAR_ROUNDS + 1):
         if found is not None:  # components only grow: a list all of one component stays so
