@@ -138,17 +138,22 @@ def index_stats(chunks: DataFrame, summaries: DataFrame, blocks: DataFrame) -> D
         zero("math").alias("math"), zero("tables").alias("tables"), zero("captions").alias("captions"), zero("summaries").alias("summaries"))
 
 
-def stored_form(chunks: DataFrame) -> DataFrame:
-    """What the index keeps for readers: clean text and text with overlap, cut to the stored lengths."""
+def stored_form(chunks: DataFrame, clean_chars: int | None = None, context_chars: int | None = None) -> DataFrame:
+    """What the index keeps for readers: clean text and text with overlap, whole unless lengths are given."""
+    clean, context = (F.substring(c, 1, n) if n else F.col(c) for c, n in (("clean_text", clean_chars), ("raw_text", context_chars)))
     return chunks.select(
         "chunk_id", "paper_id", "position", "text", "page", "section", "section_order", "type", "has_math", "has_list", "is_caption",
-        F.substring("clean_text", 1, 1000).alias("raw_text"), F.substring("raw_text", 1, 1200).alias("raw_text_ctx"))
+        clean.alias("raw_text"), context.alias("raw_text_ctx"))
 
 
-def build_index(blocks: DataFrame, stored: DataFrame | None = None, **options) -> DataFrame:
-    """Chunks and section summaries of all papers in ``blocks``, replacing what ``stored`` holds of these papers."""
+def build_index(blocks: DataFrame, stored: DataFrame | None = None, clean_chars: int | None = None, context_chars: int | None = None,
+                **options) -> DataFrame:
+    """Chunks and section summaries of all papers in ``blocks``, replacing what ``stored`` holds of these papers.
+
+    Texts are stored whole; ``clean_chars`` and ``context_chars`` cut them for a smaller index.
+    """
     chunks = chunk_records(blocks, **options)
-    fresh = stored_form(union_all(chunks.select(CHUNK_COLUMNS), section_summaries(chunks)))
+    fresh = stored_form(union_all(chunks.select(CHUNK_COLUMNS), section_summaries(chunks)), clean_chars, context_chars)
     return fresh if stored is None else replace_partition(stored, fresh)
 
 

@@ -81,14 +81,15 @@ def overlap_scorer(id_col: str) -> Scorer:
     return score
 
 
-def pair_rerank(candidates: DataFrame, id_col: str, top_n: Column, scorer: Scorer | None = None, max_chars: int = 400) -> DataFrame:
-    """Score (query, start of the text) jointly for the first ``2 * top_n`` candidates and keep ``top_n``.
+def pair_rerank(candidates: DataFrame, id_col: str, top_n: Column, scorer: Scorer | None = None,
+                max_chars: int | None = None) -> DataFrame:
+    """Score (query, text, or its first ``max_chars``) jointly for the first ``2 * top_n`` candidates and keep ``top_n``.
 
     ``candidates(query_id, id_col, query, text, rank)``. A list no longer than ``top_n``, or a missing scorer (``False``),
     keeps its order. A plug-in scorer gets the pairs and adds ``pair_score``.
     """
     pool = candidates.where(F.col("rank") <= 2 * top_n).withColumn("_n", F.count("*").over(W.partitionBy("query_id")))
-    pool = pool.withColumn("_text", F.substring("text", 1, max_chars))
+    pool = pool.withColumn("_text", F.substring("text", 1, max_chars) if max_chars else F.col("text"))
     if scorer is False:
         scored = pool.withColumn("pair_score", F.lit(0.0))
     else:

@@ -24,16 +24,12 @@ def session_headers(turns: DataFrame, *carry: str) -> DataFrame:
         F.floor(F.count("*") / 2).cast("bigint").alias("message_count"), *[F.max(c).alias(c) for c in carry])
 
 
-def message_pages(turns: DataFrame, page_size: int = 200) -> DataFrame:
-    """``(conv_id, page, messages)``: ordered messages, at most one page of ``page_size`` turns per row."""
-    return turns.groupBy("conv_id", F.floor(F.col("turn") / page_size).cast("bigint").alias("page")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))),
-                    lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages"))
+def build_sessions(turns: DataFrame) -> DataFrame:
+    """``(conv_id, turn, title, message_count, role, content)``: every message beside the header of its conversation.
 
-
-def build_sessions(turns: DataFrame, page_size: int = 200) -> DataFrame:
-    """Header and messages together: one row per conversation, or per page of a very long one."""
-    return message_pages(turns, page_size).join(session_headers(turns), "conv_id")
+    One row per message at every length, so no row grows with its conversation.
+    """
+    return turns.select("conv_id", "turn", "role", F.col("text").alias("content")).join(session_headers(turns), "conv_id")
 
 
 def append_turn(headers: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:

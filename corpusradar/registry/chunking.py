@@ -57,8 +57,8 @@ FROM (SELECT paper_id, section, arg_max(section_order, position) AS section_orde
         array_to_string(list_filter(regexp_split_to_array(string_agg(clean_text, ' ' ORDER BY position), '\s+'), lambda w: w <> '')[:500], ' ') AS clean
       FROM chunks WHERE type IN ('text', 'math') GROUP BY paper_id, section)""", "chunks")
 view("stored_chunks", """
-SELECT chunk_id, paper_id, position, text, page, section, section_order, type, has_math, has_list, is_caption, left(clean_text, 1000) AS raw_text,
-       left(raw_text, 1200) AS raw_text_ctx
+SELECT chunk_id, paper_id, position, text, page, section, section_order, type, has_math, has_list, is_caption, clean_text AS raw_text,
+       raw_text AS raw_text_ctx
 FROM (SELECT chunk_id, text, raw_text, clean_text, page, section, section_order, type, has_math, has_list, is_caption, paper_id, position FROM chunks
       UNION ALL SELECT *, NULL FROM summaries)""", "chunks summaries")
 view("heading_spans", rf"""

@@ -106,7 +106,7 @@ def _(t):
 
 view("pairs", f"""
 SELECT query_id, paper_id, rank, count(*) OVER (PARTITION BY query_id) AS n,
-       list_intersect(list_distinct({TOKENS.format('query')}), list_distinct({TOKENS.format('left(text, 400)')})) AS shared FROM boosted WHERE rank <= 10""", "boosted")
+       list_intersect(list_distinct({TOKENS.format('query')}), list_distinct({TOKENS.format('text')})) AS shared FROM boosted WHERE rank <= 10""", "boosted")
 
 
 @query("pair_rerank", """
@@ -297,7 +297,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id
     UNION ALL SELECT query_id, chunk_id, (1 + {BONUS})::DOUBLE / (60 + r) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM {p}_b_scores)
       JOIN {p}_own USING (query_id)) GROUP BY query_id, chunk_id) USING (query_id, chunk_id))""", f"{p}_pool {p}_b_scores {p}_own")
     view(f"{p}_pairs", f"""
-SELECT *, count(*) OVER (PARTITION BY query_id) AS size, list_intersect(list_distinct({TOKENS.format('query')}), list_distinct({TOKENS.format('left(raw_text, 400)')})) AS shared
+SELECT *, count(*) OVER (PARTITION BY query_id) AS size, list_intersect(list_distinct({TOKENS.format('query')}), list_distinct({TOKENS.format('raw_text')})) AS shared
 FROM {p}_fused WHERE fused_rank <= 2 * n""", f"{p}_fused")
     view(f"{p}_selected", f"""
 SELECT * FROM (SELECT p.query_id, p.paper_id, p.chunk_id, p.intent, p.section, p.position, p.n,

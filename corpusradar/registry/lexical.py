@@ -30,7 +30,7 @@ view("corpus", "SELECT doc_id AS paper_id, text, 0 AS one FROM documents")
 view("dq1", "SELECT *, 0 AS one FROM decorated_queries", "decorated_queries")
 bm25_views("docs", "corpus", "paper_id", "dq1", "one", "corpus", "dq1")
 view("source_corpus", "SELECT doc_id, source, text FROM documents")
-view("source_queries", "SELECT query_id * 100 + n AS query_id, query, 'src' || n AS source FROM decorated_queries, (SELECT unnest(range(20)) AS n)", "decorated_queries")
+view("source_queries", "SELECT query_id || '/' || source AS query_id, query, source FROM decorated_queries, (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)", "decorated_queries")
 bm25_views("bysource", "source_corpus", "doc_id", "source_queries", "source", "source_corpus", "source_queries")
 view("lex_hits", """
 SELECT * FROM (SELECT query_id, paper_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS rank FROM docs_scores)
@@ -75,15 +75,17 @@ def _(t):
 
 
 @query("bm25_topk", """
-SELECT 'all' AS pool, query_id, paper_id, score, rank FROM lex_hits
+SELECT 'all' AS pool, CAST(query_id AS VARCHAR) AS query_id, paper_id, score, rank FROM lex_hits
 UNION ALL SELECT * FROM (SELECT 'source', query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
   FROM bysource_scores) WHERE rank <= 3 AND score > 0""", "lex_hits bysource_scores")
 def _(t):
-    pooled = t.decorated_queries.select("query", "query_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("n")).select(
-        (F.col("query_id") * 100 + F.col("n")).alias("query_id"), "query", F.concat(F.lit("src"), F.col("n").cast("string")).alias("source"))
+    sources = t.documents.select("source").where("source IS NOT NULL").distinct()
+    pooled = t.decorated_queries.crossJoin(sources).select(  # every question asks every source
+        F.concat_ws("/", F.col("query_id").cast("string"), "source").alias("query_id"), "query", "source")
     per_source = L.bm25_topk(pooled, t.documents.select("doc_id", "source", "text"), 3, "doc_id", "source")
     cols = ["query_id", "paper_id", "score", "rank"]
-    return L.bm25_topk(t.decorated_queries, corpus(t), 15).select(F.lit("all").alias("pool"), *cols).unionByName(
+    return L.bm25_topk(t.decorated_queries, corpus(t), 15).withColumn("query_id", F.col("query_id").cast("string")).select(
+        F.lit("all").alias("pool"), *cols).unionByName(
         per_source.withColumnRenamed("doc_id", "paper_id").select(F.lit("source").alias("pool"), *cols))
 
 

@@ -23,11 +23,9 @@ def headers(t):
 
 
 @query("build_sessions", """
-SELECT conv_id, 0 AS page, title, message_count, messages FROM headers JOIN (
-  SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS messages FROM turns GROUP BY conv_id) USING (conv_id)""", "headers")
+SELECT conv_id, turn, title, message_count, role, text AS content FROM headers JOIN turns USING (conv_id)""", "headers")
 def _(t):
-    return S.build_sessions(t.turns).select("conv_id", "page", "title", "message_count", F.array_join(
-        F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("messages"))
+    return S.build_sessions(t.turns).select("conv_id", "turn", "title", "message_count", "role", "content")
 
 
 @query("append_turn", """
