@@ -11,6 +11,9 @@
    outside their list's largest component); links give components. Then every remaining candidate pair of nodes from different
    components is compared. In a list all of one component nothing remains, otherwise members outside the list's largest
    component meet the others. No link between components can be missed, and no cap is set anywhere.
+5. The rounds of 4 are a shortcut to the components alone. ``near_links`` is the join itself: no link leaves its component, so
+   the nodes of a component are dealt by size band and by hash into blocks of bounded size, and every pair of blocks whose
+   sizes may link is a cell that compares all its pairs once. A group of any size is spread over as many cells as it needs.
 
 Nulls count as empty texts; empty texts have no shingles and link with nothing. Rows that repeat an id and a text share the
 answer; the same id with another text counts as another document of that id. An empty table gives an empty table. Extra columns
@@ -32,11 +35,14 @@ from pyspark.sql import functions as F
 from corpusradar.llm.common import SLICES, array_parts, array_total, stored, text_blocks, whole_text
 from corpusradar.llm.components import components
 from corpusradar.llm.shingles import shingle_sets
+from corpusradar.session import broadcast_if_small
 
 BROADCAST_ROWS = 1 << 20  # one long each: 8 MB
 STAR_ROUNDS = 3
 KEY_BYTES, AT_BITS = 6, 16  # together one long
 LAST_AT = (1 << AT_BITS) - 1
+BLOCK_NODES, BLOCK_SHINGLES = 128, 1 << 19  # of a block, on average
+STRIP = 1 << 13
 
 
 class Alike:
@@ -234,12 +240,9 @@ def _may_overlap(a: np.ndarray, b: np.ndarray, least: int, depth: int = 3) -> bo
     return True
 
 
-def linked(pairs: DataFrame, df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, rule: Alike) -> DataFrame:
-    """The pairs that link, by their whole sets. These are cut from the texts of the pairs' nodes, which cross the network once by
-    the digest of their set and once more beside their pair (half as large as the hashes); neither is ever written."""
-    names = [nodes.select(F.col("node").alias(x), F.col("print").alias(f"print_{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab"]
-    named = stored(pairs.join(names[0], "a").join(names[1], "b"), "named-pairs")
-    ids = stored(named.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct(), "needed")
+def texts_of(reps: DataFrame, df: DataFrame, id_col: str, text_col: str, rule: Alike) -> DataFrame:
+    """``print, text``: one text of every set that a row with an id of ``reps`` has."""
+    ids = stored(reps.distinct(), "needed")
     if ids.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long") and ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     texts = _rows(df, id_col, text_col).alias("t").join(ids.alias("w"), F.col("t.id").eqNullSafe(F.col("w.id")), "left_semi").select("text")
@@ -251,7 +254,16 @@ def linked(pairs: DataFrame, df: DataFrame, nodes: DataFrame, id_col: str, text_
                 prints = map(_digest, shingle_sets(octets, bounds, size))
                 yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), batch.column(0).slice(row, end - row)], names=["print", "text"])
 
-    texts = texts.mapInArrow(digests, "print binary, text string").groupBy("print").agg(F.first("text").alias("text"))
+    return texts.mapInArrow(digests, "print binary, text string").groupBy("print").agg(F.first("text").alias("text"))
+
+
+def linked(pairs: DataFrame, df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, rule: Alike) -> DataFrame:
+    """The pairs that link, by their whole sets. These are cut from the texts of the pairs' nodes, which cross the network once by
+    the digest of their set and once more beside their pair (half as large as the hashes); neither is ever written."""
+    names = [nodes.select(F.col("node").alias(x), F.col("print").alias(f"print_{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab"]
+    named = stored(pairs.join(names[0], "a").join(names[1], "b"), "named-pairs")
+    texts = texts_of(named.select(F.explode(F.array("rep_a", "rep_b")).alias("id")), df, id_col, text_col, rule)
+    size = rule.size
     named = named.select("a", "b", "print_a", "print_b")
     both = named.join(texts.toDF("print_a", "text_a"), "print_a").join(texts.toDF("print_b", "text_b"), "print_b")
 
@@ -283,9 +295,8 @@ def joined_components(found: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(moved.union(alone), "components")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Alike | None = None) -> DataFrame:
-    """Per row of ``df``: ``id, n_shingles, component_id`` (smallest id that links reach, its own included)."""
-    rule = rule or Alike()
+def grouped(df: DataFrame, id_col: str, text_col: str, rule: Alike) -> tuple[DataFrame, DataFrame]:
+    """``id, n, print`` per row, and ``node, print, rep, n, component`` of every distinct set that is not empty."""
     prints, counts = surveyed(df, id_col, text_col, rule)
     classes = stored(prints.where("n > 0").groupBy("print").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "shingle-classes")
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
@@ -302,13 +313,83 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         fresh = pairs if tried is None else stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(fresh)
         found = joined_components(found, linked(fresh, df, nodes, id_col, text_col, rule))
-    labelled = nodes.join(found, "node", "left").select("print", "rep", F.coalesce("component", "node").alias("component"))
+    return prints, nodes.join(found, "node", "left").select("node", "print", "rep", "n", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Alike | None = None) -> DataFrame:
+    """Per row of ``df``: ``id, n_shingles, component_id`` (smallest id that links reach, its own included)."""
+    prints, labelled = grouped(df, id_col, text_col, rule or Alike())
     smallest = stored(labelled.groupBy("component").agg(F.min("rep").alias("component_id")), "component-ids")
     by_print = labelled.join(smallest, "component").select("print", "component_id")
     empty = prints.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return prints.where("n > 0").join(by_print, "print").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id").union(empty)
 
 
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of every set of ``a`` with every one of ``b``: products of 0/1 matrices, ``STRIP`` shingles each."""
+    both = [*a, *b]
+    of = np.repeat(np.arange(len(both)), [len(s) for s in both])
+    values, place = np.unique(np.concatenate(both), return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    place, of, total = place[order], of[order], np.zeros((len(a), len(b)), np.int64)
+    for first in range(0, len(values), STRIP):
+        lo, hi = np.searchsorted(place, [first, first + STRIP])
+        grid = np.zeros((len(both), STRIP), np.float32)
+        grid[of[lo:hi], place[lo:hi] - first] = 1
+        total += (grid[:len(a)] @ grid[len(a):].T).astype(np.int64)
+    return total
+
+
+def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Alike | None = None) -> DataFrame:
+    """Every pair of distinct shingle sets that links, once: ``id_a, print_a, n_a, id_b, print_b, n_b, shared``.
+
+    ``print`` is a set's digest, the smaller one is ``a``; ``id`` the smallest id that has the set, ``n`` its size. The rows of a
+    set are those of its digest in the first table of ``surveyed``; rows of one set are alike without a link.
+    """
+    rule = rule or Alike()
+    labelled = stored(grouped(df, id_col, text_col, rule)[1].withColumn("band", rule.band(F.col("n"))), "banded-nodes")
+    bands = labelled.groupBy("component", "band").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
+    bands = bands.select("component", "band", "members", F.ceil(F.greatest(
+        F.col("members") / BLOCK_NODES, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    deals = bands.groupBy("component").agg(F.sum("members").alias("members"), F.map_from_entries(
+        F.collect_list(F.struct("band", "blocks"))).alias("blocks")).where("members > 1").drop("members")  # a few dozen bands at most
+    nodes = labelled.join(broadcast_if_small(stored(deals, "link-deals")), "component")
+    blocks = lambda step: F.coalesce(F.try_element_at("blocks", F.col("band") + step), F.lit(0))
+    nodes = nodes.withColumn("own", F.pmod(F.xxhash64("print"), blocks(0)).cast("int"))
+    each = lambda step, cell: F.transform(F.filter(F.sequence(F.lit(0), blocks(step)), lambda j: j < blocks(step)), cell)
+    cell = lambda low, high, i, j, side: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"), side.alias("side"))
+    band, own, first, second = F.col("band"), F.col("own"), F.lit(0), F.lit(1)
+    cells = F.concat(each(0, lambda j: cell(band, band, F.least(own, j), F.greatest(own, j), (own > j).cast("int"))),
+                     each(1, lambda j: cell(band, band + 1, own, j, first)), each(-1, lambda j: cell(band - 1, band, j, own, second)))
+    dealt = nodes.select("component", "print", F.col("rep").alias("id"), "n", F.explode(cells).alias("c"))
+    dealt = dealt.select("component", "c.*", "print", "id", "n").join(texts_of(nodes.select(F.col("rep").alias("id")), df, id_col, text_col, rule), "print")
+
+    def compare(table: pa.Table) -> pa.Table:
+        sets = []
+        for _, _, octets, bounds in text_blocks(table["text"]):
+            sets += shingle_sets(octets, bounds, rule.size)
+        side, n = table["side"].to_numpy(), np.array([len(s) for s in sets])
+        alone = table["low"][0] == table["high"][0] and table["i"][0] == table["j"][0]
+        a = np.arange(len(sets)) if alone else np.flatnonzero(side == 0)
+        b = a if alone else np.flatnonzero(side == 1)
+        x, y = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(a) and len(b):
+            shared = _overlaps([sets[k] for k in a], [sets[k] for k in b])
+            near = (rule.num + rule.den) * shared >= rule.num * (n[a][:, None] + n[b][None, :])
+            at = np.nonzero(np.triu(near, 1) if alone else near)
+            x, y, shared = a[at[0]], b[at[1]], shared[at]
+        else:
+            shared = x
+        rank = pc.rank(table["print"]).to_numpy()
+        x, y = np.where(rank[x] < rank[y], x, y), np.where(rank[x] < rank[y], y, x)
+        return pa.table([*[table[c].take(pa.array(k)) for k in (x, y) for c in ("id", "print", "n")], pa.array(shared)],
+                        names=["id_a", "print_a", "n_a", "id_b", "print_b", "n_b", "shared"])
+
+    kind = nodes.schema["rep"].dataType.simpleString()
+    return dealt.groupBy("component", "low", "high", "i", "j").applyInArrow(
+        compare, f"id_a {kind}, print_a binary, n_a long, id_b {kind}, print_b binary, n_b long, shared long")
+
+
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Alike | None = None) -> DataFrame:
     """One document of each group: the rows of ``df`` whose id is its group's smallest, all columns."""
     gone = near_duplicates(df, id_col, text_col, rule).where(~F.col(id_col).eqNullSafe(F.col("component_id")))
@@ -318,3 +399,8 @@ def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{folder}/documents.parquet"), rule=Alike(4, 85, 100))
+
+
+def links_query(spark: SparkSession, folder: str) -> DataFrame:
+    links = near_links(spark.read.parquet(f"{folder}/documents.parquet"), rule=Alike(4, 85, 100))
+    return links.withColumns({c: F.lower(F.hex(c)) for c in ("print_a", "print_b")})

@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": byte_bpe.query,
     "op10_pii": pii.query,
     "language_id_pages": language_id.pages_query,
+    "ngram_links": ngram_join.links_query,
 }
 
 ORACLES: dict[str, str] = {

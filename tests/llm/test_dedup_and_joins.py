@@ -113,6 +113,26 @@ def test_near_copies(spark, size, num):
     assert sorted(map(tuple, got)) == merged
 
 
+@pytest.mark.parametrize("block", [5, 128])
+def test_every_link_of_a_near_copy_group(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", block)
+    draw = random.Random(9)
+    base = [f"w{draw.randrange(900)}" for _ in range(120)]
+    rows = [(i, edited(base, draw, draw.randrange(3))) for i in range(60)]
+    rows += [(100 + i, " ".join(base[:len(base) - 4 * i])) for i in range(20)]  # a chain over several size bands
+    rows += [(200 + i, t) for i, t in enumerate(["", None, "one two", "ONE two", "one", "lone words of no other text"])] + [(3, rows[8][1]), (None, rows[9][1])]
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(shingles(t, 4), []).append(i)
+    sets.pop(frozenset())
+    distinct = [(min(i for i in ids if i is not None), s) for s, ids in sets.items()]
+    want = sorted((*sorted([(a, len(x)), (b, len(y))]), len(x & y)) for k, (a, x) in enumerate(distinct) for b, y in distinct[:k]
+                  if 100 * len(x & y) >= 85 * len(x | y) and x & y)
+    got = ngram_join.near_links(documents(spark, [(i, t, None, None, None, None) for i, t in rows]), rule=ngram_join.Alike(4, 85, 100)).collect()
+    assert len(want) > 200 and sorted((*sorted([(r.id_a, r.n_a), (r.id_b, r.n_b)]), r.shared) for r in got) == want
+    assert all(r.print_a < r.print_b for r in got) and ngram_join.near_links(documents(spark, [])).count() == 0
+
+
 def test_near_copies_of_nothing(spark):
     assert ngram_join.near_duplicates(documents(spark, [])).count() == 0
     assert ngram_join.near_duplicates(documents(spark, [(1, None, None, None, None, None)])).collect()[0].component_id == 1
