@@ -85,6 +85,14 @@ def test_evidence_is_fused(spark):
     assert language_id.identified(language_id.document_evidence(df.where("doc_id < 0"))).count() == 0
 
 
+def test_a_rare_language_is_found_whatever_the_others_have(spark):
+    en, fi = "the house of the friend is there and that is what they say", "talo on siellä ja ystävän sanat ovat mitä he sanovat"
+    rows = spark.range(6000).selectExpr("id AS doc_id", f"'{en}' AS text", "'en' AS lang", "'a' AS source").union(
+        spark.createDataFrame([(10_000 + i, fi, "fi" if i < 5 else None, "b") for i in range(8)], "doc_id long, text string, lang string, source string"))
+    got = {r.id: (r.language, r.accepted) for r in language_id.identified(language_id.document_evidence(rows)).collect()}
+    assert len(got) == 6008 and all(got[10_000 + i] == ("fi", True) for i in range(8)) and got[0] == ("en", True)
+
+
 # ---- personal data ---------------------------------------------------------------------------------------------------
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
