@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame operations only.
 
 Fixed expressions find the base entities (email, ip, card, phone). These are the seeds: the words around them become lexical
-patterns, and every word with a digit or an at sign that looks like an entity of that kind is an instance. Patterns and
+patterns, and every word with a digit or an at sign, and every run of digit groups joined by blanks, brackets, dots or hyphens,
+that looks like an entity of that kind is an instance; its context is the text around the whole of it. Patterns and
 instances form a graph, pre-aggregated to one edge per pair, that is scored in rounds: a pattern is as good as the share of
 good instances among all it meets, an instance as good as its patterns make it. Patterns that reach ``min_confidence`` and met
 ``min_seeds`` different seeds then discover instances that no expression found.
@@ -27,14 +28,20 @@ KINDS = ["email", "ip", "card", "phone"]
 
 # A match of the plain expression can only start where a run of its first class starts, or right after the last match (\G);
 # from any later place in the run it would meet the same text. The classes after each loop exclude what the loop takes.
+# Each is where a match may start, and the match.
 EXPRESSIONS = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
-    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "word": r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+",
+    "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
+    "ip": (r"(?:\G|(?<![0-9]))", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+    "card": ("", r"[0-9]++(?:[\x20-][0-9]++)*+"),
+    "phone": ("", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    "word": (r"(?<!\S)", r"[^\s0-9@]*+[0-9@]\S*+"),
+    "run": (r"(?<![0-9])", r"\(?[0-9]++(?:[\x20().-]++[0-9]++)++"),
 }
+CANDIDATES = ["word", "run"]
 CONTEXT_CHARS = 80
+# The characters of the text before and after a match, whatever else was matched there.
+BEFORE = rf"(?<=(\A[\s\S]{{0,{CONTEXT_CHARS - 1}}}|[\s\S]{{{CONTEXT_CHARS}}}))"
+AFTER = rf"(?=([\s\S]{{0,{CONTEXT_CHARS}}}))"
 
 
 @dataclass(frozen=True)
@@ -69,19 +76,21 @@ def located(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts = df.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
     texts = texts.select("id", "text", F.xxhash64("text").alias("print"))
     needs = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+"))}
-    for kind, expression in EXPRESSIONS.items():
-        found = F.regexp_extract_all("text", F.lit(expression), 0)
-        texts = texts.withColumn(kind, F.when(needs[kind], found) if kind in needs else found)
-    # each kind's matches beside the text before and after them; the last entry has no match and goes
-    per_kind = [F.when(F.size(kind) > 0, F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("values"),
-                                                  F.split("text", expression).alias("gaps")))
-                for kind, expression in EXPRESSIONS.items()]
+    for kind, (start, body) in EXPRESSIONS.items():
+        parts = {kind: (start + body, 0), f"{kind}_before": (f"{start}(?={body}){BEFORE}{body}", 1), f"{kind}_after": (start + body + AFTER, 1)}
+        for name, (expression, group) in parts.items():
+            found = F.regexp_extract_all("text", F.lit(expression), group)
+            texts = texts.withColumn(name, F.when(needs[kind], found) if kind in needs else found)
+    # each kind's matches beside the text before them; the last gap has no match and goes
+    per_kind = [F.when(F.size(kind) > 0, F.struct(
+        F.lit(kind).alias("kind"), F.col(kind).alias("values"), F.transform(F.split("text", start + body), F.length).alias("gaps"),
+        F.col(f"{kind}_before").alias("befores"), F.col(f"{kind}_after").alias("afters"))) for kind, (start, body) in EXPRESSIONS.items()]
     taken = texts.select("id", "print", F.inline(F.filter(F.array(*per_kind), lambda s: s.isNotNull())))
     rows = taken.select("id", "print", "kind", F.posexplode(F.arrays_zip(
-        F.col("values").alias("value"), F.col("gaps").alias("before"), F.slice("gaps", F.lit(2), F.size("gaps")).alias("after"))).alias("nth", "at"))
+        F.col("values").alias("value"), F.col("gaps").alias("gap"), F.col("befores").alias("before"),
+        F.col("afters").alias("after"))).alias("nth", "at"))
     rows = rows.where("at.value IS NOT NULL").select(
-        "id", "print", "kind", "nth", F.col("at.value").alias("value"), F.length("at.before").cast("long").alias("gap"),
-        F.right("at.before", F.lit(CONTEXT_CHARS)).alias("before"), F.left("at.after", F.lit(CONTEXT_CHARS)).alias("after"))
+        "id", "print", "kind", "nth", F.col("at.value").alias("value"), F.col("at.gap").cast("long").alias("gap"), "at.before", "at.after")
     rows = rows.dropDuplicates(["id", "print", "kind", "nth"])
     so_far = Window.partitionBy("id", "print", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.length("value")).over(so_far)
@@ -89,16 +98,16 @@ def located(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def base_and_words(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The valid base entities, and the words that touch none of them."""
-    base = found.where((F.col("kind") != "word") & _valid(F.col("kind"), F.col("value")))
-    is_base = F.col("kind") != "word"
-    kept = found.where("kind = 'word'").union(base)
+    """The valid base entities, and the words and runs that touch none of them."""
+    is_base = ~F.col("kind").isin(CANDIDATES)
+    base = found.where(is_base & _valid(F.col("kind"), F.col("value")))
+    kept = found.where(~is_base).union(base)
     order = Window.partitionBy("id", "print").orderBy("start", "end")
     reach = F.max(F.when(is_base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ahead = F.min(F.when(is_base, F.col("start"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     marked = kept.withColumns({"reach": reach, "ahead": ahead})
     free = (F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.col("ahead").isNull() | (F.col("ahead") >= F.col("end")))
-    return base, marked.where((F.col("kind") == "word") & free).drop("reach", "ahead")
+    return base, marked.where(~is_base & free).drop("reach", "ahead")
 
 
 def _patterns() -> Column:

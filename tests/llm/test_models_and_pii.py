@@ -153,6 +153,20 @@ def test_contexts_discover_what_expressions_miss(spark):
     assert strict.count() == 0
 
 
+def test_contexts_discover_identifiers_with_blanks(spark):
+    rows = [f"call our office at +1 (555) {100 + i}-{2000 + i} today or write {i}" for i in range(12)]
+    rows += [f"please charge my card 4111 1111 1111 {n} for this" for n in (1111, 1129, 1137, 1145, 1152, 1160)]
+    spaced = {"(017) 555-7713": "phone", "017 555 7713": "phone", "(017) 555 77 13": "phone", "4111 1111 1111 1112": "card"}
+    lines = {v: f"é in 2019 call our office at {v} today" if k == "phone" else f"5 please charge my card {v} for this" for v, k in spaced.items()}
+    rows += lines.values()
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    more = {(r.kind, rows[r.id][r.start:r.end]) for r in pii.extracted(df).where("NOT base").collect()}
+    assert {(k, v) for v, k in spaced.items()} <= more
+    clean = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert [clean[18 + i] for i in range(3)] == ["é in 2019 call our office at [PHONE] today"] * 3
+    assert clean[21] == "5 please charge my card [CARD] for this"
+
+
 def test_redaction_and_repeated_rows(spark):
     rows = [(1, "é a@b.co, b@c.de x", "x", 3), (1, "é a@b.co, b@c.de x", "y", 3), (1, "other 10.0.0.1", "z", 3), (None, "w@x.yz", None, None),
             (2, None, None, None), (3, "clean text 5", None, None)]
