@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusradar.llm import (byte_bpe, exact_dedup, language_id, ngram_join, packing, pii, progressive_jpeg, quality, reply_trees,
+from corpusradar.llm import (byte_bpe, exact_dedup, hard_negatives, language_id, ngram_join, packing, pii, progressive_jpeg, quality, reply_trees,
                              warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": ngram_join.query,
     "op9_byte_bpe": byte_bpe.query,
     "op10_pii": pii.query,
+    "op11_hard_negatives": hard_negatives.query,
     "language_id_pages": language_id.pages_query,
     "ngram_links": ngram_join.links_query,
 }
@@ -28,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op1_warc_salvage": warc.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op4_reply_trees": reply_trees.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
 }
