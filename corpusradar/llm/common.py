@@ -91,11 +91,11 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-def words(octets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of bytes other than ASCII white space, never across rows: starts, ends, row of each."""
+def words(octets: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes that are not marked in ``gap`` (ASCII white space), never across rows: starts, ends, row of each."""
     n = len(octets)
     ink = np.zeros(n + 1, bool)
-    np.logical_not(_SPACE[octets], out=ink[:n])
+    np.logical_not(gap[octets], out=ink[:n])
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     before = np.zeros(n + 1, bool)

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusradar.llm import (byte_bpe, exact_dedup, hard_negatives, language_id, ngram_join, packing, pii, progressive_jpeg, quality, reply_trees,
-                             warc)
+from corpusradar.llm import (byte_bpe, exact_dedup, hard_negatives, language_id, ngram_join, packing, pii, progressive_jpeg, quality,
+                             ranked_search, reply_trees, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_salvage": warc.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": byte_bpe.query,
     "op10_pii": pii.query,
     "op11_hard_negatives": hard_negatives.query,
+    "op12_ranked_search": ranked_search.query,
     "language_id_pages": language_id.pages_query,
     "ngram_links": ngram_join.links_query,
 }
@@ -30,4 +31,5 @@ ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op4_reply_trees": reply_trees.SQL,
     "op11_hard_negatives": hard_negatives.SQL,
+    "op12_ranked_search": ranked_search.SQL,
 }

@@ -2,12 +2,13 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from corpusradar.llm import hard_negatives
+from corpusradar.llm import hard_negatives, ranked_search
 from corpusradar.llm.hard_negatives import Settings
 from pyspark.sql import functions as F
 
@@ -96,3 +97,86 @@ def test_boxes_shut_most_rows_out_where_vectors_cluster():
     want = sorted(((-s, i) for i, s in enumerate(scores.tolist()) if i % 2 != 0))[:5]
     assert [(-s, i) for s, i in zip(best.score.tolist(), best.id.tolist())] == want
     assert sum(opened) < n // 8
+
+
+TERM = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def terms_of(text):
+    return TERM.findall((text or "").translate(FOLD))
+
+
+def brute_ranks(items, docs, k):
+    counts = [(doc_id, Counter(terms_of(text))) for doc_id, text, *_ in docs]
+    counts = [(doc_id, c) for doc_id, c in counts if c]
+    n_docs, n_terms = len(counts), sum(c.total() for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    asked = {}
+    for item, text, *_ in items:
+        asked.setdefault(item, Counter()).update(terms_of(text))
+    out = []
+    for item, wanted in asked.items():
+        scored = []
+        for doc_id, c in counts:
+            m = 100 - 25 + 25 * c.total() * n_docs // n_terms
+            score = sum(q * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m))
+                        for t, q in wanted.items() if t in c)
+            if score > 0:
+                scored.append((-score, doc_id is None, doc_id))
+        out += [(item, rank, doc_id, -s) for rank, (s, _, doc_id) in enumerate(sorted(scored, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1)]
+    return Counter(out)
+
+
+ITEMS = [(1, "Alpha beta beta gamma"), (2, ""), (3, None), (4, "\u00e9t\u00e9 na\u00efve x1"), (None, "alpha delta"), (5, "unknownword"), (1, "beta omega"),
+         (6, "the " * 500 + "cat"), (6, "the cat"), (7, "--- !!!")]
+
+
+def corpus(n):
+    draw = random.Random(11)
+    known = ["alpha", "Beta", "gamma", "delta", "omega", "the", "cat", "\u00e9t\u00e9", "na\u00efve", "x1", "other", "words", "\u00c9T\u00c9"]
+    docs = [(i, " ".join(draw.choices(known, k=draw.randint(0, 30)))) for i in range(n)]
+    docs += [(3, "alpha,beta;gamma"), (None, "alpha-beta gamma"), (901, None), (902, ""), (903, "..."), (904, "alpha " * 40_000 + "beta")]
+    return docs + [(1000 + i, "same copy of the cat alpha") for i in range(60)]
+
+
+@pytest.mark.parametrize("rule", [ranked_search.Settings(k=7, block_postings=6, grid=64), ranked_search.Settings()])
+def test_ranked_search_equals_brute_force(spark, rule):
+    docs = corpus(120)
+    items = spark.createDataFrame([(*i, "x", "y") for i in ITEMS], "item_id int, text string, score string, rank string")
+    table = spark.createDataFrame([(*d, "x", "y") for d in docs], "doc_id long, text string, n string, id string").repartition(5)
+    got = ranked_search.ranked(items, table, rule=rule)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    assert Counter(map(tuple, got.collect())) == brute_ranks(ITEMS, docs, rule.k)
+
+
+def test_ranked_search_of_nothing_and_string_ids(spark):
+    items = spark.createDataFrame([("a", "x y"), ("b", "z")], "item_id string, text string")
+    docs = spark.createDataFrame([("p", "x"), ("o", "x"), (None, "x"), ("q", "y z z")], "doc_id string, text string")
+    got = [tuple(r)[:3] for r in ranked_search.ranked(items, docs).orderBy("item_id", "rank").collect()]
+    assert got[-1] == ("b", 1, "q") and [x[2] for x in got if x[2] != "q"] == ["o", "p", None]
+    assert ranked_search.ranked(items, docs.where("false")).count() == 0
+    assert ranked_search.ranked(items.where("false"), docs).count() == 0
+    assert ranked_search.ranked(items, docs.select("doc_id", F.lit("...").alias("text"))).count() == 0
+
+
+def test_terms_that_share_a_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(ranked_search, "span_hashes", lambda octets, starts, ends: np.zeros(len(starts), np.uint64))
+    known = ranked_search.Vocabulary([b"one", b"two", b"three"])
+    text = np.frombuffer(b"two one twos threx three", np.uint8)
+    starts, ends, _ = ranked_search.words(text, np.array([0, len(text)]), ranked_search.GAP)
+    assert len(known.tables) == 3 and known.find(text, starts, ends).tolist() == [1, 0, -1, -1, 2]
+
+
+def test_large_scores_and_lengths_stay_exact():
+    tf, n = np.array([1, 7, 2_000_000_000]), np.array([1, 10**9, 4 * 10**9])
+    docs, terms = 10**10, 3 * 10**19
+    want = [10**9 * int(t) // (1000 * int(t) + 12 * (75 + 25 * int(x) * docs // terms)) for t, x in zip(tf, n, strict=True)]
+    assert ranked_search.parts(tf, n, docs, terms).tolist() == want
+
+
+def test_ranked_search_agrees_with_sql(spark):
+    from oracle import compare, duck
+
+    problem, rows = compare(ranked_search.query(spark, SF), duck(SF), ranked_search.SQL)
+    assert problem is None and rows > 0
