@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusradar.llm import (byte_bpe, exact_dedup, hard_negatives, language_id, ngram_join, packing, pii, progressive_jpeg, quality,
+from corpusradar.llm import (byte_bpe, exact_dedup, hard_negatives, language_id, minhash_tensor, ngram_join, packing, pii, progressive_jpeg, quality,
                              ranked_search, reply_trees, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": pii.query,
     "op11_hard_negatives": hard_negatives.query,
     "op12_ranked_search": ranked_search.query,
+    "op13_minhash_tensor": minhash_tensor.query,
     "language_id_pages": language_id.pages_query,
     "ngram_links": ngram_join.links_query,
 }
