@@ -31,7 +31,6 @@ BREAK = "\r\n"
 RECORD_SCHEMA = ("kind string, archive string, start long, end long, reason string, record_id string, record_type string, "
                  "uri string, refers_to string, payload_bytes long, payload_digest string, payload binary")
 _WINDOW = 1 << 20
-_MOST_HEADER = 1 << 20
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -144,21 +143,29 @@ class Archive:
                 at = found[1]
 
 
+def _check_lines(lines: list[bytes]) -> None:
+    if lines and not re.fullmatch(rb"WARC/1\.[01]", lines[0]):
+        raise Damaged("no version line")
+    if any(b":" not in text for text in lines[1:]):
+        raise Damaged("a header line without a colon")
+
+
 def parse(read, at: int, size: int) -> tuple[dict, int]:
-    """Check and take apart the record at ``at``; its fields and its end."""
+    """Check and take apart the record at ``at``; its fields and its end.
+
+    A header may have any length; lines that have been read whole are checked before more is read, so a false start costs little.
+    """
     head, want = b"", 4096
     while (stop := head.find(b"\r\n\r\n")) < 0:
-        if len(head) >= min(_MOST_HEADER, size - at):
+        _check_lines(head[:head.rfind(b"\r\n") + 2].split(b"\r\n")[:-1])
+        if len(head) >= size - at:
             raise Damaged("no end of the header")
         head, want = read(at, want), want * 4
     lines = head[:stop].split(b"\r\n")
-    if not re.fullmatch(rb"WARC/1\.[01]", lines[0]):
-        raise Damaged("no version line")
+    _check_lines(lines)
     fields = {}
     for text in lines[1:]:
-        label, colon, value = text.partition(b":")
-        if not colon:
-            raise Damaged("a header line without a colon")
+        label, _, value = text.partition(b":")
         fields[label.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     if not fields.get("content-length", "").isdigit() or not fields.get("warc-type") or not fields.get("warc-record-id"):
         raise Damaged("a needed header line is missing")
@@ -213,7 +220,9 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_folder(spark, "warc")
     write_archives(records(pages, "page_id", "url", "html"), path)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    return read_archives(spark, path, with_payload=False).where("kind = 'record'").select(
+    found = read_archives(spark, path, with_payload=False)  # a gap in archives just written is an error, not a page less
+    gap = F.raise_error(F.concat_ws(" ", F.lit("a gap in an archive just written:"), "archive", "start", "reason")).cast("string")
+    return found.withColumn("record_id", F.when(F.col("kind") == "record", F.col("record_id")).otherwise(gap)).select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 

@@ -82,6 +82,26 @@ def found(octets):
     return [s[3]["record_id"] for s in steps if s[0] == "record"], [(s[1], s[2]) for s in steps if s[0] == "gap"]
 
 
+def test_headers_of_any_length(spark, tmp_path):
+    rows = [(1, "http://a/" + "u" * (2 << 20), "<p>one</p>"), (2, "http://b/\r\nx", None), (3, None, ""), (4, "http://c/", "<p>one</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.query(spark, str(tmp_path)).collect()}
+    assert got == {1: (10, "response", None), 2: (0, "response", None), 3: (0, "revisit", 2), 4: (10, "revisit", 1)}
+
+
+def test_false_starts_are_left_early():
+    reads = []
+    body = b"WARC/1.0\r\nbroken line\r\n" * 3000
+
+    def read(at, n):
+        reads.append(n)
+        return body[at:at + n]
+
+    with pytest.raises(warc.Damaged, match="colon"):
+        warc.parse(read, 0, len(body))
+    assert reads == [4096]
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_damage_costs_one_record(packed):
     parts = [record(i, b"payload %d " % i * 50) for i in range(5)]
