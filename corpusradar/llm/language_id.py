@@ -13,7 +13,8 @@ keeps those languages that the other evidence could still lift, which leaves out
 Texts never leave their task: what is grouped and joined are short rows, and a host with a third of all rows is pre-aggregated
 before the shuffle and split by Spark's skew handling in the join.
 
-Null texts count as empty: they have no letters, so they are judged by the other evidence and not accepted. Null or unknown
+Texts of one or two bytes have no trigram and are judged by the other evidence; accepted are texts with a letter (any character
+beyond ASCII counts). Null texts count as empty: they have no letters, so they are not accepted. Null or unknown
 declarations are no evidence; null hosts and suffixes are groups of their own. Ties go to the language that sorts first. Rows that
 repeat are judged each. Without any declared language the result has a null language and nothing is accepted. Extra columns are
 ignored.
@@ -36,7 +37,7 @@ from corpusradar.llm.common import stored, text_blocks, whole_text
 @dataclass(frozen=True)
 class Settings:
     bits: int = 14
-    min_evidence: int = 3  # declarations a language needs, however many others have; codes of two or three letters bound the languages
+    min_evidence: int = 1  # declarations a language needs, however many others have; codes of two or three letters bound the languages
     saturation: float = 200.0
     smoothing: float = 20.0
     min_confidence: float = 0.5
@@ -66,8 +67,8 @@ def language_code(declared: Column) -> Column:
     return F.when(code != "", code)
 
 
-def evidence(df: DataFrame, id_col: str, text: Column, declared: Column, host: Column, suffix: Column) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"), language_code(declared).alias("declared"),
+def evidence(df: DataFrame, id_col: str | Column, text: Column, declared: Column, host: Column, suffix: Column) -> DataFrame:
+    return df.select((F.col(id_col) if isinstance(id_col, str) else id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"), language_code(declared).alias("declared"),
                      F.coalesce(F.lower(host), F.lit("")).alias("host"), F.coalesce(F.lower(suffix), F.lit("")).alias("suffix"))
 
 
@@ -105,11 +106,11 @@ def _likelihoods(rows: DataFrame, languages: list[str], s: Settings) -> tuple[np
 
 
 def _text_scores(rows: DataFrame, table: tuple, reach: float, s: Settings) -> DataFrame:
-    """``id, declared, host, suffix, letters, looks, logs``: the language that fits best, and the weighted log likelihoods of
+    """``id, declared, host, suffix, lettered, looks, logs``: the language that fits best, and the weighted log likelihoods of
     those languages that are less than ``reach`` below it."""
     shared = rows.sparkSession.sparkContext.broadcast(table)
     kind = rows.schema["id"].dataType.simpleString()
-    names = ["id", "declared", "host", "suffix", "letters", "looks", "logs"]
+    names = ["id", "declared", "host", "suffix", "lettered", "looks", "logs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         never, first, lang, above = shared.value
@@ -117,6 +118,7 @@ def _text_scores(rows: DataFrame, table: tuple, reach: float, s: Settings) -> Da
         for batch in batches:
             for start, stop, octets, bounds in text_blocks(batch.column(1)):
                 all_grams, all_of = trigrams(octets, bounds, s.bits)
+                so_far = np.append(0, np.cumsum(_LETTER[octets] != 32))[bounds]
                 step = max(1, MOST_ENTRIES // width)
                 for a in range(0, stop - start, step):
                     b = min(a + step, stop - start)
@@ -136,11 +138,11 @@ def _text_scores(rows: DataFrame, table: tuple, reach: float, s: Settings) -> Da
                     entries = pa.StructArray.from_arrays([pa.array(which), pa.array(logs[of, which])], names=["lang", "log"])
                     offsets = pa.array(np.searchsorted(of, np.arange(b - a + 1)), pa.int32())
                     yield pa.RecordBatch.from_arrays([
-                        *[batch.column(i).slice(start + a, b - a) for i in (0, 2, 3, 4)], pa.array(letters),
+                        *[batch.column(i).slice(start + a, b - a) for i in (0, 2, 3, 4)], pa.array(so_far[a + 1:b + 1] > so_far[a:b]),
                         pa.array(logs.argmax(1), mask=letters == 0), pa.ListArray.from_arrays(offsets, entries)], names=names)
 
     return rows.select("id", "text", "declared", "host", "suffix").mapInArrow(
-        run, f"id {kind}, declared string, host string, suffix string, letters long, looks long, logs array<struct<lang:long,log:double>>")
+        run, f"id {kind}, declared string, host string, suffix string, lettered boolean, looks long, logs array<struct<lang:long,log:double>>")
 
 
 def _dense(column: pa.Array, width: int, empty: float) -> np.ndarray:
@@ -179,7 +181,7 @@ def identified(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     counts = stored(scores.groupBy("suffix", "host", "looks").agg(F.count("*").alias("n")), "language-counts")
     by_host = counts.groupBy("suffix", "host").agg(F.collect_list(entry("n")).alias("of_host"))
     by_suffix = counts.groupBy("suffix", "looks").agg(F.sum("n").alias("n")).groupBy("suffix").agg(F.collect_list(entry("n")).alias("of_suffix"))
-    joined = scores.join(by_host.join(by_suffix, "suffix"), ["suffix", "host"]).select("id", "letters", "declared", "logs", "of_host", "of_suffix")
+    joined = scores.join(by_host.join(by_suffix, "suffix"), ["suffix", "host"]).select("id", "lettered", "declared", "logs", "of_host", "of_suffix")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, said, unsaid, overall = shared.value
@@ -198,7 +200,7 @@ def identified(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 logs += np.log((host + s.smoothing * above) / (host.sum(1, keepdims=True) + s.smoothing))
                 top = logs.max(1, keepdims=True)
                 confidence = 1 / np.exp(logs - top).sum(1)
-                accepted = (batch.column(1).to_numpy() > 0) & (confidence >= s.min_confidence)
+                accepted = batch.column(1).to_numpy(zero_copy_only=False) & (confidence >= s.min_confidence)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[i] for i in logs.argmax(1)], pa.string()), pa.array(confidence),
                                                   pa.array(accepted)], names=["id", "language", "confidence", "accepted"])
 
@@ -206,7 +208,7 @@ def identified(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return joined.mapInArrow(judge, f"id {kind}, language string, confidence double, accepted boolean")
 
 
-def document_evidence(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def document_evidence(documents: DataFrame, id_col: str | Column = "doc_id") -> DataFrame:
     """``documents`` declare a language, their source is the host; they have no address."""
     return evidence(documents, id_col, whole_text(), F.col("lang"), F.col("source"), F.lit(None).cast("string"))
 
@@ -220,9 +222,11 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 
 def drop_rejected(df: DataFrame, id_col: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
-    """The accepted rows of ``df``, all columns. A row whose id any rejected row has goes."""
-    gone = identified(document_evidence(df, id_col), settings).where("NOT accepted").select(F.col("id").alias("__id")).distinct()
-    return df.join(stored(gone, "rejected"), df[id_col].eqNullSafe(F.col("__id")), "left_anti")
+    """The accepted rows of ``df``, all columns. Rows are told apart by id, text, declaration and source, not by the id alone."""
+    check = F.xxhash64(whole_text(), "lang", "source")
+    judged = identified(document_evidence(df, F.struct(F.col(id_col).alias("id"), check.alias("check"))), settings)
+    gone = stored(judged.where("NOT accepted").select(F.col("id.id").alias("__id"), F.col("id.check").alias("__check")).distinct(), "rejected")
+    return df.join(gone, df[id_col].eqNullSafe(F.col("__id")) & (check == F.col("__check")), "left_anti")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Fixed expressions find the base entities (email, ip, card, phone). These are the seeds: the words around them become lexical
 patterns, and every word with a digit or an at sign, and every run of digit groups joined by blanks, brackets, dots or hyphens,
-that looks like an entity of that kind is an instance; its context is the text around the whole of it. Patterns and
+that looks like an entity of that kind is an instance; its context is the whole words in the text around it. Patterns and
 instances form a graph, pre-aggregated to one edge per pair, that is scored in rounds: a pattern is as good as the share of
 good instances among all it meets, an instance as good as its patterns make it. Patterns that reach ``min_confidence`` and met
 ``min_seeds`` different seeds then discover instances that no expression found.
@@ -12,7 +12,8 @@ does not change what they match, as noted at each. Positions are code points, en
 the text between them. Only texts with a digit or an at sign are taken apart.
 
 Nulls count as empty texts, which have no spans and keep their row. Rows that repeat an id and a text get the same answer each;
-the same id with another text is answered on its own. A null id is an id like others. Extra columns stay out of the way.
+the same id with another text is answered on its own. Discovered words and
+runs may overlap one another in the spans; ``redacted`` replaces what overlaps together. A null id is an id like others. Extra columns stay out of the way.
 """
 
 from __future__ import annotations
@@ -111,11 +112,15 @@ def base_and_words(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _patterns() -> Column:
-    """Lexical patterns of a match: two words before it; the word before and the word after it."""
-    words_before = F.filter(F.split(F.lower("before"), r"\s+"), lambda w: w != "")
+    """Lexical patterns of a match: two words before it; the word before and the word after it.
+
+    Where the context is full, the word at its border may be cut and makes no pattern.
+    """
+    inner = lambda c, border: F.when(F.length(c) == CONTEXT_CHARS, F.regexp_replace(c, border, "")).otherwise(F.col(c))
+    words_before = F.filter(F.split(F.lower(inner("before", r"^\S+")), r"\s+"), lambda w: w != "")
     two = F.slice(words_before, F.greatest(F.size(words_before) - 1, F.lit(1)), 2)
     one = F.coalesce(F.element_at(F.when(F.size(words_before) > 0, words_before), -1), F.lit(""))
-    after = F.regexp_extract(F.lower("after"), r"^\S*\s+(\S+)", 1)
+    after = F.regexp_extract(F.lower(inner("after", r"(?<!\S)\S+$")), r"^\S*\s+(\S+)", 1)
     return F.filter(F.array(
         F.when(F.size(two) == 2, F.concat(F.array_join(two, " "), F.lit(" _"))),
         F.when((one != "") & (after != ""), F.concat(one, F.lit(" _ "), after))), lambda p: p.isNotNull())

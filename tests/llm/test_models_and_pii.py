@@ -93,6 +93,17 @@ def test_a_rare_language_is_found_whatever_the_others_have(spark):
     assert len(got) == 6008 and all(got[10_000 + i] == ("fi", True) for i in range(8)) and got[0] == ("en", True)
 
 
+def test_short_texts_and_repeated_ids_are_judged_by_row(spark):
+    en = "the house of the friend is there and that is what they say"
+    rows = [(i, en, "en", "a") for i in range(60)] + [(100, "OK", "en", "a"), (101, "I", "en", "a"), (102, "12", "en", "a"), (103, "é", "en", "a")]
+    rows += [(None, en, "en", "a"), (None, "...", "en", "a"), (7, "", "en", "a")]
+    rows += [(104, "the house of the friend and what they say " * 40_000, "en", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = language_id.drop_rejected(df).collect()
+    assert sorted(((r.doc_id, (r.text or "")[:9]) for r in got), key=str) == sorted(
+        ((i, (t or "")[:9]) for i, t, *_ in rows if any(c.isalpha() for c in t)), key=str)
+
+
 # ---- personal data ---------------------------------------------------------------------------------------------------
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -153,6 +164,14 @@ def test_contexts_discover_what_expressions_miss(spark):
     assert strict.count() == 0
 
 
+def test_words_cut_at_the_border_of_the_context_make_no_pattern(spark):
+    long = "z" * 76
+    rows = [(1, f"prefix{long} no 12", "0123456789", "next word"), (2, "no 12 ", "0123456789", " " + long + "cutword tail")]
+    table = spark.createDataFrame([(i, b[-80:], a[:80]) for i, b, _, a in rows], "id int, before string, after string")
+    got = {r.id: r.p for r in table.select("id", pii._patterns().alias("p")).collect()}
+    assert got[1] == ["no 12 _", "12 _ word"] and got[2] == ["no 12 _"]
+
+
 def test_contexts_discover_identifiers_with_blanks(spark):
     rows = [f"call our office at +1 (555) {100 + i}-{2000 + i} today or write {i}" for i in range(12)]
     rows += [f"please charge my card 4111 1111 1111 {n} for this" for n in (1111, 1129, 1137, 1145, 1152, 1160)]
