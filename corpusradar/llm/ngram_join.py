@@ -11,9 +11,9 @@
    outside their list's largest component); links give components. Then every remaining candidate pair of nodes from different
    components is compared. In a list all of one component nothing remains, otherwise members outside the list's largest
    component meet the others. No link between components can be missed, and no cap is set anywhere.
-5. The rounds of 4 are a shortcut to the components alone. ``near_links`` is the join itself: no link leaves its component, so
-   the nodes of a component are dealt by size band and by hash into blocks of bounded size, and every pair of blocks whose
-   sizes may link is a cell that compares all its pairs once. A group of any size is spread over as many cells as it needs.
+5. The rounds of 4 are a shortcut to the components alone. ``near_links`` is the join itself: all candidate pairs of the prefix
+   lists inside a component, each verified once. Long lists are split into blocks that meet the whole list one by one. Pairs are
+   verified in cells, one for each two blocks of a component's nodes, so a text crosses the network once per cell that needs it.
 
 Nulls count as empty texts; empty texts have no shingles and link with nothing. Rows that repeat an id and a text share the
 answer; the same id with another text counts as another document of that id. An empty table gives an empty table. Extra columns
@@ -41,8 +41,8 @@ BROADCAST_ROWS = 1 << 20  # one long each: 8 MB
 STAR_ROUNDS = 3
 KEY_BYTES, AT_BITS = 6, 16  # together one long
 LAST_AT = (1 << AT_BITS) - 1
+LIST_PART = 512  # nodes of a list, or pairs of a node, that one key may bring together
 BLOCK_NODES, BLOCK_SHINGLES = 128, 1 << 19  # of a block, on average
-STRIP = 1 << 13
 
 
 class Alike:
@@ -78,12 +78,12 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def surveyed(df: DataFrame, id_col: str, text_col: str, rule: Alike) -> tuple[DataFrame, np.ndarray]:
-    """One pass over the texts: ``id, n, print`` per row, and the bucket counts of all shingles."""
-    rows = _rows(df, id_col, text_col)
+    """One pass over the texts: ``id, n, print, text_hash`` per row, and the bucket counts of all shingles."""
+    rows = _rows(df, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     shift = np.uint64(64 - rule.bucket_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, names, kind = np.zeros(1 << rule.bucket_bits, np.int64), ["id", "n", "print", "slice", "part"], None
+        counts, names, kind = np.zeros(1 << rule.bucket_bits, np.int64), ["id", "n", "print", "text_hash", "slice", "part"], None
         for batch in batches:
             kind = batch.schema.field(0).type
             sizes, prints = [], []
@@ -93,16 +93,16 @@ def surveyed(df: DataFrame, id_col: str, text_col: str, rule: Alike) -> tuple[Da
                 prints += map(_digest, sets)
                 counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=len(counts))
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.nulls(n, pa.int32()),
-                                              pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), batch.column(2),
+                                              pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if kind is not None and counts.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, kind), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()),
-                                              *array_parts(counts)], names=names)
+                                              pa.nulls(SLICES, pa.int64()), *array_parts(counts)], names=names)
 
     kind = rows.schema["id"].dataType.simpleString()
-    both = stored(rows.mapInArrow(run, f"id {kind}, n long, print binary, slice int, part binary"), "shingle-survey", compression="zstd")
+    both = stored(rows.mapInArrow(run, f"id {kind}, n long, print binary, text_hash long, slice int, part binary"), "shingle-survey", compression="zstd")
     counts = array_total(both.where("slice IS NOT NULL"), 1 << rule.bucket_bits)
-    return both.where("slice IS NULL").select("id", "n", "print"), counts
+    return both.where("slice IS NULL").select("id", "n", "print", "text_hash"), counts
 
 
 def prefixes(df: DataFrame, id_col: str, text_col: str, rule: Alike, counts: np.ndarray) -> DataFrame:
@@ -205,6 +205,7 @@ def promising_pairs(lists: DataFrame, round_no: int, rule: Alike) -> DataFrame:
     centres = inner.groupBy("h").agg(F.max(rank).alias("most"), F.max(drawn).alias("any"))
     centres = centres.select("h", F.posexplode(F.array("most", "any")).alias("kind", "c")).select(
         "h", "kind", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"), F.col("c.at").alias("cat"))
+    centres = stored(centres, "centres")  # a plain exchange on either side: Spark may then split a long list
     outer = lists if round_no == 0 else lists.where("component <> largest")
     met = outer.join(centres, "h").where((F.col("node") != F.col("centre")) & rule.fits(F.col("n"), F.col("at"), F.col("cn"), F.col("cat")))
     best = met.groupBy("node", "kind", "centre").agg(F.count("*").alias("lists")).groupBy("node", "kind").agg(
@@ -240,8 +241,8 @@ def _may_overlap(a: np.ndarray, b: np.ndarray, least: int, depth: int = 3) -> bo
     return True
 
 
-def texts_of(reps: DataFrame, df: DataFrame, id_col: str, text_col: str, rule: Alike) -> DataFrame:
-    """``print, text``: one text of every set that a row with an id of ``reps`` has."""
+def texts_of(reps: DataFrame, df: DataFrame, id_col: str, text_col: str, rule: Alike, parts: DataFrame | None = None) -> DataFrame:
+    """``print, part, text``: one text of every set that a row with an id of ``reps`` has, once per part (``parts(print, parts)``)."""
     ids = stored(reps.distinct(), "needed")
     if ids.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long") and ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
@@ -254,27 +255,36 @@ def texts_of(reps: DataFrame, df: DataFrame, id_col: str, text_col: str, rule: A
                 prints = map(_digest, shingle_sets(octets, bounds, size))
                 yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), batch.column(0).slice(row, end - row)], names=["print", "text"])
 
-    return texts.mapInArrow(digests, "print binary, text string").groupBy("print").agg(F.first("text").alias("text"))
+    printed = texts.mapInArrow(digests, "print binary, text string")
+    if parts is None:
+        return printed.groupBy("print").agg(F.first("text").alias("text"))
+    last = F.coalesce("parts", F.lit(1)) - 1
+    printed = printed.join(parts, "print", "left").select("print", F.explode(F.sequence(F.lit(0), last)).alias("part"), "text")
+    return printed.groupBy("print", "part").agg(F.first("text").alias("text"))
 
 
 def linked(pairs: DataFrame, df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, rule: Alike) -> DataFrame:
     """The pairs that link, by their whole sets. These are cut from the texts of the pairs' nodes, which cross the network once by
-    the digest of their set and once more beside their pair (half as large as the hashes); neither is ever written."""
+    the digest of their set and once more beside their pair (half as large as the hashes); neither is ever written. A text that
+    more than ``LIST_PART`` pairs need is copied to as many parts as keeps each below that."""
     names = [nodes.select(F.col("node").alias(x), F.col("print").alias(f"print_{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab"]
     named = stored(pairs.join(names[0], "a").join(names[1], "b"), "named-pairs")
-    texts = texts_of(named.select(F.explode(F.array("rep_a", "rep_b")).alias("id")), df, id_col, text_col, rule)
+    needed = named.select(F.explode(F.array("print_a", "print_b")).alias("print")).groupBy("print").agg(F.count("*").alias("n"))
+    parts = broadcast_if_small(stored(needed.where(F.col("n") > LIST_PART).select("print", F.ceil(F.col("n") / LIST_PART).cast("int").alias("parts")), "parts"))
+    texts = texts_of(named.select(F.explode(F.array("rep_a", "rep_b")).alias("id")), df, id_col, text_col, rule, parts)
     size = rule.size
-    named = named.select("a", "b", "print_a", "print_b")
-    both = named.join(texts.toDF("print_a", "text_a"), "print_a").join(texts.toDF("print_b", "text_b"), "print_b")
-
-    def sets_of(column: pa.Array) -> Iterator[np.ndarray]:
-        for _, _, octets, bounds in text_blocks(column):
-            yield from shingle_sets(octets, bounds, size)
+    both = named.select("a", "b", "print_a", "print_b")
+    for x, y in ("ab", "ba"):
+        own = parts.toDF(f"print_{x}", "parts")
+        part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(y), F.col("parts"))).cast("int")
+        both = both.join(own, f"print_{x}", "left").withColumn(f"part_{x}", part).drop("parts")
+    for x in "ab":
+        both = both.join(texts.toDF(f"print_{x}", f"part_{x}", f"text_{x}"), [f"print_{x}", f"part_{x}"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(sets_of(batch.column(2)), sets_of(batch.column(3)), strict=True):
+            for a, b in zip(_sets_of(batch.column(2), size), _sets_of(batch.column(3), size), strict=True):
                 least = rule.overlap(len(a), len(b))
                 keep.append(_may_overlap(a, b, least) and len(np.intersect1d(a, b, assume_unique=True)) >= least)
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
@@ -282,6 +292,11 @@ def linked(pairs: DataFrame, df: DataFrame, nodes: DataFrame, id_col: str, text_
     return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(link, "a long, b long"), "near")
 
 
+def _sets_of(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    for _, _, octets, bounds in text_blocks(column):
+        yield from shingle_sets(octets, bounds, size)
+
+
 def joined_components(found: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components of the nodes that have any, after more links."""
     if found is None:
@@ -295,8 +310,8 @@ def joined_components(found: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(moved.union(alone), "components")
 
 
-def grouped(df: DataFrame, id_col: str, text_col: str, rule: Alike) -> tuple[DataFrame, DataFrame]:
-    """``id, n, print`` per row, and ``node, print, rep, n, component`` of every distinct set that is not empty."""
+def grouped(df: DataFrame, id_col: str, text_col: str, rule: Alike) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``surveyed``; ``node, print, rep, n, component`` of every distinct set that is not empty; and the prefix lists."""
     prints, counts = surveyed(df, id_col, text_col, rule)
     classes = stored(prints.where("n > 0").groupBy("print").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "shingle-classes")
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
@@ -313,31 +328,34 @@ def grouped(df: DataFrame, id_col: str, text_col: str, rule: Alike) -> tuple[Dat
         fresh = pairs if tried is None else stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(fresh)
         found = joined_components(found, linked(fresh, df, nodes, id_col, text_col, rule))
-    return prints, nodes.join(found, "node", "left").select("node", "print", "rep", "n", F.coalesce("component", "node").alias("component"))
+    labelled = nodes.join(found, "node", "left").select("node", "print", "rep", "n", F.coalesce("component", "node").alias("component"))
+    return prints, stored(labelled, "labelled-nodes"), postings
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Alike | None = None) -> DataFrame:
     """Per row of ``df``: ``id, n_shingles, component_id`` (smallest id that links reach, its own included)."""
-    prints, labelled = grouped(df, id_col, text_col, rule or Alike())
+    prints, labelled, _ = grouped(df, id_col, text_col, rule or Alike())
     smallest = stored(labelled.groupBy("component").agg(F.min("rep").alias("component_id")), "component-ids")
     by_print = labelled.join(smallest, "component").select("print", "component_id")
     empty = prints.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return prints.where("n > 0").join(by_print, "print").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id").union(empty)
 
 
-def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Size of the intersection of every set of ``a`` with every one of ``b``: products of 0/1 matrices, ``STRIP`` shingles each."""
-    both = [*a, *b]
-    of = np.repeat(np.arange(len(both)), [len(s) for s in both])
-    values, place = np.unique(np.concatenate(both), return_inverse=True)
-    order = np.argsort(place, kind="stable")
-    place, of, total = place[order], of[order], np.zeros((len(a), len(b)), np.int64)
-    for first in range(0, len(values), STRIP):
-        lo, hi = np.searchsorted(place, [first, first + STRIP])
-        grid = np.zeros((len(both), STRIP), np.float32)
-        grid[of[lo:hi], place[lo:hi] - first] = 1
-        total += (grid[:len(a)] @ grid[len(a):].T).astype(np.int64)
-    return total
+def candidate_pairs(postings: DataFrame, labelled: DataFrame, rule: Alike) -> DataFrame:
+    """``a, b``: nodes of one component that share a prefix shingle and pass the length and the positional filter, once each."""
+    members = labelled.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
+    some = labelled.join(members, "component", "left_semi").select("node", "component")
+    lists = stored(postings.select("h", "node", "at", "n").join(some, "node").withColumn("band", rule.band(F.col("n"))), "component-lists")
+    sizes = lists.groupBy("h", "component").agg(F.count("*").alias("members")).where(F.col("members") > LIST_PART)
+    long = broadcast_if_small(stored(sizes.select("h", "component", F.ceil(F.col("members") / LIST_PART).cast("int").alias("parts")), "long-lists"))
+    parted = lists.join(long, ["h", "component"], "left")
+    own = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int")
+    x = parted.withColumn("part", own).withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
+    y = parted.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    met = x.alias("x").join(y.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.component") == F.col("y.component"))
+                            & (F.col("x.part") == F.col("y.part")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node"))
+                            & rule.fits(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Alike | None = None) -> DataFrame:
@@ -347,54 +365,54 @@ def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     set are those of its digest in the first table of ``surveyed``; rows of one set are alike without a link.
     """
     rule = rule or Alike()
-    labelled = stored(grouped(df, id_col, text_col, rule)[1].withColumn("band", rule.band(F.col("n"))), "banded-nodes")
-    bands = labelled.groupBy("component", "band").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
-    bands = bands.select("component", "band", "members", F.ceil(F.greatest(
-        F.col("members") / BLOCK_NODES, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    deals = bands.groupBy("component").agg(F.sum("members").alias("members"), F.map_from_entries(
-        F.collect_list(F.struct("band", "blocks"))).alias("blocks")).where("members > 1").drop("members")  # a few dozen bands at most
-    nodes = labelled.join(broadcast_if_small(stored(deals, "link-deals")), "component")
-    blocks = lambda step: F.coalesce(F.try_element_at("blocks", F.col("band") + step), F.lit(0))
-    nodes = nodes.withColumn("own", F.pmod(F.xxhash64("print"), blocks(0)).cast("int"))
-    each = lambda step, cell: F.transform(F.filter(F.sequence(F.lit(0), blocks(step)), lambda j: j < blocks(step)), cell)
-    cell = lambda low, high, i, j, side: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"), side.alias("side"))
-    band, own, first, second = F.col("band"), F.col("own"), F.lit(0), F.lit(1)
-    cells = F.concat(each(0, lambda j: cell(band, band, F.least(own, j), F.greatest(own, j), (own > j).cast("int"))),
-                     each(1, lambda j: cell(band, band + 1, own, j, first)), each(-1, lambda j: cell(band - 1, band, j, own, second)))
-    dealt = nodes.select("component", "print", F.col("rep").alias("id"), "n", F.explode(cells).alias("c"))
-    dealt = dealt.select("component", "c.*", "print", "id", "n").join(texts_of(nodes.select(F.col("rep").alias("id")), df, id_col, text_col, rule), "print")
-
-    def compare(table: pa.Table) -> pa.Table:
-        sets = []
-        for _, _, octets, bounds in text_blocks(table["text"]):
-            sets += shingle_sets(octets, bounds, rule.size)
-        side, n = table["side"].to_numpy(), np.array([len(s) for s in sets])
-        alone = table["low"][0] == table["high"][0] and table["i"][0] == table["j"][0]
-        a = np.arange(len(sets)) if alone else np.flatnonzero(side == 0)
-        b = a if alone else np.flatnonzero(side == 1)
-        x, y = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(a) and len(b):
-            shared = _overlaps([sets[k] for k in a], [sets[k] for k in b])
-            near = (rule.num + rule.den) * shared >= rule.num * (n[a][:, None] + n[b][None, :])
-            at = np.nonzero(np.triu(near, 1) if alone else near)
-            x, y, shared = a[at[0]], b[at[1]], shared[at]
-        else:
-            shared = x
-        rank = pc.rank(table["print"]).to_numpy()
+    _, labelled, postings = grouped(df, id_col, text_col, rule)
+    pairs = stored(candidate_pairs(postings, labelled, rule), "candidates")
+    blocks = labelled.groupBy("component").agg(F.count("*").alias("members"), F.ceil(F.greatest(
+        F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("members > 1")
+    dealt = labelled.join(broadcast_if_small(stored(blocks.drop("members"), "blocks")), "component")
+    dealt = stored(dealt.select("node", "print", "rep", "n", "component", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")), "dealt")
+    sides = [dealt.select(F.col("node").alias(x), F.col("block").alias(f"block_{x}"), *[F.col("component")] * (x == "a")) for x in "ab"]
+    low, high = F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high")
+    cells = stored(pairs.join(sides[0], "a").join(sides[1], "b").select("component", low, high, "a", "b"), "cells")
+    needed = cells.select(F.col("component").alias("of"), F.col("low").alias("i"), F.col("high").alias("j"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = texts_of(dealt.select(F.col("rep").alias("id")), df, id_col, text_col, rule)
+    sets = needed.join(dealt.select("node", "print", F.col("rep").alias("id"), "n"), "node").join(texts, "print")
+
+    def verify(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        every = list(_sets_of(sets["text"], rule.size)) if sets.num_rows else []
+        place = {node: i for i, node in enumerate(sets["node"].to_pylist())}
+        out = []
+        for a, b in zip(*(pairs[c].to_pylist() for c in "ab"), strict=True):
+            i, j = place[a], place[b]
+            least = rule.overlap(len(every[i]), len(every[j]))
+            if _may_overlap(every[i], every[j], least):
+                shared = len(np.intersect1d(every[i], every[j], assume_unique=True))
+                if shared >= least:
+                    out.append((i, j, shared))
+        x, y, shared = (np.array(c, np.int64) for c in (zip(*out, strict=True) if out else ((), (), ())))
+        rank = pc.rank(sets["print"]).to_numpy() if sets.num_rows else np.zeros(0, np.int64)
         x, y = np.where(rank[x] < rank[y], x, y), np.where(rank[x] < rank[y], y, x)
-        return pa.table([*[table[c].take(pa.array(k)) for k in (x, y) for c in ("id", "print", "n")], pa.array(shared)],
+        return pa.table([*[sets[c].take(pa.array(k)) for k in (x, y) for c in ("id", "print", "n")], pa.array(shared)],
                         names=["id_a", "print_a", "n_a", "id_b", "print_b", "n_b", "shared"])
 
-    kind = nodes.schema["rep"].dataType.simpleString()
-    return dealt.groupBy("component", "low", "high", "i", "j").applyInArrow(
-        compare, f"id_a {kind}, print_a binary, n_a long, id_b {kind}, print_b binary, n_b long, shared long")
+    kind = dealt.schema["rep"].dataType.simpleString()
+    return cells.groupBy("component", "low", "high").cogroup(sets.groupBy("of", "i", "j")).applyInArrow(
+        verify, f"id_a {kind}, print_a binary, n_a long, id_b {kind}, print_b binary, n_b long, shared long")
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Alike | None = None) -> DataFrame:
-    """One document of each group: the rows of ``df`` whose id is its group's smallest, all columns."""
-    gone = near_duplicates(df, id_col, text_col, rule).where(~F.col(id_col).eqNullSafe(F.col("component_id")))
-    gone = stored(gone.select(F.col(id_col).alias("__id")).distinct(), "dropped")
-    return df.join(gone, df[id_col].eqNullSafe(F.col("__id")), "left_anti")
+    """One document of each group, all columns of ``df``: the one with the smallest id, a null id last, then by its set's digest.
+
+    Rows are told apart by id and text. Of several texts with one set and one id, and of repeated rows, all stay or none.
+    """
+    prints, labelled, _ = grouped(df, id_col, text_col, rule or Alike())
+    keeper = labelled.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "print")).alias("keeper"))
+    keepers = stored(labelled.join(keeper, "component").select("print", "keeper"), "keepers")
+    gone = prints.where("n > 0").join(keepers, "print").where(
+        (F.col("print") != F.col("keeper.print")) | ~F.col("id").eqNullSafe(F.col("keeper.rep")))
+    gone = stored(gone.select(F.col("id").alias("__id"), F.col("text_hash").alias("__text")).distinct(), "dropped")
+    mine = F.xxhash64(whole_text(text_col))
+    return df.join(gone, df[id_col].eqNullSafe(F.col("__id")) & (mine == F.col("__text")), "left_anti")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

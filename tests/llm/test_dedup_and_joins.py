@@ -116,6 +116,7 @@ def test_near_copies(spark, size, num):
 @pytest.mark.parametrize("block", [5, 128])
 def test_every_link_of_a_near_copy_group(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK_NODES", block)
+    monkeypatch.setattr(ngram_join, "LIST_PART", block)
     draw = random.Random(9)
     base = [f"w{draw.randrange(900)}" for _ in range(120)]
     rows = [(i, edited(base, draw, draw.randrange(3))) for i in range(60)]
@@ -212,3 +213,39 @@ def test_packing_of_the_table_respects_conflicts(spark):
         assert len({docs[r.doc_id].source for r in members}) == len(members)
     total = sum(len(WORD.findall(d.text or "")) for d in docs.values())
     assert sum(r.length for members in bins.values() for r in members) == total
+
+
+def test_dropping_near_copies_tells_rows_apart_by_text(spark):
+    words = [f"a{i}" for i in range(60)]
+    a, near = " ".join(words), " ".join([*words, "b"])
+    keep = lambda rows: sorted(((r.doc_id, r.text) for r in ngram_join.drop_near(documents(spark, [(*r, None, None, None, None) for r in rows])).collect()), key=str)
+    assert keep([(1, a), (None, near), (None, "B only"), (None, "C only"), (None, ""), (None, None)]) == sorted(
+        [(1, a), (None, "B only"), (None, "C only"), (None, ""), (None, None)], key=str)
+    assert keep([(1, a), (2, near), (2, "B only")]) == [(1, a), (2, "B only")]
+    assert len(keep([(None, a), (None, near), (None, near + " c")])) == 1
+    assert keep([]) == []
+
+
+def test_a_chain_compares_few_pairs(spark, monkeypatch):
+    """Only neighbours of a chain link; no more than the candidates of the prefix lists are compared."""
+    rows = [(i, " ".join(f"w{k}" for k in range(2 * i, 2 * i + 40))) for i in range(400)]
+    df = documents(spark, [(*r, None, None, None, None) for r in rows])
+    seen = []
+    whole = ngram_join.candidate_pairs
+    monkeypatch.setattr(ngram_join, "candidate_pairs", lambda *a: seen.append(whole(*a)) or seen[0])
+    got = ngram_join.near_links(df, rule=ngram_join.Alike(4, 85, 100)).collect()
+    assert {(r.id_a, r.id_b) if r.id_a < r.id_b else (r.id_b, r.id_a) for r in got} == {(i, i + 1) for i in range(399)} and len(got) == 399
+    assert seen[0].count() < 400 * 25
+
+
+def test_links_of_the_table_and_of_string_ids(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(shingles(t, 4), []).append(i)
+    sets.pop(frozenset(), None)
+    distinct = [(min(ids), s) for s, ids in sets.items()]
+    want = {frozenset((a, b)): len(x & y) for k, (a, x) in enumerate(distinct) for b, y in distinct[:k] if x & y and 100 * len(x & y) >= 85 * len(x | y)}
+    assert {frozenset((r.id_a, r.id_b)): r.shared for r in ngram_join.links_query(spark, SF).collect()} == want
+    df = spark.createDataFrame([("b", "a b c d e f g h i j"), ("a", "A B c d e f g h i j k"), ("c", "z")], "doc_id string, text string")
+    assert [sorted((r.id_a, r.id_b)) for r in ngram_join.near_links(df).collect()] == [["a", "b"]]
