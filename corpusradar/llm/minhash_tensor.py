@@ -11,7 +11,7 @@
 4. Every link is confirmed on the full sets, so no clean document is lost to a hash collision.
 
 A pair at the threshold of 0.8 shares no key with probability below 2.1e-5 at the default ``h = 3, m = 16`` (``missed``), and fails
-the agreement test with ``rare = 1e-9``; more similar pairs far less, and a missed link only shows where no other path joins the two.
+the agreement test with ``rare = 1e-6``; more similar pairs far less, and a missed link only shows where no other path joins the two.
 
 Nulls count as empty texts; empty texts have no shingles and link with nothing. Rows that repeat an id and a text share the
 answer; the same id with another text counts as another document of that id. A null id is reached only if no other id is. An
@@ -31,17 +31,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusradar.llm.common import mixed, stored, text_blocks, whole_text
-from corpusradar.llm.ngram_join import STAR_ROUNDS, Alike, joined_components, linked, promising_pairs, remaining_pairs, with_components
+from corpusradar.llm.ngram_join import Alike, joined_components, linked, linked_in_cells, promising_pairs, with_components
 from corpusradar.llm.shingles import shingle_sets
 
 
+WORTH = 10  # a round of centres is followed by another while one in so many of its pairs links
+
+
 @dataclass(frozen=True)
 class Bands:
     """``m`` bands of ``h`` minhashes in each of two collections."""
 
     h: int = 3
     m: int = 16
-    rare: float = 1e-9
+    rare: float = 1e-6
     seed: int = 7
 
     @property
@@ -158,15 +161,27 @@ def candidate_lists(nodes: DataFrame, bands: Bands) -> DataFrame:
 def agreeing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     """The pairs with at least so many equal bytes in their sketches."""
     sides = [nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sketch_a", "sketch_b")
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select(*pairs.columns, "sketch_a", "sketch_b")
+    width = len(pairs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-                yield batch.filter(pa.array((x == y).sum(axis=1) >= least)).select([0, 1])
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (width, width + 1))
+                yield batch.filter(pa.array((x == y).sum(axis=1) >= least)).select(range(width))
+
+    return both.mapInArrow(run, pairs.schema)
+
 
-    return both.mapInArrow(run, "a long, b long")
+def remaining_pairs(lists: DataFrame, rule: Alike) -> DataFrame:
+    """``team, a, b``: candidates of different components, once each; ``team`` is the largest component where they meet."""
+    side = lists.select("h", "node", "n", "component", "largest", rule.band(F.col("n")).alias("band"))
+    small = side.where("component <> largest").withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
+    x, y = small.alias("x"), side.alias("y")
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component"))
+                 & (rule.den * F.least("x.n", "y.n") >= rule.num * F.greatest("x.n", "y.n")))
+    ends = F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
+    return met.groupBy(*ends).agg(F.min("x.largest").alias("team")).select("team", "a", "b")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Alike | None = None, bands: Bands | None = None) -> DataFrame:
@@ -176,16 +191,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = stored(sketched(df, id_col, text_col, rule, bands), "sketches", compression="zstd")
     classes = rows.where("n > 0").groupBy("print").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "bands", "sketch")])
     nodes = stored(stored(classes, "classes").withColumn("node", F.monotonically_increasing_id()), "nodes")
-    lists, found, tried = candidate_lists(nodes, bands), None, None
-    for round_no in range(STAR_ROUNDS + 1):
-        if found is not None:
-            lists = stored(with_components(lists, found), "lists")
-        pairs = promising_pairs(lists, round_no, rule) if round_no < STAR_ROUNDS else remaining_pairs(lists, rule)
-        pairs = stored(pairs, "pairs")
+    lists, found, tried, round_no = candidate_lists(nodes, bands), None, None, 0
+    while True:
+        pairs = stored(promising_pairs(lists, round_no, rule), "pairs")
         fresh = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         fresh = stored(agreeing(fresh, nodes, least), "agreeing")
         tried = pairs if tried is None else tried.union(pairs)
-        found = joined_components(found, linked(fresh, df, nodes, id_col, text_col, rule))
+        links = linked(fresh, df, nodes, id_col, text_col, rule)
+        found = joined_components(found, links)
+        lists = stored(with_components(lists, found), "lists")
+        round_no += 1
+        if links.count() * WORTH <= fresh.count():  # centres bring together no more; the rest is compared pair by pair
+            break
+    pairs = remaining_pairs(lists, rule).join(tried, ["a", "b"], "left_anti").select("team", "a", "b")
+    pairs = stored(agreeing(stored(pairs, "pairs"), nodes, least), "agreeing")
+    found = joined_components(found, stored(linked_in_cells(pairs, nodes, df, id_col, text_col, rule), "near"))
     labelled = nodes.join(found, "node", "left").select("print", "rep", F.coalesce("component", "node").alias("component"))
     smallest = stored(labelled.groupBy("component").agg(F.min("rep").alias("component_id")), "component-ids")
     by_print = labelled.join(smallest, "component").select("print", "component_id")

@@ -42,7 +42,7 @@ STAR_ROUNDS = 3
 KEY_BYTES, AT_BITS = 6, 16  # together one long
 LAST_AT = (1 << AT_BITS) - 1
 LIST_PART = 512  # nodes of a list, or pairs of a node, that one key may bring together
-BLOCK_NODES, BLOCK_SHINGLES = 128, 1 << 19  # of a block, on average
+BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 19  # of a block, on average
 
 
 class Alike:
@@ -358,46 +358,54 @@ def candidate_pairs(postings: DataFrame, labelled: DataFrame, rule: Alike) -> Da
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Alike | None = None) -> DataFrame:
-    """Every pair of distinct shingle sets that links, once: ``id_a, print_a, n_a, id_b, print_b, n_b, shared``.
+def linked_in_cells(pairs: DataFrame, nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, rule: Alike) -> DataFrame:
+    """``a, b, shared`` of the pairs that link, for ``pairs(team, a, b)`` of which many have a node in common.
 
-    ``print`` is a set's digest, the smaller one is ``a``; ``id`` the smallest id that has the set, ``n`` its size. The rows of a
-    set are those of its digest in the first table of ``surveyed``; rows of one set are alike without a link.
+    The nodes of a team are dealt into blocks of bounded size; a cell is two blocks with the pairs between them, and gets the text
+    of every node that its pairs need once. Each pair is in one cell.
     """
-    rule = rule or Alike()
-    _, labelled, postings = grouped(df, id_col, text_col, rule)
-    pairs = stored(candidate_pairs(postings, labelled, rule), "candidates")
-    blocks = labelled.groupBy("component").agg(F.count("*").alias("members"), F.ceil(F.greatest(
-        F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("members > 1")
-    dealt = labelled.join(broadcast_if_small(stored(blocks.drop("members"), "blocks")), "component")
-    dealt = stored(dealt.select("node", "print", "rep", "n", "component", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")), "dealt")
-    sides = [dealt.select(F.col("node").alias(x), F.col("block").alias(f"block_{x}"), *[F.col("component")] * (x == "a")) for x in "ab"]
+    ends = pairs.select("team", F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "print", "rep", "n"), "node")
+    ends = stored(ends, "ends")
+    blocks = ends.groupBy("team").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = ends.join(broadcast_if_small(stored(blocks, "blocks")), "team").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = stored(dealt.drop("blocks"), "dealt")
+    sides = [dealt.select("team", F.col("node").alias(x), F.col("block").alias(f"block_{x}")) for x in "ab"]
     low, high = F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high")
-    cells = stored(pairs.join(sides[0], "a").join(sides[1], "b").select("component", low, high, "a", "b"), "cells")
-    needed = cells.select(F.col("component").alias("of"), F.col("low").alias("i"), F.col("high").alias("j"), F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = texts_of(dealt.select(F.col("rep").alias("id")), df, id_col, text_col, rule)
-    sets = needed.join(dealt.select("node", "print", F.col("rep").alias("id"), "n"), "node").join(texts, "print")
+    cells = stored(pairs.join(sides[0], ["team", "a"]).join(sides[1], ["team", "b"]).select("team", low, high, "a", "b"), "cells")
+    needed = cells.select(F.col("team").alias("of"), F.col("low").alias("i"), F.col("high").alias("j"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = texts_of(ends.select(F.col("rep").alias("id")), df, id_col, text_col, rule)
+    sets = needed.join(nodes.select("node", "print"), "node").join(texts, "print").select("of", "i", "j", "node", "text")
 
     def verify(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        every = list(_sets_of(sets["text"], rule.size)) if sets.num_rows else []
-        place = {node: i for i, node in enumerate(sets["node"].to_pylist())}
+        every = dict(zip(sets["node"].to_pylist(), _sets_of(sets["text"], rule.size), strict=True)) if sets.num_rows else {}
         out = []
         for a, b in zip(*(pairs[c].to_pylist() for c in "ab"), strict=True):
-            i, j = place[a], place[b]
-            least = rule.overlap(len(every[i]), len(every[j]))
-            if _may_overlap(every[i], every[j], least):
-                shared = len(np.intersect1d(every[i], every[j], assume_unique=True))
+            x, y = every[a], every[b]
+            least = rule.overlap(len(x), len(y))
+            if _may_overlap(x, y, least):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
                 if shared >= least:
-                    out.append((i, j, shared))
-        x, y, shared = (np.array(c, np.int64) for c in (zip(*out, strict=True) if out else ((), (), ())))
-        rank = pc.rank(sets["print"]).to_numpy() if sets.num_rows else np.zeros(0, np.int64)
-        x, y = np.where(rank[x] < rank[y], x, y), np.where(rank[x] < rank[y], y, x)
-        return pa.table([*[sets[c].take(pa.array(k)) for k in (x, y) for c in ("id", "print", "n")], pa.array(shared)],
-                        names=["id_a", "print_a", "n_a", "id_b", "print_b", "n_b", "shared"])
-
-    kind = dealt.schema["rep"].dataType.simpleString()
-    return cells.groupBy("component", "low", "high").cogroup(sets.groupBy("of", "i", "j")).applyInArrow(
-        verify, f"id_a {kind}, print_a binary, n_a long, id_b {kind}, print_b binary, n_b long, shared long")
+                    out.append((a, b, shared))
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((), (), ()))], names=["a", "b", "shared"])
+
+    return cells.groupBy("team", "low", "high").cogroup(sets.groupBy("of", "i", "j")).applyInArrow(verify, "a long, b long, shared long")
+
+
+def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Alike | None = None) -> DataFrame:
+    """Every pair of distinct shingle sets that links, once: ``id_a, print_a, n_a, id_b, print_b, n_b, shared``.
+
+    ``print`` is a set's digest, the smaller one is ``a``; ``id`` the smallest id that has the set, ``n`` its size. The rows of a
+    set are those of its digest in the first table of ``surveyed``; rows of one set are alike without a link.
+    """
+    rule = rule or Alike()
+    _, labelled, postings = grouped(df, id_col, text_col, rule)
+    pairs = candidate_pairs(postings, labelled, rule).join(labelled.select(F.col("node").alias("a"), F.col("component").alias("team")), "a")
+    links = stored(linked_in_cells(stored(pairs, "candidates"), labelled, df, id_col, text_col, rule), "links")
+    side = lambda x: labelled.select(F.col("node").alias(x), F.struct(F.col("rep").alias("id"), "print", "n").alias(f"side_{x}"))
+    named = links.join(side("a"), "a").join(side("b"), "b")
+    swap = F.col("side_a.print") > F.col("side_b.print")
+    low, high = F.when(swap, F.col("side_b")).otherwise(F.col("side_a")), F.when(swap, F.col("side_a")).otherwise(F.col("side_b"))
+    return named.select(*[end[c].alias(f"{c}_{x}") for x, end in (("a", low), ("b", high)) for c in ("id", "print", "n")], "shared")
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Alike | None = None) -> DataFrame:

@@ -3,8 +3,7 @@
 import random
 
 import numpy as np
-import pytest
-from test_dedup_and_joins import SF, brute_components, documents, odd_rows, shingles
+from test_dedup_and_joins import brute_components, documents, odd_rows, shingles
 
 from corpusradar.llm import minhash_tensor
 from corpusradar.llm.minhash_tensor import Bands
@@ -29,15 +28,9 @@ def edited_copies(seed, n):
     return rows + [(1000 + i, " ".join(f"x{draw.randrange(300)}" for _ in range(draw.randrange(1, 60)))) for i in range(n)]
 
 
-def test_near_copies_of_odd_rows(spark):
-    rows = odd_rows()
-    df = documents(spark, rows).repartition(5)
-    assert answer(minhash_tensor.near_duplicates(df, rule=Alike(2, 80, 100))) == brute_components([r[:2] for r in rows], 2, 80, 100)
-
-
-def test_a_large_group_of_edited_copies(spark):
-    rows = edited_copies(4, 120)
-    df = documents(spark, [(i, t, None, None, None, None) for i, t in rows])
+def test_near_copies_of_odd_rows_and_a_large_group_of_edited_copies(spark):
+    rows = [(i, t) for i, t, *_ in odd_rows()] + [(i + 100, t) for i, t in edited_copies(4, 120)]
+    df = documents(spark, [(i, t, None, None, "clash", "clash") for i, t in rows]).repartition(5)
     assert answer(minhash_tensor.near_duplicates(df, rule=Alike(2, 80, 100))) == brute_components(rows, 2, 80, 100)
 
 
@@ -54,8 +47,8 @@ def test_near_copies_of_nothing_null_ids_and_string_ids(spark):
         ("a", "a", True), ("b", "a", False), ("c", "c", True)}
 
 
-@pytest.mark.parametrize("folder", [SF, "/root/testdata/sf0.01"])
-def test_near_copies_of_the_table(spark, folder):
+def test_near_copies_of_the_table(spark):
+    folder = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     sets = {}
     for i, (_, text) in enumerate(rows):
