@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusradar import constants as C
 from corpusradar.functions.text import search_tokens
 from corpusradar.operators.blocks import block_join, matrix, topk_kernel, unit_rows
+from corpusradar.operators.projections import first_shared, hashed, plan_tables
 from corpusradar.session import cut_lineage, union_all
 
 Encoder = Callable[[DataFrame, str, str], DataFrame]
@@ -117,24 +118,52 @@ def recall_against(approx: DataFrame, exact: DataFrame, id_col: str = "paper_id"
 
 
 def collapse_copies(vectors: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct vectors with their lowest id and number of copies, and ``(member, rep)`` for every row."""
+    """Distinct vectors ``node, rep, copies, embedding`` with their lowest id, and ``(member, node)`` for every row.
+
+    ``node`` numbers the distinct vectors in the order of their lowest ids, whatever the type of the ids.
+    """
     reps = vectors.groupBy("embedding").agg(F.min(id_col).alias("rep"), F.count("*").alias("copies"))
+    reps = cut_lineage(global_rank(reps, "rep", "node"))
     members = vectors.alias("v").join(reps.alias("r"), F.col("v.embedding") == F.col("r.embedding")).select(
-        F.col(f"v.{id_col}").alias("member"), "r.rep")
+        F.col(f"v.{id_col}").alias("member"), "r.node")
     return reps, members
 
 
+def global_rank(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Number rows 0, 1, 2, ... by ``column`` without one task holding them all: sort, then add offsets per partition."""
+    placed = cut_lineage(df.orderBy(column).select(
+        "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_pos")))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))  # one row per partition
+    return placed.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_before") + F.col("_pos")).alias(name))
+
+
+def with_buckets(reps: DataFrame, max_dist: float, method: str, pivots: int | None, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Two frames of which rows of the same ``cell`` are to be compared, by ``method``.
+
+    ``exact``: pivot cells, which miss nothing and prune little where vectors have no structure. ``projections``: hash tables, which
+    stay near linear and may miss a pair at ``max_dist`` with chance ``1 - recall``.
+    """
+    if method == "exact":
+        return with_cells(reps, max_dist, pivots)
+    if method != "projections":
+        raise ValueError(f"no method {method!r}")
+    placed = hashed(reps.select("node", "copies", "embedding"), plan_tables(reps.count(), max_dist, recall))
+    return placed, placed
+
+
 def with_cells(reps: DataFrame, max_dist: float, pivots: int | None = None, rows_per_cell: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """Cells around pivot vectors such that every pair within ``max_dist`` (cosine) shares a comparison.
 
     A vector lives in the cell of its nearest pivot. By the triangle inequality a partner from another cell can be at most
     ``2 * eps`` nearer to its own pivot, so a vector is copied only to lower cells inside that margin. Returns residents
-    and candidates, both ``(cell, home, rep, copies, embedding)``. There are few pivots (at most 256, by default one per
+    and candidates, both ``(cell, home, node, copies, embedding)``. There are few pivots (at most 256, by default one per
     ``rows_per_cell``): they only prune, blocks inside the cells bound the size of a task.
     """
     pivots = min(256, pivots or max(1, -(-reps.count() // rows_per_cell)))
     eps = float(np.sqrt(2 * max_dist)) + 1e-6
-    anchors = [r["embedding"] for r in reps.orderBy(F.xxhash64("rep")).limit(pivots).collect()]
+    anchors = [r["embedding"] for r in reps.orderBy(F.xxhash64("node")).limit(pivots).collect()]
     centers = unit_rows(np.array(anchors, dtype="float64")) if anchors else np.zeros((1, 1))
 
     def place(batches):
@@ -149,38 +178,44 @@ def with_cells(reps: DataFrame, max_dist: float, pivots: int | None = None, rows
             row, cell = np.nonzero(near)
             out = pdf.iloc[row].copy()
             out["cell"], out["home"] = cell.astype("int32"), home[row].astype("int32")
-            yield out[["cell", "home", "rep", "copies", "embedding"]]
+            yield out[["cell", "home", "node", "copies", "embedding"]]
 
     kind = dict(reps.dtypes)
-    placed = reps.select("rep", "copies", "embedding").mapInPandas(
-        place, f"cell int, home int, rep {kind['rep']}, copies bigint, embedding {kind['embedding']}")
+    placed = reps.select("node", "copies", "embedding").mapInPandas(
+        place, f"cell int, home int, node bigint, copies bigint, embedding {kind['embedding']}")
     return placed.where("cell = home"), placed
 
 
 def _close(a: pd.DataFrame, b: pd.DataFrame, max_dist: float) -> tuple[np.ndarray, np.ndarray]:
     """Distances of residents x candidates and which are valid pairs: close, and each unordered pair seen once."""
     dist = np.round(1.0 - unit_rows(matrix(a["embedding"])) @ unit_rows(matrix(b["embedding"])).T, 6) + 0.0
-    ia, ib = a["rep"].to_numpy()[:, None], b["rep"].to_numpy()[None, :]
+    ia, ib = a["node"].to_numpy()[:, None], b["node"].to_numpy()[None, :]
+    if "keys" in a:
+        return dist, first_shared(a, b, (dist <= max_dist) & (ia < ib))
     foreign = (b["home"].to_numpy() != b["cell"].to_numpy())[None, :]
     return dist, (dist <= max_dist) & ((ia < ib) | foreign) & (ia != ib)
 
 
-def similarity_pairs(vectors: DataFrame, max_dist: float, id_col: str = "vec_id", pivots: int | None = None) -> DataFrame:
-    """``(id_a, id_b, distance)`` with ``id_a < id_b`` for all distinct vectors within ``max_dist``.
+def similarity_pairs(vectors: DataFrame, max_dist: float, id_col: str = "vec_id", pivots: int | None = None, method: str = "exact",
+                     recall: float = 0.999) -> DataFrame:
+    """``(id_a, id_b, distance)`` with ``id_a < id_b`` for all distinct vectors within ``max_dist``; ids of any type.
 
-    Exact copies are tied to their lowest id only, never to each other, so a big group of copies stays linear.
+    Exact copies are tied to their lowest id only, never to each other, so a big group of copies stays linear. For ``method`` and
+    ``recall`` see ``with_buckets``.
     """
     reps, members = collapse_copies(vectors, id_col)
-    residents, candidates = with_cells(cut_lineage(reps), max_dist, pivots)
+    residents, candidates = with_buckets(reps, max_dist, method, pivots, recall)
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         dist, close = _close(a, b, max_dist)
         i, j = np.nonzero(close)
-        x, y = a["rep"].to_numpy()[i], b["rep"].to_numpy()[j]
-        return pd.DataFrame({"id_a": np.minimum(x, y), "id_b": np.maximum(x, y), "distance": dist[i, j]})
+        x, y = a["node"].to_numpy()[i], b["node"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "distance": dist[i, j]})
 
-    pairs = block_join(residents, candidates, "cell", "rep", "rep", kernel, "id_a bigint, id_b bigint, distance double",
+    pairs = block_join(residents, candidates, "cell", "node", "node", kernel, "a bigint, b bigint, distance double",
                        left_rows=2048, right_rows=2048)
-    stars = members.where("member <> rep").select(F.col("rep").alias("id_a"), F.col("member").alias("id_b"),
-                                                  F.lit(0.0).alias("distance"))
-    return union_all(pairs, stars)
+    names = reps.select("node", "rep")
+    named = pairs.join(names.toDF("a", "id_a"), "a").join(names.toDF("b", "id_b"), "b").select("id_a", "id_b", "distance")
+    stars = members.join(names, "node").where("member <> rep").select(
+        F.col("rep").alias("id_a"), F.col("member").alias("id_b"), F.lit(0.0).alias("distance"))
+    return union_all(named, stars)

@@ -121,6 +121,24 @@ def _(t):
     return V.similarity_pairs(rounded_doc_vectors(t), 0.03, "paper_id")
 
 
+@query("similarity_pairs_projected", """
+, named AS (SELECT 'p-' || paper_id AS paper_id, embedding FROM doc_rounded),
+distinct_vectors AS (SELECT embedding, min(paper_id) AS rep FROM named GROUP BY 1)
+SELECT a.rep AS id_a, b.rep AS id_b, round(1 - list_cosine_similarity(a.embedding, b.embedding), 6) AS distance
+FROM distinct_vectors a JOIN distinct_vectors b ON a.rep < b.rep
+WHERE round(1 - list_cosine_similarity(a.embedding, b.embedding), 6) <= 0.03
+UNION ALL SELECT d.rep, e.paper_id, 0.0 FROM named e JOIN distinct_vectors d ON e.embedding = d.embedding AND e.paper_id <> d.rep""",
+       "doc_rounded")
+def _(t):
+    """Hash tables of random projections over string ids."""
+    return V.similarity_pairs(named_doc_vectors(t), 0.03, "paper_id", method="projections")
+
+
+def named_doc_vectors(t):
+    """Ids are strings, as those of real papers."""
+    return rounded_doc_vectors(t).withColumn("paper_id", F.concat(F.lit("p-"), "paper_id"))
+
+
 view("doc_rounded", """
 SELECT paper_id, list_transform(embedding, lambda x: round(x, 9)) AS embedding FROM doc_vectors""", "doc_vectors")
 
