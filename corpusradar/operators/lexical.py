@@ -10,26 +10,31 @@ from pyspark.sql import functions as F
 
 from corpusradar import constants as C
 from corpusradar.functions.text import search_tokens, word_set, words
-from corpusradar.session import broadcast_if_small
+from corpusradar.session import broadcast_if_small, cut_lineage
 
 
-def postings(corpus: DataFrame, id_col: str, *scope: str) -> DataFrame:
-    """``(scope, id_col, dl, term, tf)``; one exchange on ``id_col`` serves counting here and scoring later."""
-    cut = corpus.select(*scope, id_col, search_tokens(F.col("text")).alias("_tokens")).repartition(id_col)
+def postings(corpus: DataFrame, id_col: str, *scope: str, asked: DataFrame | None = None) -> DataFrame:
+    """``(scope, id_col, dl, term, tf)``, of all terms or of those in ``asked(scope, term)``, which then are picked before any exchange."""
+    cut = corpus.select(*scope, id_col, search_tokens(F.col("text")).alias("_tokens"))
+    if asked is None:  # one exchange on the text's id serves counting here and scoring later
+        cut = cut.repartition(id_col)
     # The length is a column before the explode; beside it, it would be worked out again for every token. The outer form
     # keeps Spark from deriving a "has tokens" filter, which would cut every text once more below the exchange.
     rows = cut.select(*scope, id_col, F.size("_tokens").alias("dl"), "_tokens").select(
         *scope, id_col, "dl", F.explode_outer("_tokens").alias("term")).where("term IS NOT NULL")
+    if asked is not None:
+        rows = rows.join(asked, [*scope, "term"], "left_semi")
     return rows.groupBy(id_col, *scope, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25_index(corpus: DataFrame, id_col: str = "paper_id", scope: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings, document frequencies and ``(n, avgdl)``, per ``scope`` if given.
+def bm25_index(corpus: DataFrame, id_col: str = "paper_id", scope: str | None = None,
+               asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings (of the ``asked`` terms), document frequencies and ``(n, avgdl)``, per ``scope`` if given.
 
     The average length counts white-space words while a document's own length counts tokens.
     """
     keys = [scope] if scope else []
-    post = postings(corpus, id_col, *keys)
+    post = postings(corpus, id_col, *keys, asked=asked)
     df = post.groupBy(*keys, "term").agg(F.count("*").alias("df"))
     stats = corpus.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.size(words(F.col("text")))).alias("avgdl"))
     return post, df, stats
@@ -43,10 +48,13 @@ def bm25_score(queries: DataFrame, corpus: DataFrame, id_col: str = "paper_id",
     as the query tokens, so these decide whether the join may broadcast; sums per text then need no further exchange.
     """
     keys = [scope] if scope else []
-    post, df, stats = bm25_index(corpus, id_col, scope)
     asked = queries.select("query_id", *keys, F.explode(search_tokens(F.col("query"))).alias("term")).groupBy(
         "query_id", *keys, "term").agg(F.count("*").alias("qtf"))
+    asked = cut_lineage(asked)
     small = asked.limit(100_001).count() <= 100_000
+    terms = asked.select(*keys, "term").distinct()
+    post, df, stats = bm25_index(corpus, id_col, scope, F.broadcast(terms) if small else terms)
+    post = cut_lineage(post)  # frequencies and scores both start from it, and it holds asked terms only
     matched = df.join(F.broadcast(asked) if small else asked, [*keys, "term"])
     if keys:
         matched = matched.join(broadcast_if_small(stats), keys)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusradar import constants as C
 from corpusradar.functions.text import search_tokens
 from corpusradar.operators.blocks import block_join, matrix, topk_kernel, unit_rows
+from corpusradar.operators.kbest import MOST_ROUNDS, rounds_for, scan_nearest
 from corpusradar.operators.projections import first_shared, hashed, plan_tables
 from corpusradar.session import cut_lineage, union_all
 
@@ -52,14 +53,21 @@ def embed_pending(papers: DataFrame, encoder: Encoder = hashing_encoder) -> Data
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str, id_col: str, query_col: str = "query_id",
             group: str | None = None) -> DataFrame:
-    """Exact ``(query_col, id_col, distance, rank)`` of the k nearest; with ``group`` only inside the query's own group."""
+    """Exact ``(query_col, id_col, distance, rank)`` of the k nearest; with ``group`` only inside the query's own group.
+
+    Questions that fit a few broadcasts are carried to the vectors; for more of them both sides are exchanged in blocks.
+    """
+    order = W.partitionBy(query_col).orderBy("distance", id_col)
+    rounds = rounds_for(queries)
+    if rounds <= MOST_ROUNDS:
+        found = scan_nearest(queries, vectors, k, metric, id_col, query_col, group, rounds)
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     keys = [] if group is None else [group]
     q = queries.select(*keys, query_col, "embedding")
     v = vectors.select(*keys, id_col, "embedding")
     types = {**dict(q.dtypes), **dict(v.dtypes)}
     found = block_join(q, v, group, query_col, id_col, topk_kernel(query_col, id_col, k, metric),
                        f"{query_col} {types[query_col]}, {id_col} {types[id_col]}, distance double")
-    order = W.partitionBy(query_col).orderBy("distance", id_col)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -74,12 +82,22 @@ def l2_topk(queries: DataFrame, chunk_vectors: DataFrame, n: int, id_col: str =
     return nearest(queries, chunk_vectors, n, "l2", id_col, group=group)
 
 
-def dense_retrieve(queries: DataFrame, vectors: DataFrame, metadata: DataFrame, n: int = 8, max_dist: float = 1.2) -> DataFrame:
+def dense_retrieve(queries: DataFrame, vectors: DataFrame, metadata: DataFrame, n: int = 8, max_dist: float = 1.2,
+                   papers: DataFrame | None = None) -> DataFrame:
     """n nearest papers, then those farther than ``max_dist`` dropped, with metadata and its defaults.
 
-    Filter ``vectors`` beforehand to search a subset; ``metadata`` joins only the few rows that were found.
+    ``papers(query_id, paper_id)`` limits a question to its own papers; a question that has none there searches all of them.
+    ``metadata`` joins only the few rows that were found.
     """
-    hits = nearest(queries, vectors, n, "cosine", "paper_id").where(F.col("distance") <= max_dist)
+    if papers is None:
+        hits = nearest(queries, vectors, n, "cosine", "paper_id")
+    else:
+        limited = queries.select("query_id", "embedding").join(papers.select("query_id", F.col("paper_id").alias("_only")).distinct(), "query_id")
+        free = queries.join(papers, "query_id", "left_anti")
+        own = nearest(cut_lineage(limited), vectors.withColumn("_only", F.col("paper_id")), n, "cosine", "paper_id", group="_only")
+        own = own.drop("rank").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "paper_id")))
+        hits = union_all(own.where(F.col("rank") <= n), nearest(cut_lineage(free), vectors, n, "cosine", "paper_id"))
+    hits = hits.where(F.col("distance") <= max_dist)
     return with_metadata(hits, metadata).withColumn("source", F.lit("dense"))
 
 
