@@ -184,3 +184,7 @@ ANSWER_STOP_WORDS = [
 CAVEAT = (
     "\n\n*Note: parts of this answer extend beyond the retrieved sections — verify against the paper.*"
 )
+
+# Texts that stand in where nothing was found (fixed values).
+NO_PAPERS_TEXT = "No relevant papers found in the database or ArXiv."
+NOT_INDEXED_NOTE = "Note: Full PDF not indexed. Click 'Index PDF' for section-level precision."

@@ -57,6 +57,18 @@ def validate_scores(cleaned: Column, ranges: Mapping[str, tuple[float, float]])
     return F.struct(F.struct(*values).alias("scores"), F.array_compact(F.array(*warnings)).alias("warnings"))
 
 
+def clamped_json(cleaned: Column, ranges: Mapping[str, tuple[float, float]]) -> Column:
+    """The answer with every score that is out of range set to the nearest bound; all other fields as they are."""
+    parsed, limited = F.try_parse_json(cleaned), lambda k, v: v
+    fields = F.from_json(cleaned, "map<string,variant>")
+    for name, (lo, hi) in ranges.items():
+        number = json_field(parsed, name, "double")
+        bound = F.when(number < float(lo), F.parse_json(F.lit(str(lo)))).when(number > float(hi), F.parse_json(F.lit(str(hi))))
+        limited = (lambda k, v, name=name, bound=bound, before=limited:
+                   F.when((k == name) & bound.isNotNull(), bound).otherwise(before(k, v)))
+    return F.to_json(F.transform_values(fields, lambda k, v: limited(k, v)))
+
+
 def grounding_overlap(claim: Column, source: Column, min_len: int = 5) -> Column:
     claimed = word_set(F.coalesce(claim, F.lit("")), min_len)
     known = word_set(F.coalesce(source, F.lit("")), min_len)
@@ -76,18 +88,19 @@ def run_guardrails(
     source: Column | None = None,
     claim_field: str = "summary",
 ) -> Column:
-    """Schema, then score warnings, then grounding; the first hard failure decides."""
+    """Schema, then score warnings, then grounding; the first hard failure decides. Scores out of range come out clamped."""
     schema = validate_schema(raw, keys)
     cleaned = clean_model_json(F.coalesce(raw, F.lit("")))
-    passed, errors = schema["passed"], schema["errors"]
+    passed, errors, output = schema["passed"], schema["errors"], schema["output"]
     if ranges:
+        output = F.when(passed, clamped_json(cleaned, ranges)).otherwise(output)
         errors = F.when(passed, validate_scores(cleaned, ranges)["warnings"]).otherwise(errors)
     if source is not None:
         grounded = validate_grounding(json_field(F.try_parse_json(cleaned), claim_field), source)
         errors = F.when(passed & ~grounded, F.array(F.lit("Low grounding score"))).when(passed & grounded, string_array([])) \
             .otherwise(errors)
         passed = passed & grounded
-    return verdict(passed, schema["output"], errors, ~passed)
+    return verdict(passed, output, errors, ~passed)
 
 
 def parse_hype(raw: Column, on_fail: str = "none") -> Column:

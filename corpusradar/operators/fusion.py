@@ -195,25 +195,32 @@ def intent_rerank(papers: DataFrame, n: int = 6) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
-def paper_context(papers: DataFrame) -> DataFrame:
-    """``(query_id, context)``: a numbered block per paper, with the lines its intent asks for."""
+def paper_context(papers: DataFrame, queries: DataFrame | None = None, abstract_chars: int = 300, summary_chars: int = 200,
+                  reasoning_chars: int = 150) -> DataFrame:
+    """``(query_id, context)``: a numbered block per paper, with the lines its intent asks for.
+
+    With ``queries(query_id)`` those without any paper get a text that says so; the lengths are those of the shown texts.
+    """
     intent = F.col("intent")
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     score = F.when(F.coalesce("overall_score", F.lit(0.0)) != 0, F.format_string("%.1f/10", "overall_score")).otherwise("not yet analyzed")
     part = F.concat(
         F.lit("[Paper "), F.col("place").cast("string"), F.lit("] "), F.col("title"), F.lit("\nArXiv: "), F.col("paper_url"),
         F.lit("\nScore: "), score, F.lit(" | Action: "), F.coalesce("action", F.lit("")), F.lit(" | Source: "),
-        F.array_join("sources", ", "), F.lit("\nAbstract: "), F.substring("abstract", 1, 300), F.lit("\n"),
-        F.when(filled("summary"), F.concat(F.lit("Summary: "), F.substring("summary", 1, 200), F.lit("\n"))).otherwise(""),
+        F.array_join("sources", ", "), F.lit("\nAbstract: "), F.substring("abstract", 1, abstract_chars), F.lit("\n"),
+        F.when(filled("summary"), F.concat(F.lit("Summary: "), F.substring("summary", 1, summary_chars), F.lit("\n"))).otherwise(""),
         F.when(filled("stack_fit") & (intent == "practical"), F.concat(F.lit("Stack Fit: "), F.col("stack_fit"), F.lit("\n"))).otherwise(""),
         F.when(filled("score_reasoning") & intent.isin("recommend", "practical"),
-               F.concat(F.lit("Reasoning: "), F.substring("score_reasoning", 1, 150), F.lit("\n"))).otherwise(""))
+               F.concat(F.lit("Reasoning: "), F.substring("score_reasoning", 1, reasoning_chars), F.lit("\n"))).otherwise(""))
     gathered = papers.select("query_id", "intent", "place", "source", part.alias("part")).groupBy("query_id").agg(
         F.first("intent").alias("intent"), F.count("*").alias("n"), F.bool_or(F.col("source") == "live").alias("live"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "part"))), lambda s: s["part"]), "\n---\n").alias("body"))
     header = F.concat(F.lit("[Retrieved "), F.col("n").cast("string"), F.lit(" papers | Intent: "), F.upper("intent"),
                       F.when(F.col("live"), " | Includes live ArXiv results").otherwise(""), F.lit("]\n\n"))
-    return gathered.select("query_id", F.concat(header, "body").alias("context"))
+    found = gathered.select("query_id", F.concat(header, "body").alias("context"))
+    if queries is None:
+        return found
+    return queries.select("query_id").join(found, "query_id", "left").withColumn("context", F.coalesce("context", F.lit(C.NO_PAPERS_TEXT)))
 
 
 def paper_citations(papers: DataFrame) -> DataFrame:

@@ -75,13 +75,14 @@ def retrieve_context(queries: DataFrame, chunks: DataFrame, **options) -> DataFr
     return with_citations(X.assemble_context(hits), X.context_citations(hits))
 
 
-def multi_query_merge(queries: DataFrame, chunks: DataFrame, papers: DataFrame, **options) -> DataFrame:
+def multi_query_merge(queries: DataFrame, chunks: DataFrame, papers: DataFrame, abstract_chars: int = 1000, **options) -> DataFrame:
     """Decompose each question, retrieve per part, and merge what is distinct: ``(query_id, context, citations, mode)``.
 
-    ``queries(query_id, paper_id, query)``; without any context the abstract and analysis of ``papers`` stand in.
+    ``queries(query_id, paper_id, query)``; off-topic questions get mode ``blocked`` and nothing is retrieved for them; without any
+    context the abstract (its first ``abstract_chars``) and analysis of ``papers`` stand in, with a note that says so.
     """
     text = F.col("query")
-    planned = queries.withColumn("intent", D.deep_intent(text)).withColumn("subs", D.decompose_query(text, F.col("intent")))
+    planned = queries.where(~F.coalesce(D.off_topic(text), F.lit(False))).withColumn("intent", D.deep_intent(text)).withColumn("subs", D.decompose_query(text, F.col("intent")))
     n = D.sub_query_budget(D.chunk_budget(F.col("intent")), F.size("subs"))
     parts = planned.select("query_id", "paper_id", "intent", n.alias("n"), F.posexplode("subs").alias("sub_no", "query"))
     part_id = F.concat(F.col("_query").cast("string"), F.lit("#"), F.lpad(F.col("sub_no").cast("string"), 2, "0"))
@@ -100,12 +101,12 @@ def multi_query_merge(queries: DataFrame, chunks: DataFrame, papers: DataFrame,
     have = papers.columns
     note = lambda c: F.coalesce(F.col(c), F.lit("")) if c in have else F.lit("")
     fallback = F.concat(
-        F.lit("[Paper Abstract]\n"), F.substring(F.coalesce("abstract", F.lit("")), 1, 1000), F.lit("\n\n[Analysis]\nScore Reasoning: "),
-        note("score_reasoning"), F.lit("\nStack Fit: "), note("stack_fit"))
-    about = queries.select("query_id", "paper_id").join(papers.select("paper_id", fallback.alias("_fallback")), "paper_id", "left")
+        F.lit("[Paper Abstract]\n"), F.substring(F.coalesce("abstract", F.lit("")), 1, abstract_chars), F.lit("\n\n[Analysis]\nScore Reasoning: "),
+        note("score_reasoning"), F.lit("\nStack Fit: "), note("stack_fit"), F.lit("\n\n" + C.NOT_INDEXED_NOTE))
+    about = queries.select("query_id", "paper_id", F.coalesce(D.off_topic(text), F.lit(False)).alias("_blocked")).join(papers.select("paper_id", fallback.alias("_fallback")), "paper_id", "left")
     return about.join(found, "query_id", "left").select(
-        "query_id", F.coalesce("context", "_fallback").alias("context"), "citations",
-        F.when(F.col("context").isNotNull(), "deep").otherwise("abstract").alias("mode"))
+        "query_id", F.when(~F.col("_blocked"), F.coalesce("context", "_fallback")).alias("context"), "citations",
+        F.when(F.col("_blocked"), "blocked").when(F.col("context").isNotNull(), "deep").otherwise("abstract").alias("mode"))
 
 
 def global_retrieve(queries: DataFrame, papers: DataFrame, vectors: DataFrame, live: DataFrame | None = None, n: int = 5,

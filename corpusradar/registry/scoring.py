@@ -169,7 +169,10 @@ SELECT paper_id, b_ok AS passed, CASE WHEN NOT b_schema THEN 'Invalid JSON' WHEN
        NOT b_ok AS retryable, s_ok AS scorer_passed,
        CASE WHEN NOT s_ok THEN 'Missing required keys: reproducibility, compute_cost, latency, adoption, reasoning'
             WHEN CAST(json_extract_string(s, '$.overall_score') AS DOUBLE) > 10 AND CAST(json_extract_string(s, '$.reproducibility') AS DOUBLE) <= 10
-            THEN 'overall_score out of range; latency out of range' ELSE 'latency out of range' END AS scorer_warnings
+            THEN 'overall_score out of range; latency out of range' ELSE 'latency out of range' END AS scorer_warnings,
+       CASE WHEN s_ok THEN round(greatest(0, least(10, CAST(json_extract_string(s, '$.overall_score') AS DOUBLE))), 6) END AS clamped_score,
+       CASE WHEN s_ok THEN round(greatest(0, least(10, CAST(json_extract_string(s, '$.latency') AS DOUBLE))), 6) END AS clamped_latency,
+       CASE WHEN s_ok THEN json_extract_string(s, '$.reasoning') END AS scorer_reasoning
 FROM grounded""", "grounded")
 def _(t):
     df = t.papers.select("paper_id", "abstract").join(t.model_outputs, "paper_id")
@@ -177,7 +180,10 @@ def _(t):
     scorer = G.run_guardrails(F.col("scorer_raw"), C.SCORER_KEYS, C.SCORER_RANGES)
     return df.select("paper_id", brief["passed"].alias("passed"), F.array_join(brief["errors"], "; ").alias("errors"),
                      brief["retryable"].alias("retryable"), scorer["passed"].alias("scorer_passed"),
-                     F.array_join(scorer["errors"], "; ").alias("scorer_warnings"))
+                     F.array_join(scorer["errors"], "; ").alias("scorer_warnings"),
+                     *[F.round(F.when(scorer["passed"], F.get_json_object(scorer["output"], f"$.{field}").cast("double")), 6).alias(name)
+                       for name, field in (("clamped_score", "overall_score"), ("clamped_latency", "latency"))],
+                     F.when(scorer["passed"], F.get_json_object(scorer["output"], "$.reasoning")).alias("scorer_reasoning"))
 
 
 def hype_sql(raw: str, cleaned: str) -> tuple[str, str, str]:
