@@ -6,8 +6,9 @@
    ``2 * h`` minhashes, yet every minhash serves ``m`` tables: the number of minhashes is about the square root of what tables of
    their own would need. Keys are dealt over all tasks by their value; keys that only one node has are dropped.
 3. Nodes that share a key are candidates. In a group of near copies nearly all pairs are, so nodes are first compared with the
-   most promising centres of their lists, then every remaining candidate pair of different components with each other
-   (``ngram_join`` has the same rounds over prefix lists). Pairs whose minhashes agree too rarely are left out before texts move.
+   most promising centres of their lists (``ngram_join`` has the same rounds over prefix lists). In lists that still hold several
+   components, every remaining candidate pair is verified where it meets, in its first shared band, and only links leave the task.
+   Pairs whose minhashes agree too rarely are passed over.
 4. Every link is confirmed on the full sets, so no clean document is lost to a hash collision.
 
 A pair at the threshold of 0.8 shares no key with probability below 2.1e-5 at the default ``h = 3, m = 16`` (``missed``), and fails
@@ -31,10 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusradar.llm.common import mixed, stored, text_blocks, whole_text
-from corpusradar.llm.ngram_join import Alike, joined_components, linked, linked_in_cells, promising_pairs, with_components
+from corpusradar.llm.ngram_join import Alike, _may_overlap, _sets_of, joined_components, linked, promising_pairs, texts_of, with_components
 from corpusradar.llm.shingles import shingle_sets
+from corpusradar.session import broadcast_if_small
 
 
+LIST_NODES, LIST_SHINGLES = 2048, 1 << 20  # of a block, on average
 WORTH = 10  # a round of centres is followed by another while one in so many of its pairs links
 
 
@@ -161,27 +164,71 @@ def candidate_lists(nodes: DataFrame, bands: Bands) -> DataFrame:
 def agreeing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     """The pairs with at least so many equal bytes in their sketches."""
     sides = [nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").select(*pairs.columns, "sketch_a", "sketch_b")
-    width = len(pairs.columns)
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sketch_a", "sketch_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (width, width + 1))
-                yield batch.filter(pa.array((x == y).sum(axis=1) >= least)).select(range(width))
-
-    return both.mapInArrow(run, pairs.schema)
-
-
-def remaining_pairs(lists: DataFrame, rule: Alike) -> DataFrame:
-    """``team, a, b``: candidates of different components, once each; ``team`` is the largest component where they meet."""
-    side = lists.select("h", "node", "n", "component", "largest", rule.band(F.col("n")).alias("band"))
-    small = side.where("component <> largest").withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
-    x, y = small.alias("x"), side.alias("y")
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component"))
-                 & (rule.den * F.least("x.n", "y.n") >= rule.num * F.greatest("x.n", "y.n")))
-    ends = F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
-    return met.groupBy(*ends).agg(F.min("x.largest").alias("team")).select("team", "a", "b")
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield batch.filter(pa.array((x == y).sum(axis=1) >= least)).select([0, 1])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _verified(cell: pa.Table, least: int, rule: Alike, bands: Bands) -> pa.Table:
+    """Links that join components, among the rows of one list (or of two blocks of it): ``a, b``.
+
+    A pair is looked at if the list's band is the first of its collection that both share, any band of the other collection agrees,
+    sizes fit and minhashes agree often enough; it is decided by whole sets, and passed over once links found here join its ends.
+    """
+    n, node, own = (cell[c].to_numpy() for c in ("n", "node", "own"))
+    at, alone = cell["at"][0].as_py(), cell["low"][0] == cell["high"][0]
+    keys = np.frombuffer(b"".join(cell["bands"].to_pylist()), "<u8").reshape(len(n), 2, bands.m)
+    sketch = np.frombuffer(b"".join(cell["sketch"].to_pylist()), np.uint8).reshape(len(n), -1)
+    sets = list(_sets_of(cell["text"], rule.size))
+    label = np.unique(cell["component"].to_numpy(), return_inverse=True)[1]  # components, merged by the links found
+    found = []
+    for x in range(len(n) - 1):
+        y = np.arange(x + 1, len(n))
+        y = y[(label[y] != label[x]) & (alone | (own[y] != own[x]))
+              & (rule.den * np.minimum(n[y], n[x]) >= rule.num * np.maximum(n[y], n[x]))]
+        y = y[~(keys[y, 0, :at] == keys[x, 0, :at]).any(axis=1) & (keys[y, 1] == keys[x, 1]).any(axis=1)]
+        y = y[(sketch[y] == sketch[x]).sum(axis=1) >= least]
+        for k in y.tolist():
+            if label[k] == label[x]:
+                continue
+            overlap = rule.overlap(len(sets[x]), len(sets[k]))
+            if _may_overlap(sets[x], sets[k], overlap) and len(np.intersect1d(sets[x], sets[k], assume_unique=True)) >= overlap:
+                found.append((node[x], node[k]))
+                label[label == label[k]] = label[x]
+    return pa.table([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ((), ()))], names=["a", "b"])
+
+
+def remaining_links(lists: DataFrame, nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, rule: Alike, bands: Bands, least: int) -> DataFrame:
+    """``a, b``: links that join the components of ``lists`` further. No pair leaves the task that verifies it unless it links.
+
+    The nodes meet by the bands of the first collection, each pair in the first one it shares; a long list is cut into blocks of
+    bounded size that meet two by two.
+    """
+    some = stored(lists.select("node", "component").distinct().join(nodes.select("node", "n", "print", "rep", "bands", "sketch"), "node"), "mixed-nodes")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(batch.num_rows, 2, bands.m)[:, 0].reshape(-1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(np.arange(bands.m, dtype=np.int32), batch.num_rows)), *[
+                pa.array(np.repeat(batch.column(i).to_numpy(), bands.m)) for i in range(3)]], names=["list", "at", "node", "component", "n"])
+
+    rows = stored(some.select("node", "component", "n", "bands").mapInArrow(explode, "list long, at int, node long, component long, n long"), "band-rows")
+    sizes = rows.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.greatest(
+        F.count("*") / LIST_NODES, F.sum("n") / LIST_SHINGLES)).cast("int").alias("blocks")).where("x < y")
+    sizes = broadcast_if_small(stored(sizes.select("list", "blocks"), "band-lists"))
+    dealt = rows.join(sizes, "list").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = dealt.select("list", "at", "node", "own", other).select("list", "at", "node", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    texts = texts_of(some.select(F.col("rep").alias("id")), df, id_col, text_col, rule)
+    whole = stored(some.drop("rep").join(texts, "print").drop("print"), "mixed-texts")
+    cells = dealt.join(whole, "node").groupBy("list", "low", "high")
+    return stored(cells.applyInArrow(lambda cell: _verified(cell, least, rule, bands), "a long, b long"), "near")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Alike | None = None, bands: Bands | None = None) -> DataFrame:
@@ -203,9 +250,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         round_no += 1
         if links.count() * WORTH <= fresh.count():  # centres bring together no more; the rest is compared pair by pair
             break
-    pairs = remaining_pairs(lists, rule).join(tried, ["a", "b"], "left_anti").select("team", "a", "b")
-    pairs = stored(agreeing(stored(pairs, "pairs"), nodes, least), "agreeing")
-    found = joined_components(found, stored(linked_in_cells(pairs, nodes, df, id_col, text_col, rule), "near"))
+    found = joined_components(found, remaining_links(lists, nodes, df, id_col, text_col, rule, bands, least))
     labelled = nodes.join(found, "node", "left").select("print", "rep", F.coalesce("component", "node").alias("component"))
     smallest = stored(labelled.groupBy("component").agg(F.min("rep").alias("component_id")), "component-ids")
     by_print = labelled.join(smallest, "component").select("print", "component_id")

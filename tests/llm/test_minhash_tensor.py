@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from test_dedup_and_joins import brute_components, documents, odd_rows, shingles
 
 from corpusradar.llm import minhash_tensor
@@ -28,7 +29,10 @@ def edited_copies(seed, n):
     return rows + [(1000 + i, " ".join(f"x{draw.randrange(300)}" for _ in range(draw.randrange(1, 60)))) for i in range(n)]
 
 
-def test_near_copies_of_odd_rows_and_a_large_group_of_edited_copies(spark):
+@pytest.mark.parametrize("block", [8, 2048])
+def test_near_copies_of_odd_rows_and_a_large_group_of_edited_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash_tensor, "LIST_NODES", block)
+    monkeypatch.setattr(minhash_tensor, "WORTH", 1 if block == 8 else 10)  # one round of centres, then pair by pair
     rows = [(i, t) for i, t, *_ in odd_rows()] + [(i + 100, t) for i, t in edited_copies(4, 120)]
     df = documents(spark, [(i, t, None, None, "clash", "clash") for i, t in rows]).repartition(5)
     assert answer(minhash_tensor.near_duplicates(df, rule=Alike(2, 80, 100))) == brute_components(rows, 2, 80, 100)
