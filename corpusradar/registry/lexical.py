@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from corpusradar import constants as C
 from corpusradar.functions.text import search_tokens
 from corpusradar.operators import lexical as L
+from corpusradar.operators.inverted import build_index, search
 from corpusradar.registry import query
 from corpusradar.registry.sqlviews import TOKENS, view
+from corpusradar.session import fresh_folder
 
 WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
 
@@ -89,6 +91,16 @@ def _(t):
         per_source.withColumnRenamed("doc_id", "paper_id").select(F.lit("source").alias("pool"), *cols))
 
 
+@query("bm25_topk_indexed", """
+SELECT 'first' AS search, query_id, paper_id, score, rank FROM lex_hits
+UNION ALL SELECT 'second', query_id, paper_id, score, rank FROM lex_hits WHERE rank <= 3 AND query_id % 2 = 0""", "lex_hits")
+def _(t):
+    """One stored index, two searches."""
+    index = build_index(corpus(t), fresh_folder(t.spark, "inverted"))
+    first, second = search(index, t.decorated_queries, 15), search(index, t.decorated_queries.where("query_id % 2 = 0"), 3)
+    return first.select(F.lit("first").alias("search"), "*").unionByName(second.select(F.lit("second").alias("search"), "*"))
+
+
 @query("keyword_overlap_topk", "SELECT * FROM overlap_hits", "overlap_hits")
 def _(t):
     return L.keyword_overlap_topk(t.decorated_queries, t.papers, 8)
