@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,9 +13,10 @@ from pyspark.sql import functions as F
 from corpusradar import constants as C
 from corpusradar.functions.text import search_tokens
 from corpusradar.operators.blocks import block_join, matrix, topk_kernel, unit_rows
+from corpusradar.operators.ivf import build_lists, search_lists
 from corpusradar.operators.kbest import MOST_ROUNDS, rounds_for, scan_nearest
 from corpusradar.operators.projections import first_shared, hashed, plan_tables
-from corpusradar.session import cut_lineage, union_all
+from corpusradar.session import cut_lineage, fresh_folder, union_all
 
 Encoder = Callable[[DataFrame, str, str], DataFrame]
 
@@ -116,17 +115,11 @@ def with_metadata(hits: DataFrame, metadata: DataFrame) -> DataFrame:
         num("velocity_score").alias("velocity_score"))
 
 
-def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 10, n_lists: int = 16, n_probe: int = 4,
+def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 10, n_lists: int | None = None, n_probe: int = 4,
                id_col: str = "paper_id", seed: int = 42) -> DataFrame:
-    """Inverted-file search: k-means cells, the nearest cells of each query, exact distances inside them."""
-    point = array_to_vector(F.col("embedding").cast("array<double>"))
-    model = KMeans(k=n_lists, seed=seed, featuresCol="_point", predictionCol="cell").fit(vectors.select(point.alias("_point")))
-    cells = model.transform(vectors.select(id_col, "embedding", point.alias("_point"))).drop("_point")
-    centers = queries.sparkSession.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, embedding array<double>")
-    probes = nearest(queries, centers, n_probe, "l2", "cell").select("query_id", "cell")
-    routed = queries.select("query_id", "embedding").join(probes, "query_id")
-    found = nearest(routed, cells, k, "cosine", id_col, group="cell")
+    """k near rows per question from an index of inverted lists built for it; see ``ivf`` to build once and search often."""
+    index = build_lists(vectors, fresh_folder(vectors.sparkSession, "lists"), id_col, n_lists, seed=seed)
+    found = search_lists(index, queries, k, n_probe)
     return found.select("query_id", id_col, F.round(1 - F.col("distance"), 4).alias("score"), "rank")
 
 

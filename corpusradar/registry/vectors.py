@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from corpusradar.operators import vectors as V
+from corpusradar.operators.ivf import MOST_LISTS, build_lists, search_lists
 from corpusradar.registry import query
 from corpusradar.registry.sqlviews import TOKENS, view
-from corpusradar.session import cut_lineage
+from corpusradar.session import cut_lineage, fresh_folder
 
 
 def label_queries(t):
@@ -95,11 +96,19 @@ def _(t):
 @query("knn_approx")
 def _(t):
     q = label_queries(t)
-    approx = V.knn_approx(q, t.embeddings, 10, 16, 8, "vec_id")
+    approx = V.knn_approx(q, t.embeddings, 10, n_probe=16, id_col="vec_id")
     recall = V.recall_against(approx, V.cosine_topk(q, t.embeddings, 10, "vec_id"), "vec_id")
     return approx.select("*", recall.scalar().alias("recall"))
 
 
+@query("knn_approx_all_lists", """
+SELECT query_id, vec_id, distance, rank FROM label_ranked WHERE rank <= 10""", "label_ranked")
+def _(t):
+    """With every list probed only the codes choose, and what they choose is scored exactly."""
+    index = build_lists(t.embeddings.select("vec_id", "embedding"), fresh_folder(t.spark, "lists"), "vec_id")
+    return search_lists(index, label_queries(t), 10, MOST_LISTS)
+
+
 @query("similarity_pairs", """
 , distinct_vectors AS (SELECT CAST(embedding AS DOUBLE[]) AS embedding, min(vec_id) AS rep FROM embeddings GROUP BY 1)
 SELECT a.rep AS id_a, b.rep AS id_b, round(1 - list_cosine_similarity(a.embedding, b.embedding), 6) AS distance
