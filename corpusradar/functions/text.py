@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,3 +57,34 @@ def first_match(col: Column, pattern: str, group: int = 0) -> Column:
 
 def string_array(items: Sequence[str]) -> Column:
     return F.array(*[F.lit(i) for i in items]) if items else F.array().cast("array<string>")
+
+
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+_COMMON = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; what is none becomes the replacement character."""
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    point = F.when(valid, code).otherwise(0xFFFD)
+    return F.when(point == 160, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+
+
+def decode_entities(text: Column) -> Column:
+    """Character references by number or name replaced by their characters, in one pass; unknown names stay. No-break space
+    becomes a blank. Texts with the most common references only take the short way."""
+    simple = text
+    for entity, char in _COMMON.items():
+        simple = F.replace(simple, F.lit(entity), F.lit(char))
+    names = F.create_map(*[x for name, code in sorted(name2codepoint.items()) for x in (F.lit(name), F.lit(code))])
+
+    def piece(p: Column) -> Column:
+        inner = F.substring(p, 2, 32)
+        body = F.regexp_replace(inner, ";$", "")
+        code = (F.when(body.rlike("^#[xX]"), F.conv(F.regexp_replace(body, "^#[xX]", ""), 16, 10).cast("int"))
+                .when(body.startswith("#"), F.regexp_replace(body, "^#", "").cast("int")).otherwise(F.try_element_at(names, body)))
+        return F.when(p.startswith("&") & p.endswith(";") & (F.length(p) > 2) & code.isNotNull(), _character(code)).otherwise(p)
+
+    pieces = F.regexp_extract_all(text, F.lit(rf"{_ENTITY}|[^&]+|&"), F.lit(0))
+    rare = r"&(?!(?:lt|gt|quot|#39|nbsp|amp);)(?:#|[A-Za-z])"
+    return F.when(text.rlike(rare), F.array_join(F.transform(pieces, piece), "")).otherwise(simple)

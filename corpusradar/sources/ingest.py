@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusradar import constants as C
-from corpusradar.functions.text import first_match, strip
+from corpusradar.functions.text import decode_entities, first_match, strip
 
 
 def extract_repo_link(col: Column, pattern: str = C.REPO_LINK_PATTERN) -> Column:
@@ -98,8 +98,7 @@ def html_blocks(pages: DataFrame, blocks_per_page: int = 8) -> DataFrame:
     html = F.regexp_replace(html, r"(?i)</?(h[1-6]|p|li|tr|ul|ol|table|article|nav|div|body|html|footer|header|section)(\s[^>]*)?>",
                             "\u0001x\u0002")
     html = F.regexp_replace(html, r"(?s)<[^>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        html = F.replace(html, F.lit(entity), F.lit(char))
+    html = decode_entities(html)
     pieces = F.transform(F.split(html, "\u0001"), lambda p: F.struct(
         F.lower(F.split_part(p, F.lit("\u0002"), F.lit(1))).alias("tag"),
         strip(F.regexp_replace(F.split_part(p, F.lit("\u0002"), F.lit(2)), r"\s+", " ")).alias("text")))

@@ -127,3 +127,12 @@ def test_search_tokens_are_those_of_unicode_word_boundaries(spark):
     texts = ["café naïve-bayes -foo-- über straße x_1 -- a-b", "état-major 日本go go日本 x² a², b—c-d_e-", "_a_ -a- __ é_a ab́cd ٣4 a٣", "", "Ab-é cd-", "--ab--cd--"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(search_tokens(F.col("t"))).collect()
     assert [r[0] for r in got] == [re.findall(r"\b[a-zA-Z0-9_\-]{2,}\b", t.lower()) for t in texts]
+
+
+def test_character_references(spark):
+    from corpusradar.functions.text import decode_entities
+
+    cases = {"a &lt;b&gt; &amp;lt; &quot;x&quot; &#39;&nbsp;.": 'a <b> &lt; "x" \' .', "caf&eacute; &#8217;s &#x1F600; &Eacute;": "caf\u00e9 \u2019s \U0001f600 \u00c9",
+             "R&D; &unknown; & &#0; &#xD800; &#9999999; &; &amp;eacute;": "R&D; &unknown; & \ufffd \ufffd \ufffd &; &eacute;", "": "", "&": "&"}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "t string, want string")
+    assert all(r.got == r.want for r in df.select("want", decode_entities(F.col("t")).alias("got")).collect())
