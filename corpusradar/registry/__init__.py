@@ -17,7 +17,7 @@ _SQL: dict[str, tuple[str, str]] = {}
 
 FAMILIES = [
     "ingest", "vectors", "clusters", "velocity", "scoring", "chunking", "lexical", "fusion", "questions",
-    "catalog", "sessions", "opsmetrics", "evaluation", "streams",
+    "catalog", "sessions", "opsmetrics", "evaluation", "streams", "stored",
 ]
 
 

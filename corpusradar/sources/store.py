@@ -1,4 +1,4 @@
-"""Updates of stored tables, written as joins: the result replaces the old table or partition."""
+"""Updates of tables, written as joins: the result replaces the old table. ``bucketed`` applies them in place."""
 
 from __future__ import annotations
 
@@ -32,26 +32,27 @@ def upsert_analysis(papers: DataFrame, results: DataFrame) -> DataFrame:
     return joined.select(*rest, *updated, (matched | old_flag).alias("is_analyzed"))
 
 
-def refresh_vector_metadata(vectors: DataFrame, papers: DataFrame) -> DataFrame:
-    """New metadata for stored vectors without encoding again; vectors of unknown papers keep NULL metadata."""
+def vector_metadata(papers: DataFrame) -> DataFrame:
+    """What is stored beside the vector of a paper, without NULLs."""
     have = dict(papers.dtypes)
     text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in have else F.lit("")
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0)
     joined = lambda c, n=None: (F.coalesce(F.array_join(F.slice(c, 1, n) if n else F.col(c), ", "), F.lit(""))
                                 if c in have else F.lit(""))
-    meta = papers.select(
+    return papers.select(
         "paper_id", F.substring(text("title"), 1, 500).alias("title"), joined("authors", 5).alias("authors"),
         joined("categories").alias("categories"), text("paper_url").alias("paper_url"), text("repo_url").alias("repo_url"),
         number("velocity_score").alias("velocity_score"), F.substring(text("summary"), 1, 500).alias("summary"),
         text("stack_fit").alias("stack_fit"), F.substring(text("score_reasoning"), 1, 300).alias("score_reasoning"),
         number("overall_score").alias("overall_score"), text("action").alias("action"))
-    return vectors.select("paper_id", "embedding").join(meta, "paper_id", "left")
 
 
-def replace_partition(chunks: DataFrame, new_chunks: DataFrame) -> DataFrame:
-    """Drop every stored chunk of the papers in the new batch and add the new chunks.
+def refresh_vector_metadata(vectors: DataFrame, papers: DataFrame) -> DataFrame:
+    """New metadata for stored vectors without encoding again; vectors of unknown papers keep NULL metadata."""
+    return vectors.select("paper_id", "embedding").join(vector_metadata(papers), "paper_id", "left")
+
 
-    To write in place, use dynamic partition overwrite on a table partitioned by a bucket of ``paper_id``.
-    """
+def replace_partition(chunks: DataFrame, new_chunks: DataFrame) -> DataFrame:
+    """Drop every stored chunk of the papers in the new batch and add the new chunks; in place by ``bucketed.save_chunks``."""
     redone = new_chunks.select("paper_id").distinct()
     return union_all(chunks.join(redone, "paper_id", "left_anti").select(chunks.columns), new_chunks)
