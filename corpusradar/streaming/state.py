@@ -36,14 +36,14 @@ class Manifest:
     dropped: int = 0
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Batch ids that have a table below ``path``."""
-    where, fs = _file_system(spark, path)
+    where, fs = file_system(spark, path)
     if not fs.exists(where):
         return []
     found = (re.fullmatch(r"batch=(\d+)", s.getPath().getName()) for s in fs.listStatus(where))
@@ -51,7 +51,7 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 
 
 def _drop(spark: SparkSession, path: str) -> None:
-    where, fs = _file_system(spark, path)
+    where, fs = file_system(spark, path)
     fs.delete(where, True)
 
 

@@ -7,7 +7,9 @@ from oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["hidden_gems", "analyze_corpus", "snapshot_deltas", "agent_counters", "evaluation_report", "theme_labels", "ingest_audit",
-          "build_sessions", "caption_boost", "pair_rerank", "retrieve_context", "stream_agent_metrics"]
+          "build_sessions", "caption_boost", "pair_rerank", "retrieve_context", "stream_agent_metrics", "stream_velocity",
+          "stream_job_transitions", "stream_ewma", "upsert_analysis_stored", "embed_pending_stored", "replace_partition_stored",
+          "latency_status", "score_distribution", "job_transitions", "score_velocity"]
 
 
 @pytest.fixture(scope="module")
