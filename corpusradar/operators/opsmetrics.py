@@ -85,60 +85,160 @@ def health_flags(calls: DataFrame) -> DataFrame:
     return counts.select((F.size(issues) == 0).alias("healthy"), issues.alias("issues"))
 
 
-def _smooth(state: np.ndarray, x: float, alpha: float) -> np.ndarray:
+MOST_TENTHS = 1e12  # states and latencies end here (about 3,000 years)
+CHUNK_ROWS = 512
+
+
+def _smooth(state: np.ndarray, x: np.ndarray | float, alpha: float) -> np.ndarray:
     """One step on states in tenths; a state of zero takes the value as it is."""
     mixed = np.where(state == 0, x, alpha * x + (1 - alpha) * (state / 10.0))
     return np.floor(mixed * 10 + 0.5)
 
 
-def ewma_latency(calls: DataFrame, alpha: float = 0.3, segment_seconds: int = 3600, initial: DataFrame | None = None) -> DataFrame:
-    """Running average of successful latencies per agent, rounded to one decimal at every step.
+def _least_state(reach: np.ndarray, x: np.ndarray, alpha: float) -> np.ndarray:
+    """Smallest state from 1 on that a step with ``x`` takes to ``reach`` or above."""
+    guess = np.ceil(((reach - 0.5) / 10 - alpha * x) / (1 - alpha) * 10)
+    start = np.clip(guess - 2, 1, None)  # the guess may be off by the rounding of doubles
+    for _ in range(4):
+        start = np.where(_smooth(start, x, alpha) < reach, start + 1, start)
+    return start
+
+
+def fading_length(alpha: float) -> int:
+    """Values after which the largest state has faded to less than one tenth."""
+    return int(np.ceil(np.log(MOST_TENTHS) / -np.log1p(-alpha)))
 
-    The fold depends on order, yet a stretch of it is a function from the state before to the state after, and states are
-    tenths. Each (agent, segment) works out that function on its own; because the old state fades, it collapses to a few
-    steps after some values. Only these step tables meet per agent. ``initial(agent, ewma_latency_s)`` goes on from an
-    earlier result.
+
+def fading_steps(chunks: list[np.ndarray], alpha: float) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """The running average over each chunk of values as a function of the state before it: ``(from_zero, starts, states)``.
+
+    From 1 on the function never falls, and states that begin far apart end up a few tenths apart once enough values have
+    passed. So its end points are carried forward, and only the few levels between them are traced back to where they begin.
+    All chunks go through their values side by side. Work and size do not depend on how large the values are, provided that each
+    chunk has the ``fading_length`` of values.
     """
-    good = calls.where("success").withColumn("_seg", F.floor(F.unix_timestamp("ts") / segment_seconds))
-    top = good.agg(F.max("latency_s")).first()[0]
-    if initial is not None:
-        top = max(top or 0, initial.agg(F.max("ewma_latency_s")).first()[0] or 0)
-    size = int((top or 0) * 10) + 2
+    lengths = np.array([len(c) for c in chunks])
+    values = np.full((lengths.max(), len(chunks)), np.nan)
+    for i, c in enumerate(chunks):
+        values[:len(c), i] = c
+    ends = np.repeat([[0.0], [1.0], [MOST_TENTHS]], len(chunks), axis=1)
+    for row in values:
+        ends = np.where(np.isnan(row), ends, _smooth(ends, row, alpha))
+    zero, low, high = ends
+    levels = low + np.arange(1, int((high - low).max()) + 1)[:, None]
+    starts = levels.copy()
+    for row in values[::-1]:
+        starts = np.where(np.isnan(row), starts, _least_state(starts, row, alpha))
+    return [(zero[i], np.concatenate([[1.0], starts[levels[:, i] <= high[i], i]]), np.concatenate([[low[i]], levels[levels[:, i] <= high[i], i]]))
+            for i in range(len(chunks))]
+
+
+class _Stretch:
+    """What one task knows of an agent: its first call, and either its few values or the function over them."""
+
+    def __init__(self, agent, ts, event_id, alpha: float, least: int):
+        self.first, self.alpha, self.least = (agent, ts, event_id), alpha, least
+        self.n, self.raw, self.zero, self.starts, self.states = 0, np.empty(0), None, None, None
+
+    def values(self, xs: np.ndarray) -> None:
+        """Go on over few values one by one."""
+        self.n += len(xs)
+        if self.starts is None:
+            self.raw = np.concatenate([self.raw, xs])
+            if len(self.raw) >= self.least:
+                self.zero, self.starts, self.states = fading_steps([self.raw], self.alpha)[0]
+            return
+        ends = np.concatenate([[self.zero], self.states])
+        for x in xs:
+            ends = _smooth(ends, x, self.alpha)
+        self._take(ends[0], ends[1:])
+
+    def chunk(self, n: int, zero: float, starts: np.ndarray, states: np.ndarray, xs: np.ndarray) -> None:
+        """Go on over a chunk whose function is known."""
+        if self.starts is None:
+            if len(self.raw):
+                self.values(xs)
+            else:
+                self.n, self.zero, self.starts, self.states = self.n + n, zero, starts, states
+            return
+        ends = np.concatenate([[self.zero], self.states])
+        after = np.where(ends == 0, zero, states[np.clip(np.searchsorted(starts, ends, "right") - 1, 0, None)])
+        self.n += n
+        self._take(after[0], after[1:])
+
+    def _take(self, zero: float, states: np.ndarray) -> None:
+        keep = np.concatenate([[True], states[1:] != states[:-1]])
+        self.zero, self.starts, self.states = zero, self.starts[keep], states[keep]
+
+    def row(self) -> tuple:
+        known = self.starts is not None
+        return (*self.first, self.n, None if known else self.raw, self.zero, self.starts, self.states)
+
+
+def ewma_latency(calls: DataFrame, alpha: float = 0.3, segment_seconds: int | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """Running average of successful latencies per agent, rounded to one decimal at every step.
 
-    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, n, starts, state, done = None, 0, None, None, []
-        names = ["agent", "_seg", "n", "starts", "states"]
+    The fold depends on order, yet a stretch of it is a function from the state before to the state after. Calls are sorted
+    into ranges of (agent, time), so one busy agent is spread over many tasks. Each task returns one function per agent, of a
+    few steps because old states fade (``fading_steps``), or the values themselves where they are too few to fade; these rows,
+    at most one per agent and task, meet in order. ``initial(agent, ewma_latency_s)`` goes on from an earlier result.
 
+    Latencies that are NULL, negative, not a number or beyond 1e11 s take no part. ``alpha`` lies between 0 and 0.5: above,
+    a state of one tenth could fall back to zero and take the next value as it is. ``segment_seconds`` has no effect any more.
+    """
+    if not 0 < alpha <= 0.5:
+        raise ValueError("alpha must lie above 0 and at most at 0.5")
+    least = fading_length(alpha)
+    chunk_rows = max(CHUNK_ROWS, 2 * least)
+    good = calls.where(F.col("success") & F.col("latency_s").between(0, MOST_TENTHS / 10))
+    kinds = {n: good.schema[n].dataType.simpleString() for n in ("agent", "ts", "event_id")}
+    schema = (f"agent {kinds['agent']}, ts {kinds['ts']}, event_id {kinds['event_id']}, n bigint, raw array<double>, zero double, "
+              "starts array<double>, states array<double>")
+    names = ["agent", "ts", "event_id", "n", "raw", "zero", "starts", "states"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stretch, done = None, []
         for pdf in batches:
-            for agent, seg, x in zip(pdf["agent"], pdf["_seg"], pdf["latency_s"]):
-                if (agent, seg) != key:
-                    if key:
-                        done.append((*key, n, starts, state))
-                    if len(done) == 1000:
-                        yield pd.DataFrame(done, columns=names)
-                        done = []
-                    key, n, starts, state = (agent, seg), 0, np.arange(size), np.arange(size, dtype=float)
-                n, state = n + 1, _smooth(state, x, alpha)
-                if len(state) > 1:
-                    keep = np.concatenate([[True], state[1:] != state[:-1]])
-                    starts, state = starts[keep], state[keep]
-        if key:
-            yield pd.DataFrame([*done, (*key, n, starts, state)], columns=names)
-
-    ready = good.select("agent", "_seg", "ts", "event_id", "latency_s").repartition("agent", "_seg").sortWithinPartitions(
-        "agent", "_seg", "ts", "event_id")
-    tables = ready.mapInPandas(compose, "agent string, _seg bigint, n bigint, starts array<bigint>, states array<double>")
-    ordered = tables.groupBy("agent").agg(
-        F.sum("n").alias("calls"), F.sort_array(F.collect_list(F.struct("_seg", "starts", "states"))).alias("segments"))
-
-    def apply(state: Column, segment: Column) -> Column:
-        return F.element_at(segment["states"], F.size(F.filter(segment["starts"], lambda s: s <= state)))
+            agents, xs = pdf["agent"].to_numpy(dtype=object), pdf["latency_s"].to_numpy(dtype=float)
+            cuts = np.flatnonzero(np.concatenate([[True], agents[1:] != agents[:-1]])) if len(xs) else np.empty(0, int)
+            parts = [(a, min(a + chunk_rows, b)) for first, b in zip(cuts, [*cuts[1:], len(xs)]) for a in range(first, b, chunk_rows)]
+            long = [(a, b) for a, b in parts if b - a >= least]
+            functions = dict(zip(long, fading_steps([xs[a:b] for a, b in long], alpha))) if long else {}
+            for a, b in parts:
+                if stretch is None or stretch.first[0] != agents[a]:
+                    if stretch is not None:
+                        done.append(stretch.row())
+                    stretch = _Stretch(agents[a], pdf["ts"].iloc[a], pdf["event_id"].iloc[a], alpha, least)
+                if (a, b) in functions:
+                    stretch.chunk(b - a, *functions[a, b], xs[a:b])
+                else:
+                    stretch.values(xs[a:b])
+            if len(done) >= 1000:
+                yield pd.DataFrame(done, columns=names)
+                done = []
+        if stretch is not None:
+            yield pd.DataFrame([*done, stretch.row()], columns=names)
+
+    order = ["agent", "ts", "event_id"]
+    ready = good.where(F.col("agent").isNotNull()).select(*order, F.col("latency_s").cast("double").alias("latency_s"))
+    stretches = ready.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(fold, schema)
+    ordered = stretches.groupBy("agent").agg(F.sum("n").alias("calls"), F.sort_array(F.collect_list(
+        F.struct("ts", "event_id", "raw", "zero", "starts", "states"))).alias("parts"))
+
+    def step(state: Column, x: Column) -> Column:
+        mixed = F.when(state == 0, x).otherwise(F.lit(alpha) * x + F.lit(1 - alpha) * (state / 10.0))
+        return F.floor(mixed * 10 + 0.5).cast("double")
+
+    def go_on(state: Column, part: Column) -> Column:
+        table = F.when(state == 0, part["zero"]).otherwise(
+            F.element_at(part["states"], F.greatest(F.size(F.filter(part["starts"], lambda s: s <= state)), F.lit(1))))
+        return F.when(part["raw"].isNull(), table).otherwise(F.aggregate(part["raw"], state, step))
 
     start = F.lit(0.0)
     if initial is not None:
         ordered = ordered.join(initial.select("agent", F.round(F.col("ewma_latency_s") * 10).alias("_start")), "agent", "left")
         start = F.coalesce("_start", F.lit(0.0))
-    return ordered.select("agent", "calls", (F.aggregate("segments", start, apply) / 10).alias("ewma_latency_s"))
+    return ordered.select("agent", "calls", (F.aggregate("parts", start, go_on) / 10).alias("ewma_latency_s"))
 
 
 def warm_status(calls: DataFrame, as_of: Column, seconds: int = 1500) -> DataFrame:
