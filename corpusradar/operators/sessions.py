@@ -97,7 +97,7 @@ def job_state(job_events: DataFrame) -> DataFrame:
 
 def job_transitions(job_events: DataFrame) -> DataFrame:
     """Rows where an open job becomes done or failed; a job starts out as pending."""
-    seen = with_previous(job_events, ["job_id"], ["ts", "event_id"], F.to_date("ts"), {"previous": F.col("status")})
+    seen = with_previous(job_events, ["job_id"], ["ts", "event_id"], None, {"previous": F.col("status")})
     was = F.coalesce("previous", F.lit("pending"))
     return seen.where(was.isin("pending", "running") & F.col("status").isin("done", "failed")).select(
         "job_id", "event_id", "ts", was.alias("previous"), "status",

@@ -24,13 +24,13 @@ def velocity_score(stars: Column, prev_stars: Column, citations: Column, prev_ci
     return F.round(F.least(total * 100, F.lit(100.0)), 2)
 
 
-def snapshot_deltas(snapshots: DataFrame) -> DataFrame:
+def snapshot_deltas(snapshots: DataFrame, bucket: Column | None = None) -> DataFrame:
     """Change of each snapshot against the last known values; NULL where the current value is NULL or 0.
 
-    ``snapshots(paper_id, event_id, ts, stars, citations)``; days cut the history of a busy paper into parts.
+    ``snapshots(paper_id, event_id, ts, stars, citations)``; the history of a busy paper is cut by ``bucket``, or into ranges.
     """
     known = with_last_known(
-        snapshots, ["paper_id"], ["ts", "event_id"], F.to_date("ts"),
+        snapshots, ["paper_id"], ["ts", "event_id"], bucket,
         {"prev_stars": F.col("stars"), "prev_citations": F.col("citations")})
 
     def delta(now: str, before: str) -> Column:

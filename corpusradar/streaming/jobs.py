@@ -87,7 +87,7 @@ def stream_sliding_activity(activity: DataFrame, window: str = "1 hour", slide:
 
 def velocity_step(rows: DataFrame, state: DataFrame | None, mark: int) -> tuple[DataFrame, DataFrame]:
     """Velocity of each new snapshot against the last known values, which are the state."""
-    deltas = snapshot_deltas(rows)
+    deltas = snapshot_deltas(rows, F.to_date("ts"))
     if state is None:
         state = deltas.select("paper_id", F.col("known_stars").alias("old_stars"), F.col("known_citations").alias("old_citations")).where(F.lit(False))
     seen = deltas.join(state, "paper_id", "left")
