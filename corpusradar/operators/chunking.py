@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from corpusradar import constants as C
 from corpusradar.functions.text import strip, words
-from corpusradar.session import union_all
 from corpusradar.sources.store import replace_partition
 
 CHUNK_COLUMNS = ["chunk_id", "text", "raw_text", "clean_text", "page", "section", "section_order", "type", "has_math", "has_list",
@@ -125,6 +124,36 @@ def section_summaries(chunks: DataFrame, limit: int = 500) -> DataFrame:
         F.lit(None).cast("int").alias("position"))
 
 
+def chunks_with_summaries(chunks: DataFrame, limit: int = 500) -> DataFrame:
+    """The chunks and, in the same pass, what ``section_summaries`` makes of them.
+
+    Windows by paper and section keep the exchange on the paper that made the chunks. The first text chunk of a section
+    carries at most ``limit`` words of the section and gives a second row; the text is neither computed nor moved twice.
+    """
+    section = W.partitionBy("paper_id", "section", "_counts")
+    before = section.orderBy("position").rowsBetween(W.unboundedPreceding, -1)
+    own = words(F.col("clean_text"))
+    marked = chunks.withColumn("_counts", F.col("type").isin("text", "math"))
+    counted = marked.withColumn("_before", F.coalesce(F.sum(F.size(own)).over(before), F.lit(0)))
+    reach = F.when(F.col("_before") < limit, F.struct("position", F.slice(own, 1, F.greatest(limit - F.col("_before"), F.lit(1)).cast("int")).alias("w")))
+    whole = counted.select(
+        "*", F.row_number().over(section.orderBy("position")).alias("_nth"), F.collect_list(reach).over(section).alias("_heads"),
+        F.max_by("section_order", "position").over(section).alias("_order"), F.bool_or("has_math").over(section).alias("_math"))
+    head = F.array_join(F.flatten(F.transform(F.sort_array("_heads"), lambda h: h["w"])), " ")
+    slug = F.substring(F.regexp_replace(F.lower("section"), "[^a-z0-9]", "_"), 1, 40)
+    kinds = dict(chunks.dtypes)
+    summary = {
+        "chunk_id": F.concat(F.col("paper_id").cast("string"), F.lit("_sum_"), slug),
+        "text": F.concat(F.lit("[SECTION OVERVIEW: "), "section", F.lit("]\n"), "_head"), "raw_text": F.col("_head"), "clean_text": F.col("_head"),
+        "page": F.lit(0), "section": F.col("section"), "section_order": F.col("_order"), "type": F.lit("summary"), "has_math": F.col("_math"),
+        "has_list": F.lit(False), "is_caption": F.lit(False), "paper_id": F.col("paper_id"), "position": F.lit(None)}
+    headed = whole.withColumn("_head", F.when(F.col("_counts") & (F.col("_nth") == 1), head))
+    both = F.array_compact(F.array(
+        F.struct(*[F.col(c) for c in CHUNK_COLUMNS]),
+        F.when(F.col("_head").isNotNull(), F.struct(*[summary[c].cast(kinds[c]).alias(c) for c in CHUNK_COLUMNS]))))
+    return headed.select(F.inline(both))
+
+
 def index_stats(chunks: DataFrame, summaries: DataFrame, blocks: DataFrame) -> DataFrame:
     """Sections, pages, chunks, math, tables, captions and summaries per paper."""
     pages = blocks.groupBy("paper_id").agg(F.max("page").alias("pages"))
@@ -152,8 +181,7 @@ def build_index(blocks: DataFrame, stored: DataFrame | None = None, clean_chars:
 
     Texts are stored whole; ``clean_chars`` and ``context_chars`` cut them for a smaller index.
     """
-    chunks = chunk_records(blocks, **options)
-    fresh = stored_form(union_all(chunks.select(CHUNK_COLUMNS), section_summaries(chunks)), clean_chars, context_chars)
+    fresh = stored_form(chunks_with_summaries(chunk_records(blocks, **options)), clean_chars, context_chars)
     return fresh if stored is None else replace_partition(stored, fresh)
 
 
