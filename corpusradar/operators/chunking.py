@@ -11,15 +11,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusradar import constants as C
-from corpusradar.functions.text import strip, words
+from corpusradar.functions.text import strip, strip_column, words
 from corpusradar.sources.store import replace_partition
 
+MATH_FIRST = r"(?=[$\\∑∫≈→←⊕‖0-9E])"
 CHUNK_COLUMNS = ["chunk_id", "text", "raw_text", "clean_text", "page", "section", "section_order", "type", "has_math", "has_list",
                  "is_caption", "paper_id", "position"]
 
 
 def has_math(text: Column) -> Column:
-    return text.rlike(C.MATH_PATTERN)
+    # What a formula may begin with comes first: at nearly every letter the alternatives then need not be tried one by one.
+    return text.rlike(MATH_FIRST + C.MATH_PATTERN)
 
 
 def has_list(text: Column) -> Column:
@@ -27,12 +29,12 @@ def has_list(text: Column) -> Column:
 
 
 def is_caption(text: Column) -> Column:
-    return strip(text).rlike(C.CAPTION_PATTERN)
+    return strip_column(text).rlike(C.CAPTION_PATTERN)
 
 
 def block_is_noise(text: Column, min_chars: int = 20) -> Column:
     """Too short, page furniture, or hardly any letters and no formula."""
-    bare = strip(text)
+    bare = strip_column(text)
     letters = F.length(F.regexp_replace(bare, r"[^\p{L}]", ""))
     thin = (letters / F.greatest(F.length(bare), F.lit(1)) < 0.25) & ~has_math(bare)
     return (F.length(bare) < min_chars) | bare.rlike(C.NOISE_PATTERN) | thin
@@ -52,7 +54,7 @@ def section_spans(blocks: DataFrame, pattern: str = C.SECTION_PATTERN, min_chars
     if "kind" not in blocks.columns:
         blocks = blocks.withColumn("kind", F.lit("text"))
     table = F.col("kind") == "table"
-    raw = F.when(table, F.col("text")).otherwise(strip(F.col("text")))
+    raw = F.when(table, F.col("text")).otherwise(strip_column(F.col("text")))
     marked = blocks.select("paper_id", "page", "block_no", "kind", table.alias("is_table"), raw.alias("raw")).repartition("paper_id")
     marked = marked.withColumn("table_no", F.when(table, F.row_number().over(
         W.partitionBy("paper_id", "page", "is_table").orderBy("block_no")) - 1))
@@ -75,10 +77,11 @@ def drop_references(spans: DataFrame, prefix: str = "refer") -> DataFrame:
 def overlap_prefix(spans: DataFrame, size: int = 50) -> DataFrame:
     """``raw_text``: the last words of the previous text chunk of the section in front of the block; captions take none."""
     before = F.lag("raw").over(W.partitionBy("paper_id", "section_order", "is_table").orderBy("page", "block_no"))
-    tail = F.slice(words(F.col("_before")), F.greatest(F.size(words(F.col("_before"))) - (size - 1), F.lit(1)), size)
+    last = lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - (size - 1), F.lit(1)), size), " ")
+    tail = F.transform(F.array(words(F.col("_before"))), last)[0]  # the words are cut once for their number and the slice
     plain = F.col("is_table") | is_caption(F.col("raw")) | F.col("_before").isNull()
     return spans.withColumn("_before", before).withColumn("raw_text", F.when(plain, F.col("raw")).otherwise(
-        F.concat(F.array_join(tail, " "), F.lit(" [...] "), F.col("raw")))).drop("_before")
+        F.concat(tail, F.lit(" [...] "), F.col("raw")))).drop("_before")
 
 
 def chunk_records(blocks: DataFrame, pattern: str = C.SECTION_PATTERN, min_chars: int = 20, header: Column | None = None,
