@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from corpusradar.operators import inverted
 from corpusradar.operators.inverted import build_index, candidates, needed_blocks, search
 from corpusradar.operators.lexical import bm25_topk
 
@@ -48,3 +51,33 @@ def test_an_empty_corpus_finds_nothing(spark, tmp_path):
     docs = spark.createDataFrame([(1, "")], "paper_id long, text string")
     index = build_index(docs, str(tmp_path / "index"))
     assert search(index, spark.createDataFrame([(1, "term5")], "query_id int, query string"), 3).count() == 0
+
+
+def test_questions_together_and_one_by_one_agree(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(500))], "paper_id long, text string")
+    index = build_index(docs, str(tmp_path / "index"), block_rows=16, buckets=8)
+    queries = spark.createDataFrame([("a", "data term7"), ("b", "term42 paper model model"), ("c", "")], "query_id string, query string")
+    together = search(index, queries, 7)
+    plan = together._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Exchange hashpartitioning(id") == 1  # a posting crosses once, without a row per question
+    monkeypatch.setattr(inverted, "MOST_QUERIES", 0)
+    apart = search(index, queries, 7)
+    assert together.schema.names == apart.schema.names == ["query_id", "paper_id", "score", "rank"]
+    assert sorted(map(tuple, together.collect())) == sorted(map(tuple, apart.collect()))
+
+
+def test_blocks_are_cut_across_batches(spark, tmp_path):
+    """Blocks hold each posting once whatever the Arrow batches, and their maxima are those of their rows."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(200))], "paper_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        index = build_index(docs, str(tmp_path / "index"), block_rows=16, buckets=8)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    blocks, post = index.read("blocks"), index.read("postings")
+    assert blocks.count() == blocks.select("term", "level", "part").distinct().count()
+    flat = blocks.selectExpr("term", "level", "explode(rows) AS r").selectExpr("term", "level", "r.id", "r.dl", "r.tf")
+    assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, post.select("term", "level", "paper_id", "dl", "tf").collect()))
+    tops = {(r["term"], r["level"]): r["m"] for r in post.groupBy("term", "level").agg(F.max("impact").alias("m")).collect()}
+    assert tops == {(r["term"], r["level"]): r["m"] for r in blocks.groupBy("term", "level").agg(F.max("top").alias("m")).collect()}
