@@ -77,3 +77,52 @@ def test_papers_with_string_ids_become_labelled_clusters(spark):
     for t in range(3):
         mine = {(r["cluster_id"], r["cluster_theme"]) for r in labelled if topics[t] in r["title"]}
         assert len(mine) == 1 and mine.copy().pop()[0] == t and topics[t].split()[0].title() in mine.pop()[1]
+
+
+def test_a_bucket_of_many_blocks_gives_every_pair_once(spark):
+    """One bucket cut into blocks and rows in several tables: the pairs, counts and links of brute force, each pair once."""
+    from corpusradar.operators import paired
+    from corpusradar.operators.projections import bucket_pairs, crowded
+
+    m = vectors(300)
+    d = distances(m)
+    rows = frame(spark, m).select(F.col("vec_id").alias("node"), F.format_string("a%03d", "vec_id").alias("rep"), "embedding")
+    want = {(f"a{a:03d}", f"a{b:03d}") for a in range(300) for b in range(a + 1, 300) if d[a, b] <= 0.05}
+    plan = Projections(1, 6)
+    for block_rows in (7, 40, 4096):
+        many = crowded(rows, plan, block_rows)
+        got = [(r["id_a"], r["id_b"]) for r in bucket_pairs(rows, plan, many, 0.05, *paired.pair_rows("rep", "string")).collect()]
+        assert len(got) == len(set(got)) and set(got) <= want and len(got) > 0.99 * len(want) and (many.count() == 0) == (block_rows == 4096)
+
+
+def test_a_row_of_a_table_is_small(spark):
+    """What is exchanged per row and table: vectors of counts are compressed, and all tables together are some bits."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.poisson(1.0, 128) / 11.3]) for i in range(200)], "node long, embedding array<double>")
+    plan = Projections(9, 12)
+    sizes = hashed(rows, plan).agg(F.max(F.octet_length("points") + F.octet_length("signs")), F.count("*")).first()
+    assert sizes[0] < 400 and sizes[1] == 200 * 12  # 1,024 bytes of vector and 96 of keys uncompressed
+
+
+def test_copies_collapse_as_in_a_grouping(spark):
+    """Both zeros are one, NaN equals NaN, a missing number is neither; the lowest id stands for its copies."""
+    nan = float("nan")
+    rows = [("d", [0.0, 1.0]), ("b", [-0.0, 1.0]), ("c", [nan, 1.0]), ("a", [nan, 1.0]), ("e", [None, 1.0]), ("f", [None, 1.0]), ("g", None), (None, [2.0]), ("h", [])]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"paper_id string, embedding array<{kind}>")
+        reps, members = V.collapse_copies(df, "paper_id")
+        of = {r["node"]: (r["rep"], r["copies"]) for r in reps.collect()}
+        assert sorted(of.values(), key=str) == sorted([("b", 2), ("a", 2), ("e", 2), (None, 1), ("h", 1)], key=str)
+        assert sorted((str(r["member"]), str(of[r["node"]][0])) for r in members.collect()) == [
+            ("None", "None"), ("a", "a"), ("b", "b"), ("c", "a"), ("d", "b"), ("e", "e"), ("f", "e"), ("h", "h")]
+        assert dict(reps.dtypes)["embedding"] == f"array<{kind}>" and [r["node"] for r in reps.where("rep = 'a'").collect()] < [r["node"] for r in reps.where("rep = 'b'").collect()]
+
+
+def test_packed_rows_come_back_as_they_were():
+    from corpusradar.operators.blocks import packed_row, unpacked_row
+
+    rng = np.random.default_rng(1)
+    for row in (np.zeros(0), np.zeros(128), rng.poisson(2.0, 128) / 3.7, rng.normal(size=64), np.array([np.nan, 1.0] * 9), rng.integers(0, 255, 1000) * 0.1):
+        for number in ("f4", "f8"):
+            back = unpacked_row(packed_row(row.astype(number)), np.dtype(number))
+            assert back.dtype == number and np.array_equal(back, row.astype(number), equal_nan=True)
