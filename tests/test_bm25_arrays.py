@@ -1,5 +1,6 @@
 """BM25 summed as arrays agrees with the join by term, whatever ids repeat or are null; token counts meet by id."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,43 @@ def test_tokens_are_counted_before_any_exchange(spark):
         norm = sum(n * n for n in want) ** 0.5 or 1.0
         assert got[key] == [round(n / norm, 9) for n in want]
     assert len(got) == 4
+
+
+def test_postings_cross_the_network_packed(spark):
+    """One row per text and exchange, of a few bytes per asked term, also where every source is asked by every question."""
+    words = [f"word{i}" for i in range(400)]
+    texts = [(i, f"s{i % 3}", " ".join(words[(i * 7 + j * j) % 400] for j in range(300))) for i in range(60)]
+    corpus = spark.createDataFrame(texts, "paper_id long, source string, text string").repartition(3)
+    queries = spark.createDataFrame([(f"{q}/s{s}", f"s{s}", " ".join(words[q::5])) for q in range(5) for s in range(3)], "query_id string, source string, query string")
+    asked = L._Asked(queries.select("query_id", "source", F.explode(F.split("query", " ")).alias("term"), F.lit(1).cast("bigint").alias("qtf")).toArrow(), "source")
+    shared = spark.sparkContext.broadcast(asked)
+    cut = corpus.select("paper_id", "source", F.split("text", " ").alias("t"))
+    rows = cut.mapInArrow(L._pack_postings(shared), "paper_id bigint, source string, dl int, _post binary").collect()
+    assert len(rows) == 60
+    for r in rows:
+        pair, tf = L._unpack([bytes(r["_post"])])
+        want = {}
+        for t in texts[r["paper_id"]][2].split():
+            want[t] = want.get(t, 0) + 1
+        place = len(asked.terms) * asked.scopes.to_pylist().index(r["source"])
+        names = asked.terms.to_pylist()
+        assert {names[asked.key[p] - place]: n for p, n in zip(pair, tf.tolist())} == want and r["dl"] == 300 and len(r["_post"]) < 3 * len(want) + 30
+    pair, tf = L._unpack([L._pack(np.array([3, 70_000]), np.array([1, 300])), L._pack(np.array([0, 3]), np.array([2, 5]))])
+    assert pair.tolist() == [0, 3, 70_000] and tf.tolist() == [2, 6, 300]
+
+
+@pytest.mark.parametrize("grid", [1, L.GRID])
+def test_many_questions_of_small_scopes_are_summed_without_a_join(spark, monkeypatch, grid):
+    """What limits the arrays is the number of questions of a scope, not of all scopes together."""
+    corpus = spark.createDataFrame([(t[0], f"s{s}", t[2]) for t in TEXTS for s in range(4)], "paper_id long, source string, text string").repartition(3)
+    queries = spark.createDataFrame([(q[0], f"s{s}", q[2]) for q in ASKED for s in range(5)] + [(f"x{s}", f"s{s}", "graph data") for s in range(4)],
+                                    "query_id string, source string, query string")
+    got = {}
+    for most in (0, 6):  # 6 questions of a scope, 8 in all
+        monkeypatch.setattr(L, "MOST_QUERIES", most)
+        monkeypatch.setattr(L, "GRID", grid)
+        scored = L.bm25_score(queries, corpus, scope="source")
+        assert ("MapInArrow" in scored._jdf.queryExecution().optimizedPlan().toString()) == (most > 0)
+        best = L.bm25_topk(queries, corpus, 2, scope="source").select("query_id", "paper_id", "score", "rank")
+        got[most] = [sorted(map(repr, (tuple(r) for r in df.collect()))) for df in (scored.select("query_id", "paper_id", "score"), best)]
+    assert got[0] == got[6] and len(got[0][1]) > 8
