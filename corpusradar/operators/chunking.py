@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusradar import constants as C
 from corpusradar.functions.text import strip, strip_column, words
+from corpusradar.session import stored
 from corpusradar.sources.store import replace_partition
 
 MATH_FIRST = r"(?=[$\\∑∫≈→←⊕‖0-9E])"
@@ -188,6 +189,19 @@ def build_index(blocks: DataFrame, stored: DataFrame | None = None, clean_chars:
     return fresh if stored is None else replace_partition(stored, fresh)
 
 
+def store_index(index: DataFrame) -> DataFrame:
+    """The rows of ``build_index`` as a stored table that holds what a chunk's texts share once.
+
+    Text and context nearly always end with the raw text: then only what comes before it is stored. Reading puts them together again.
+    """
+    longer = ["text", "raw_text_ctx"]
+    ends = {c: F.coalesce(F.endswith(c, "raw_text"), F.lit(False)) for c in longer}
+    head = lambda c: F.when(ends[c], F.substring(c, F.lit(1), F.length(c) - F.length("raw_text"))).otherwise(F.col(c))
+    kept = stored(index.select(*[head(c).alias(c) if c in longer else c for c in index.columns], *[ends[c].alias(f"_{c}") for c in longer]))
+    whole = lambda c: F.when(F.col(f"_{c}"), F.concat(c, "raw_text")).otherwise(F.col(c))
+    return kept.select(*[whole(c).alias(c) if c in longer else c for c in index.columns])
+
+
 def node_tree_stats(nodes: DataFrame) -> DataFrame:
     """Node count and last page per document of ``nodes(doc_id, node_id, parent_id, title, page_index, end_index)``."""
     end = F.coalesce("end_index", "page_index", F.lit(0))
